@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linedup, mixing, quality, urlfilter
+from . import decontam, licenses, linedup, mixing, quality, substr, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -38,7 +42,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_url_filters, op5_quality_rules, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
