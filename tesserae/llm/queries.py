@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linedup, mixing, quality, substr, urlfilter
+from . import decontam, licenses, linedup, minhash, mixing, quality, substr, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
