@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linedup, minhash, mixing, quality, substr, urlfilter
+from . import decontam, hmm, licenses, linedup, minhash, mixing, quality, substr, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op6_hmm_scoring, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
