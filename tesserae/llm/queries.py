@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hmm, licenses, linedup, minhash, mixing, quality, substr, urlfilter
+from . import decontam, hmm, licenses, linedup, minhash, mixing, quality, substr, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive(_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op6_hmm_scoring, op7_source_mixing, op8_license_scan, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_substring_dedup, op4_url_filters, op5_quality_rules, op6_hmm_scoring, op7_source_mixing, op8_license_scan, op9_warc, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linedup.ORACLE_SQL, "op4_url_filters": urlfilter.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
+    return {"op2_line_dedup": linedup.ORACLE_SQL, "op4_url_filters": urlfilter.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
