@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
+#: Scratch tables by who made them; "" where nobody said.
+_made: dict[str, list[str]] = {}
+_owner = ""
+
+
+@contextlib.contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Scratch tables made inside belong to `owner`, for `release`."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.setdefault(_owner, []).append(path)
     return path
 
 
@@ -44,6 +58,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Lets the context cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()  # Python's handles first
     spark.sparkContext._jvm.System.gc()
 
 
@@ -52,21 +67,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path(path)
     with contextlib.suppress(Exception):
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _made:
-        _made.remove(path)
+    for paths in _made.values():
+        if path in paths:
+            paths.remove(path)
 
 
 def forget(df: DataFrame) -> None:
     """Removes the scratch table that `keep` returned, once all that reads it has run."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for path in list(_made):
+        for path in [p for paths in _made.values() for p in paths]:
             if f.split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/"):
                 remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes all scratch tables. Results that are not yet written read them: write those first."""
-    for path in list(_made):
+def release(spark: SparkSession, owner: str = "") -> None:
+    """Removes the owner's scratch tables. Results that are not yet written read them: write those first."""
+    for path in list(_made.get(owner, ())):
         remove(spark, path)
 
 

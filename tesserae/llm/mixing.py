@@ -91,11 +91,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = M
 def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: the columns of `docs`, one row per repetition, with `copy` (from 1) and `words` in place of any of those names.
 
-    A partial repetition has the document's first words, joined by one space."""
+    A partial repetition has the document's first words, joined by one space. `docs` is read twice
+    rather than copied, so it should be a table or a plan that gives the same rows again."""
     own = [c for c in docs.columns if c not in ("copy", "words")]
     row = docs.select(F.struct(*own).alias("row"))
     sized = row.select("row", F.col("row.source").alias("source"), n_words("row.text").alias("size"), _key("row.doc_id").alias("key"))
-    sized = keep(sized, "mix")
     taken = _taken(sized, weights, max_epochs, ["row"]).where(F.col("taken") > 0)
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
