@@ -6,14 +6,14 @@ bucket keys: with 24 of 3, two documents of similarity 0.8 share a bucket but fo
 (1 - 0.8**3)**24 = 3e-8.
 
 1. Exact copies (equal shingle sets) fold into one set before any bucket is formed.
-2. In each bucket every set is compared with the bucket's first one; what that links is joined
-   into components.
-3. In a bucket that still holds several components, only sets of different ones are compared:
-   those outside the largest component with all others, if they are few (`few`). Where they are
-   many, their sets are compared by prefix filtering, which is exact: two sets of similarity 0.8
-   share one of their rarest shingles, the first n - ceil(0.8 n) + 1 in one global order by
-   frequency. So a family of thousands costs a comparison or two per member, not all pairs, no
-   link between components is lost, and nothing is capped.
+2. In each bucket every set is compared with the bucket's centre, the set that meets most others;
+   what that links is joined into components.
+3. Sets of buckets that still hold several components are compared by prefix filtering, which
+   loses nothing: in one global order of shingles by frequency, rarest first, the first shingle that
+   two similar sets share must leave enough of both behind it. So a set is met only through its
+   rarest shingles, only by sets of a size that its place there allows, and only by sets of another
+   component. A family of thousands whose members are a little too different to link costs a few
+   comparisons per member, not all pairs, and nothing is capped.
 4. Every candidate is verified on the full sets, and components are joined again.
 
 Null, empty and wordless texts have an empty set and no links; texts shorter than a shingle have
@@ -24,11 +24,12 @@ has a null id. Rows that repeat an id are documents of their own. Empty tables s
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, keep, long_id, row_batch
@@ -38,8 +39,8 @@ from .text import LOWER, U64, Words, mix64, raw, run_hashes, slices
 SHINGLE = 5
 THRESHOLD = 80
 BANDS, ROWS = 24, 3
-#: Members of a bucket outside its largest component that are compared with all others outright.
-FEW = 64
+#: Sizes of sets are told apart in steps of this ratio where they are joined on them.
+SIZE_STEP = 1.02
 _LAST = (1 << 63) - 1
 _U32 = np.uint32
 
@@ -155,23 +156,8 @@ def _fits(n: str, m: str, threshold: int):
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
-def _dominant(members: DataFrame) -> DataFrame:
-    """members (key, s, n, c): keys of several components, with the largest one and how many are outside it."""
-    sizes = members.groupBy("key", "c").agg(F.count("*").alias("k"))
-    best = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("parts"))
-    return best.where("parts > 1").select("key", F.col("m.c").alias("main"), (F.col("all") - F.col("m.k")).alias("outside"))
-
-
-def _across(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one key in different components: (key, s, n, c, main); each has a member outside the main one."""
-    x = members.where("c != main").select("key", F.col("s").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "main")
-    y = members.select("key", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    met = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("na", "nb", threshold)
-    return x.join(y, "key").where(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
 def _prefixes(members: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
-    """(key, s, n, c) by shingle: each set's rarest ones, so many that similar sets share one."""
+    """(key, s, n, c, at) by shingle: each set's rarest ones, so many that similar sets share one, and its place."""
     schema = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +170,40 @@ def _prefixes(members: DataFrame, shingles: DataFrame, threshold: int) -> DataFr
 
     every = keep(members.join(shingles, "s").select("s", "n", "c", "shingles").mapInArrow(run, "s long, n long, c long, key long"), "shingles")
     df = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    # A shingle of one set only comes first in its prefix and meets nothing, but takes its place there.
+    # A shingle of one set only meets nothing, but takes its place in the order.
     rank = F.row_number().over(Window.partitionBy("s").orderBy("df", "key"))
-    counted = every.join(df, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    length = F.col("n") - F.ceil(threshold * F.col("n") / F.lit(100)) + 1
-    return counted.withColumn("rank", rank).where((F.col("rank") <= length) & (F.col("df") > 1)).select("key", "s", "n", "c")
-
-
-def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: int, few: int) -> DataFrame:
+    placed = every.join(df, "key", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", rank - 1)
+    return placed.where((F.col("at") <= F.expr(f"n - ({threshold} * n + 99) div 100")) & (F.col("df") > 1)).select("key", "s", "n", "c", "at")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+
+def _meetings(prefixes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be that similar, each found at the first shingle they share.
+
+    Of a pair x is the smaller set, of size m, and y the larger, of size n. With t the threshold their
+    overlap is at least t / (1 + t) * (m + n), and at most what is left of either from that shingle on.
+    So x has it among its first m - 2t / (1 + t) * m places, and from y's place a bound on m follows."""
+    t, u = threshold, 100 + threshold
+    by_key = prefixes.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    several = by_key.where("low < high").select("key")
+    entries = prefixes.join(several, "key")
+    main = entries.groupBy("key").agg(F.mode("c").alias("main"))  # pairs inside the largest component are never formed
+    entries = keep(entries.join(main, "key"), "entries")
+    x = entries.where(F.expr(f"at <= n - ({2 * t} * n + {u - 1}) div {u}"))
+    x = x.select("key", _size_class(F.col("n")).alias("size"), F.col("s").alias("xs"), F.col("n").alias("m"), F.col("c").alias("xc"), F.col("at").alias("i"), "main")
+    most = F.least(F.col("n"), F.expr(f"((n - at) * {u}) div {t} - n"))
+    y = entries.withColumn("least", F.expr(f"({t} * n + 99) div 100")).withColumn("most", most).where("most >= least")
+    y = y.select("key", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("size"), F.col("s").alias("ys"), "n", F.col("c").alias("yc"), F.col("at").alias("j"), F.col("main").alias("ymain"))
+    fits = (F.col("xc") != F.col("yc")) & (F.col("m") <= F.col("n")) & F.expr(f"100 * m >= {t} * n AND {u} * least(m - i, n - j) >= {t} * (m + n)")
+    met = x.join(y.where("yc != ymain"), ["key", "size"]).where(fits).select("xs", "ys")
+    met = met.unionByName(x.where("xc != main").join(y.where("yc = ymain"), ["key", "size"]).where(fits).select("xs", "ys"))
+    return met.select(F.least("xs", "ys").alias("a"), F.greatest("xs", "ys").alias("b")).distinct()
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text_key, n, component_id, first_key (the text key of the component's first document); a row per document."""
     signed = keep(_signed(docs.select(long_id("doc_id"), "text", F.xxhash64("text").alias("text_key")), shingle, bands, rows), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
@@ -199,11 +211,15 @@ def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
     sets = keep(sets.select(F.monotonically_increasing_id().alias("s"), "sid", "n", "keys", F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key")), "sets")
 
     in_band = sets.select("s", "n", F.explode("keys").alias("key"))
-    shared = in_band.groupBy("key").agg(F.min("s").alias("rep"), F.count("*").alias("k")).where("k > 1").select("key", "rep")
-    reps = sets.select(F.col("s").alias("rep"), F.col("n").alias("rep_n"))
+    shared = in_band.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     members = keep(in_band.join(shared, "key"), "members")
-    pairs = members.where("s != rep").select(F.col("rep"), "s", "n").distinct().join(reps, "rep").where(_fits("n", "rep_n", threshold))
-    pairs = keep(pairs.select(F.col("rep").alias("a"), F.col("s").alias("b")), "pairs")
+    # A bucket's centre is the set that meets most others over all its buckets: in a family of
+    # copies, one near the original, so that one comparison each joins most of the family.
+    degree = members.groupBy("s").agg(F.sum("k").alias("degree"))
+    centres = members.select("key", "s").join(degree, "s").groupBy("key").agg(F.max_by("s", "degree").alias("rep"))
+    reps = sets.select(F.col("s").alias("rep"), F.col("n").alias("rep_n"))
+    pairs = members.join(centres, "key").where("s != rep").select("rep", "s", "n").distinct().join(reps, "rep").where(_fits("n", "rep_n", threshold))
+    pairs = keep(pairs.select(F.least("rep", "s").alias("a"), F.greatest("rep", "s").alias("b")).distinct(), "pairs")
     wanted = members.select("s").distinct().join(sets.select("s", "doc_id", "text_key"), "s")
     shingles = keep(_shingles_of(docs, wanted, shingle), "shingle-sets")
     links = keep(_linked(pairs, shingles, threshold), "links")
@@ -212,12 +228,10 @@ def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
     # Buckets that the first round left in several components.
     inside = members.select("key", "s", "n").join(part.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", F.coalesce("component", "s").alias("c"))
     inside = keep(inside, "inside")
-    several = keep(_dominant(inside), "several")
-    direct = _across(inside.join(several.where(F.col("outside") <= few).select("key", "main"), "key"), threshold)
-    crowded = inside.join(several.where(F.col("outside") > few).select("key"), "key", "left_semi").select("s", "n", "c").distinct()
-    by_shingle = keep(_prefixes(crowded, shingles, threshold), "prefixes")
-    rare = _across(by_shingle.join(_dominant(by_shingle).select("key", "main"), "key"), threshold)
-    more = direct.unionByName(rare).distinct().join(pairs, ["a", "b"], "left_anti")
+    several = inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    open_sets = inside.join(several, "key").select("s", "n", "c").distinct()
+    prefixes = keep(_prefixes(open_sets, shingles, threshold), "prefixes")
+    more = _meetings(prefixes, threshold).join(pairs, ["a", "b"], "left_anti")
     extra = keep(_linked(more, shingles, threshold), "links")
 
     # Components of components.
@@ -234,22 +248,22 @@ def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
     own = lambda c: F.when(F.col("f").isNotNull(), F.col(f"f.{c}")).otherwise(F.col(c))
     by_set = sets.select("s", "sid", "doc_id", "text_key").join(linked, "s", "left").select("sid", own("doc_id").alias("component_id"), own("text_key").alias("first_key"))
     by_set = keep(by_set, "components")
-    for t in (members, pairs, shingles, links, inside, several, by_shingle, extra):
+    for t in (members, pairs, shingles, links, inside, prefixes, extra):
         forget(t)
     out = signed.select("doc_id", "text_key", "n", "sid").join(by_set, "sid", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", "text_key", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("text_key")).otherwise(F.col("first_key")).alias("first_key"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per document. `threshold`: in hundredths."""
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return _grouped(docs, shingle, threshold, bands, rows, few).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return _grouped(docs, shingle, threshold, bands, rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of `docs`, all columns, that are the first document of their group; rows that repeat id and text are one."""
-    found = _grouped(docs, shingle, threshold, bands, rows, few)
+    found = _grouped(docs, shingle, threshold, bands, rows)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     first = first.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("text_key").alias("key")).distinct()
     rows_of = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("key"))
