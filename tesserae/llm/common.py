@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,23 +44,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: later stages neither repeat it nor depend on its executors.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Writes `df` as Parquet; its shuffle files go as soon as it is written, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
 
-    Shuffle files of the write are dropped with it, as nothing reads them again."""
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back: later stages neither repeat it nor depend on its executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    drop_shuffles(spark)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()  # Python's handles first
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, new_path, remove, row_batch
+from .common import new_path, remove, row_batch, write
 from .cuckoo import CuckooFilter
 from .text import _SPACES, raw
 
@@ -93,11 +93,10 @@ class LineIndex:
 
     def _write(self, **tables: DataFrame) -> None:
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/v{self.version + 1}/{name}")
+            write(df, f"{self.path}/v{self.version + 1}/{name}")
         if self.version:
             remove(self.spark, f"{self.path}/v{self.version}")
         self.version += 1
-        drop_shuffles(self.spark)
 
     @staticmethod
     def _count(refs: DataFrame) -> DataFrame:
@@ -127,13 +126,10 @@ class LineIndex:
         new = references(docs, self.min_chars)
         if not self.version:
             path = f"{self.path}/v1/refs"
-            new.write.parquet(path)
-            drop_shuffles(self.spark)
-            counts = self._count(self.spark.read.parquet(path))
-            counts.write.parquet(f"{self.path}/v1/counts")
+            write(new, path)
+            write(self._count(self.spark.read.parquet(path)), f"{self.path}/v1/counts")
             self.version = 1
-            self._filters_of(self.counts()).write.parquet(f"{self.path}/v1/filters")
-            drop_shuffles(self.spark)
+            write(self._filters_of(self.counts()), f"{self.path}/v1/filters")
             return self
         new = new.join(self.refs(), ["h", "g", "doc_id"], "left_anti")
         gained = self.maybe_known(self._count(new))

@@ -8,8 +8,9 @@ meet only if all 64 bits and the shard agree; the shards grow with the text.
    therefore one entry per hash and task, however often a window occurs, and it goes as packed
    arrays: 8 bytes of hash and 1 to 8 of doc_id step, not as a row per window.
 2. A shard sorts its hashes; entries of a document above the smallest one are repeats.
-3. Repeats are gathered per document, written to the shared folder, and joined to the texts, whose
-   repeated windows merge into maximal removal intervals.
+3. Repeats go, packed by ranges of documents, to where they are gathered per document, are written
+   to the shared folder and joined to the texts, whose repeated windows merge into maximal removal
+   intervals.
 
 Null or empty text: no words. Null ids count as one document larger than all others; rows that
 repeat an id are one document, and lose the same windows. Texts shorter than a window lose
@@ -19,7 +20,7 @@ nothing. Empty tables stay empty.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,12 @@ from .text import PLAIN, RUN_BASES, U64, Words, raw, run_hashes, runs_within, sl
 
 WINDOW = 13
 #: Windows that a task sorts at a time, and text bytes for each shard.
-TASK_WINDOWS = 2_000_000
+TASK_WINDOWS = 1_000_000
 SHARD_BYTES = 12 << 20
 
 _LAST = (1 << 63) - 1
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
-_PART = "shard int, doc_id long, payload binary"
-_SCHEMA = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
+_SCHEMA = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
 def document_id() -> Column:
@@ -59,15 +59,16 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate(([first], first + np.cumsum(steps.astype(np.int64))))
 
 
-def _by_document(hashes: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Each document's distinct hashes, packed."""
-    order = np.lexsort((hashes, ids))
-    hashes, ids = hashes[order], ids[order]
+def _by_part(hashes: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct (document, hash) entries, packed by the part of their document."""
+    part = ids % parts
+    order = np.lexsort((hashes, ids, part))
+    hashes, ids, part = hashes[order], ids[order], part[order]
     new = np.r_[True, (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])]
-    hashes, ids = hashes[new], ids[new]
-    cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    hashes, ids, part = hashes[new], ids[new], part[new]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     for a, b in zip(cuts, np.r_[cuts[1:], len(ids)], strict=True):
-        yield int(ids[a]), hashes[a:b].tobytes()
+        yield int(part[a]), pack(hashes[a:b], ids[a:b])
 
 
 def _local(hashes: np.ndarray, second: np.ndarray, ids: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
@@ -83,16 +84,16 @@ def _local(hashes: np.ndarray, second: np.ndarray, ids: np.ndarray, shards: int)
     first = np.minimum.reduceat(d, starts)
     later = d > np.repeat(first, np.diff(np.r_[starts, len(d)]))
     rows: list[tuple[int, int | None, bytes]] = []
-    if later.any():
-        rows += [(doc % shards, doc, p) for doc, p in _by_document(h[later], d[later])]
+    if later.any():  # these pass through the shards as they are
+        rows += [(part, part, p) for part, p in _by_part(h[later], d[later], shards)]
     h, shard = h[starts], (g[starts] % U64(shards)).astype(np.int64)
     order = np.lexsort((first, shard))
     h, shard, first = h[order], shard[order], first[order]
     cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     rows += [(int(shard[a]), None, pack(h[a:b], first[a:b])) for a, b in zip(cuts, np.r_[cuts[1:], len(h)], strict=True)]
     for i in range(0, len(rows), 1000):
-        s, doc, payload = zip(*rows[i : i + 1000], strict=True)
-        yield row_batch(_SCHEMA, shard=s, doc_id=doc, payload=payload)
+        s, part, payload = zip(*rows[i : i + 1000], strict=True)
+        yield row_batch(_SCHEMA, shard=s, part=part, payload=payload)
 
 
 def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +132,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) ->
         for batch in batches:
             known = pc.is_valid(batch.column(1))
             if pc.any(known).as_py():
-                yield pa.RecordBatch.from_arrays([batch.column(1).filter(known), batch.column(2).filter(known)], names=["doc_id", "keys"])
+                yield batch.filter(known).select(["part", "payload"])
             for payload in batch.column(2).filter(pc.invert(known)).to_pylist():
                 h, d = unpack(payload)
                 hashes.append(h)
@@ -143,38 +144,52 @@ def repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) ->
         h, d = h[order], d[order]
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         later = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.r_[starts, len(d)]))
-        rows = list(_by_document(h[later], d[later])) if later.any() else []
-        for i in range(0, len(rows), 2000):
-            doc, keys = zip(*rows[i : i + 2000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "keys"])
+        if later.any():
+            part, payload = zip(*_by_part(h[later], d[later], shards), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
+
+    def gathered(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = [unpack(x) for b in batches for x in b.column(1).to_pylist()]
+        h, d = np.concatenate([x[0] for x in entries]), np.concatenate([x[1] for x in entries])
+        order = np.argsort(d, kind="stable")
+        h, d = h[order], d[order]
+        cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        for i in range(0, len(cuts), 1000):
+            at = np.r_[cuts[i : i + 1001], len(d)][: min(1000, len(cuts) - i) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(d[at[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "keys"])
+
+    entries = given.mapInArrow(hashed, "shard int, part int, payload binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    later = entries.mapInArrow(_one_at_a_time(counted), "part int, payload binary").repartition(shards, "part").sortWithinPartitions("part")
+    return keep(later.mapInArrow(_one_at_a_time(gathered), "doc_id long, keys binary"), "repeats")
+
 
-    def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard: one shard is held at a time."""
+def _one_at_a_time(f: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f` on the rows of each value of the first column, by which rows come sorted; one value is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             s = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else []
+            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]).tolist() if len(s) else []
             for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
-                if at is not None and s[a] != at:
-                    yield from counted(held)
+                if held and s[a] != at:
+                    yield from f(held)
                     held = []
                 at = s[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from counted(held)
+            yield from f(held)
 
-    entries = given.mapInArrow(hashed, _PART).repartition(shards, "shard").sortWithinPartitions("shard")
-    found = keep(entries.mapInArrow(by_shard, "doc_id long, keys binary"), "repeats")
-    return found.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    return run
 
 
-def intervals(text: bytes, keys: list[bytes] | None, window: int = WINDOW) -> tuple[list[bytes], list[tuple[int, int]]]:
+def intervals(text: bytes, keys: bytes | None, window: int = WINDOW) -> tuple[list[bytes], list[tuple[int, int]]]:
     """The text's words, and the maximal intervals of words to remove."""
     words = text.split()
     if not keys or len(words) < window:
         return words, []
     h = _windows([text], window)[0]
-    at = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(keys), U64)))
+    at = np.flatnonzero(np.isin(h, np.frombuffer(keys, U64)))
     cuts = np.flatnonzero(np.r_[True, np.diff(at) > window])
     return words, [(int(at[a]), int(at[b - 1]) + window) for a, b in zip(cuts, np.r_[cuts[1:], len(at)], strict=True)] if len(at) else []
 
@@ -216,7 +231,7 @@ def strip_substrings(docs: DataFrame, window: int = WINDOW, shards: int | None =
 
         out = []
         for t, k in zip(texts, keys, strict=True):
-            words, spans = intervals((t or "").encode(), None if k is None else list(k), window)
+            words, spans = intervals((t or "").encode(), k, window)
             out.append(b" ".join(_cut(words, spans)).decode() if spans else t)
         return pd.Series(out, dtype=object)
 
