@@ -237,3 +237,14 @@ def strip_substrings(docs: DataFrame, window: int = WINDOW, shards: int | None =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("given"), document_id(), "text")
     return rows.join(repeats(docs, window, shards), "doc_id", "left").select(F.col("given").alias("doc_id"), left("text", "keys").alias("text"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM win),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE gone)),
+p AS (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS word FROM w),
+k AS (SELECT p.doc_id, count(g.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.p) FILTER (WHERE g.p IS NULL), '') AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
