@@ -116,11 +116,14 @@ class SearchIndex:
 
     # Searching
 
-    def rank(self, plans: DataFrame, query_vectors: DataFrame, languages: list[str] | None = None, paths: list[str] | None = None, rerank: bool | None = None, strict: bool = False) -> DataFrame:
-        """query_id, chunk_ord, score, rank for a table of plans and their vectors (query_id, vector)."""
+    def rank(self, plans: DataFrame, query_vectors: DataFrame, languages: list[str] | None = None, paths: list[str] | None = None, rerank: bool | None = None, strict: bool = False, most: int | None = None, total: int | None = None) -> DataFrame:
+        """query_id, chunk_ord, score, rank for a table of plans and their vectors (query_id, vector).
+
+        `most`, `total`: largest and summed number of candidates of the plans, if known."""
         t = self.tables
         allowed = lexical.selector(t["chunks"], languages, paths)
-        most = plans.agg(F.max("candidates")).first()[0]
+        if most is None:
+            most, total = plans.agg(F.max("candidates"), F.sum("candidates")).first()
         if most is None:
             return self.spark.createDataFrame([], "query_id long, chunk_ord long, score double, rank int")
         words = lexical.bm25(plans, t["postings"], t["terms"], t["corpus"], allowed, self.config)
@@ -132,10 +135,14 @@ class SearchIndex:
             rerank = "code" in self.content
         if not rerank:
             return ranking.plain_top(fused, t["chunks"], plans)
-        scores = ranking.boosted(fused, t["chunks"], plans, self.config)
+        # What re-ranking touches is read off the corpus once; for a few queries it is a few hundred rows.
+        few = total <= _LOCAL_ROWS
+        fused = _held(fused, few)
+        seen = _held(ranking.reachable(fused, t["chunks"], plans, self.config), few)
+        scores = ranking.boosted(fused, seen, plans, self.config, t["chunks"])
         if strict and allowed is not None:
             scores = scores.join(allowed, "chunk_ord", "left_semi")
-        return ranking.saturated(scores, t["chunks"], plans, self.config)
+        return ranking.saturated(scores, seen, plans, self.config)
 
     def batch_search(self, queries: DataFrame, top_k: int = 10, alpha: float | None = None, **options) -> DataFrame:
         """queries (query_id, text) -> hits with their chunks, best first within a query."""
@@ -146,9 +153,10 @@ class SearchIndex:
     def search(self, query: str, top_k: int = 10, alpha: float | None = None, **options) -> DataFrame:
         if not query or not query.strip():
             return self._with_chunks(self.spark.createDataFrame([], "query_id long, chunk_ord long, score double, rank int"), self.spark.createDataFrame([], Q.SCHEMA))
-        plans = Q.plans(self.spark, [(0, query)], top_k, alpha, self.config)
+        plan = Q.analyse(0, query, top_k, alpha, self.config)
+        plans = self.spark.createDataFrame([plan], Q.SCHEMA)
         v = [float(x) for x in E.embed_texts(self.backend, [query], self.config)[0]]
-        return self._with_chunks(self.rank(plans, self.spark.createDataFrame([(0, v)], "query_id long, vector array<double>"), **options), plans)
+        return self._with_chunks(self.rank(plans, self.spark.createDataFrame([(0, v)], "query_id long, vector array<double>"), most=plan["candidates"], total=plan["candidates"], **options), plans)
 
     def _with_chunks(self, hits: DataFrame, plans: DataFrame) -> DataFrame:
         shown = self.tables["chunks"].select(*_CHUNK)
@@ -257,6 +265,18 @@ class IndexCache:
         store.delete(self.spark, f"{self.folder}/{store.cache_key(key)}")
 
 
+#: Candidate rows up to which an intermediate result is held on the driver.
+_LOCAL_ROWS = 2000
+
+
+def _held(df: DataFrame, few: bool) -> DataFrame:
+    """A result that several steps read: local rows if it is known to be small, else kept by the executors."""
+    if not few:
+        return df.persist()
+    rows = df.limit(10 * _LOCAL_ROWS + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= 10 * _LOCAL_ROWS else df.persist()
+
+
 def _storage(config: EngineConfig) -> str:
     return "float" if config.float_vectors else "int8"
 

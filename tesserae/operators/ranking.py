@@ -120,10 +120,10 @@ def stem_matches(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: E
     return joined.select("query_id", "chunk_ord", (F.col("score") + gain).alias("score"), "top")
 
 
-def exact_stems(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def exact_stems(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, corpus: DataFrame | None = None) -> DataFrame:
     """A word of a sentence that is the file's name. Generic words are out; if the sentence hints at an
-    implementation file that exists, other exact names gain nothing."""
-    present = meta.where(F.col("stem").isin(*HINTS)).agg(F.collect_set("stem").alias("present"))  # as many as there are hints
+    implementation file that exists in the corpus, other exact names gain nothing."""
+    present = (meta if corpus is None else corpus).where(F.col("stem").isin(*HINTS)).agg(F.collect_set("stem").alias("present"))  # as many as there are hints
     asked = plans.select("query_id", "symbol", "exact_words", "hints").join(F.broadcast(present))
     prefer = F.arrays_overlap("hints", "present")
     bare = lambda x: F.regexp_replace(x, "[-_]", "")
@@ -156,13 +156,26 @@ def locations(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: Engi
     return joined.select("query_id", "chunk_ord", (F.col("score") * factor).alias("score"), "top")
 
 
-def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Coherence, then all query boosts, in their order; each reads the best score from before the first of them."""
+def reachable(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """The chunks that boosts can see: found ones, files named like a symbol, and entry points if a query asks where.
+
+    `boosted` gives the same on these as on all chunks, and reads the corpus once."""
+    ids = scores.select("chunk_ord").unionByName(_injected(plans, meta, config).select("chunk_ord"))
+    if config.improvements:
+        where = plans.where("location AND NOT symbol").limit(1).select(F.lit(True).alias("where"))
+        ids = ids.unionByName(meta.where("entry_like").crossJoin(where).select("chunk_ord"))  # one row or none
+    return meta.join(ids.distinct(), "chunk_ord", "left_semi")
+
+
+def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, corpus: DataFrame | None = None) -> DataFrame:
+    """Coherence, then all query boosts, in their order; each reads the best score from before the first of them.
+
+    `meta`: all chunks, or those `reachable`; then `corpus` has all."""
     s = coherence(scores, meta, config).withColumn("top", F.max("score").over(_per_query()))
     s = stem_matches(s, meta, plans, config)
     s = definitions(s, meta, plans, config)
     if config.improvements:
-        s = exact_stems(s, meta, plans, config)
+        s = exact_stems(s, meta, plans, config, corpus)
         s = locations(s, meta, plans, config)
     return s.select("query_id", "chunk_ord", "score")
 
