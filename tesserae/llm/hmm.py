@@ -39,7 +39,7 @@ SEGMENT = 256
 SMOOTH = 0.1
 SEED = 7
 TASK_TOKENS = 300_000
-STEP_TOKENS = 1_500_000
+STEP_TOKENS = 400_000
 SHARD_BYTES = 48 << 20
 
 
