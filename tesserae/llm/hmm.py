@@ -39,7 +39,7 @@ SEGMENT = 256
 SMOOTH = 0.1
 SEED = 7
 TASK_TOKENS = 300_000
-STEP_TOKENS = 400_000
+STEP_TOKENS = 300_000
 SHARD_BYTES = 48 << 20
 
 
@@ -157,6 +157,12 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows as Python values, one at a time: a row may hold megabytes."""
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """Rows of some hundred texts: their ids, sizes, distinct words (sorted hashes) with training counts, and word numbers."""
 
@@ -196,7 +202,7 @@ def _counted(numbered: DataFrame, shards: int, own: int, hashed: int) -> DataFra
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for batch, words, counts in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for batch, words, counts in _rows(rows):
                 words, counts = np.frombuffer(words, U64), _numbers(counts)
                 shard = (words % U64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
@@ -299,7 +305,7 @@ def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS, parts: int =
             now, sums = held.value, np.zeros(width)
             obs, firsts, n = [], [np.zeros(1, np.int64)], 0
             for rows in batches:
-                for out, sizes, words, tokens in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                for out, sizes, words, tokens in _rows(rows):
                     o, f = _sequences(now, words, np.frombuffer(sizes, "<i8"), tokens, ~np.frombuffer(out, bool))
                     obs.append(o)
                     firsts.append(f[1:] + n)
@@ -337,20 +343,20 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
         now = held.value
         log_all = np.log10(n_train + distinct + 1)
         for rows in batches:
-            for r in rows.to_pylist():
-                words, sizes = np.frombuffer(r["words"], U64), np.frombuffer(r["sizes"], "<i8")
+            for ids, out, sizes, words_held, tokens_held, replies in _rows(rows):
+                words, sizes = np.frombuffer(words_held, U64), np.frombuffer(sizes, "<i8")
                 counts = np.zeros(len(words), np.int64)
                 shard = (words % U64(shards)).astype(np.int64)
-                for told in r["replies"] or ():
+                for told in replies or ():
                     counts[shard == told["shard"]] = _numbers(told["counts"])
-                tokens = _numbers(r["tokens"])
+                tokens = _numbers(tokens_held)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 per_text = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[tokens])))[ends])  # noqa: B023, E731
-                obs, first = _sequences(now, r["words"], sizes, r["tokens"], np.ones(len(sizes), bool))
+                obs, first = _sequences(now, words_held, sizes, tokens_held, np.ones(len(sizes), bool))
                 n = sizes + 1
                 base = per_text(np.log10(counts + 1)) + np.log10(n_texts + 1) - n * log_all
                 yield row_batch(
-                    pa.schema(fields), doc_id=r["ids"], held_out=np.frombuffer(r["held"], bool), n_tokens=n, n_known=per_text((counts > 0).astype(np.int64)) + (n_texts > 0),
+                    pa.schema(fields), doc_id=ids, held_out=np.frombuffer(out, bool), n_tokens=n, n_known=per_text((counts > 0).astype(np.int64)) + (n_texts > 0),
                     train_tokens=np.full(len(n), n_train), base_score=base, score=likelihoods(now, obs, first) + per_text(now.log_in_class(words, counts)),
                 )
 
