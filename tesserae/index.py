@@ -137,9 +137,9 @@ class SearchIndex:
             return ranking.plain_top(fused, t["chunks"], plans)
         # What re-ranking touches is read off the corpus once; for a few queries it is a few hundred rows.
         few = total <= _LOCAL_ROWS
-        fused = _held(fused, few)
-        seen = _held(ranking.reachable(fused, t["chunks"], plans, self.config), few)
-        scores = ranking.boosted(fused, seen, plans, self.config, t["chunks"])
+        fused = held(fused, few)
+        seen = held(ranking.reachable(fused, t["chunks"], plans, self.config), few)
+        scores = ranking.boosted(fused, seen, plans, self.config, t["chunks"], (lambda df: held(df, True)) if few else (lambda df: df))
         if strict and allowed is not None:
             scores = scores.join(allowed, "chunk_ord", "left_semi")
         return ranking.saturated(scores, seen, plans, self.config)
@@ -154,7 +154,7 @@ class SearchIndex:
         if not query or not query.strip():
             return self._with_chunks(self.spark.createDataFrame([], "query_id long, chunk_ord long, score double, rank int"), self.spark.createDataFrame([], Q.SCHEMA))
         plan = Q.analyse(0, query, top_k, alpha, self.config)
-        plans = self.spark.createDataFrame([plan], Q.SCHEMA)
+        plans = self.spark.createDataFrame([plan], Q.SCHEMA).coalesce(1)
         v = [float(x) for x in E.embed_texts(self.backend, [query], self.config)[0]]
         return self._with_chunks(self.rank(plans, self.spark.createDataFrame([(0, v)], "query_id long, vector array<double>"), most=plan["candidates"], total=plan["candidates"], **options), plans)
 
@@ -269,12 +269,13 @@ class IndexCache:
 _LOCAL_ROWS = 2000
 
 
-def _held(df: DataFrame, few: bool) -> DataFrame:
+def held(df: DataFrame, few: bool) -> DataFrame:
     """A result that several steps read: local rows if it is known to be small, else kept by the executors."""
     if not few:
         return df.persist()
     rows = df.limit(10 * _LOCAL_ROWS + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= 10 * _LOCAL_ROWS else df.persist()
+    # One partition: what follows joins and ranks these rows without an exchange.
+    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1) if len(rows) <= 10 * _LOCAL_ROWS else df.persist()
 
 
 def _storage(config: EngineConfig) -> str:

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,15 +169,16 @@ def reachable(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: Engi
     return meta.join(ids.distinct(), "chunk_ord", "left_semi")
 
 
-def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, corpus: DataFrame | None = None) -> DataFrame:
+def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, corpus: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Coherence, then all query boosts, in their order; each reads the best score from before the first of them.
 
-    `meta`: all chunks, or those `reachable`; then `corpus` has all."""
+    `meta`: all chunks, or those `reachable`; then `corpus` has all. `hold` keeps what the next step
+    reads more than once."""
     s = coherence(scores, meta, config).withColumn("top", F.max("score").over(_per_query()))
-    s = stem_matches(s, meta, plans, config)
+    s = hold(stem_matches(s, meta, plans, config))
     s = definitions(s, meta, plans, config)
     if config.improvements:
-        s = exact_stems(s, meta, plans, config, corpus)
+        s = hold(exact_stems(s, meta, plans, config, corpus))
         s = locations(s, meta, plans, config)
     return s.select("query_id", "chunk_ord", "score")
 

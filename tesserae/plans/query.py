@@ -137,7 +137,7 @@ def analyse(query_id: int, text: str | None, top_k: int = 10, alpha: float | Non
 
 def plans(spark: SparkSession, queries: list[tuple[int, str]], top_k: int = 10, alpha: float | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     rows = [analyse(i, t, top_k, alpha, config) for i, t in queries if t and t.strip()]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).coalesce(1)  # a list is small: one partition needs no exchange
 
 
 def analysed(queries: DataFrame, top_k: int = 10, alpha: float | None = None, config: EngineConfig = DEFAULT) -> DataFrame:

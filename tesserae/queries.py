@@ -17,7 +17,7 @@ from .config import DEFAULT
 from .functions import paths as P
 from .functions import text as T
 from .functions import vectors as V
-from .index import SearchIndex
+from .index import SearchIndex, held
 from .operators import chunking, evaluation, guard, incremental, lexical, ranking, results, vector
 from .plans import query as Q
 from .store import export_postings
@@ -281,7 +281,8 @@ fused AS (SELECT chunk_ord, round(coalesce({alpha}::DOUBLE / (60 + sem.rank), 0)
 def _fused(spark: SparkSession, sf_dir: str, alpha: float | None, text: str = TEXT_QUERY, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     plans = Q.plans(spark, [(0, text)], k, alpha)
     chunks, near, words = _hits(spark, sf_dir, plans)
-    return chunks, plans, ranking.fuse(near, words, plans).withColumn("score", F.round("score", 9))
+    # Both hit lists have 50 rows at most; the steps after this read them several times.
+    return chunks, plans, held(ranking.fuse(near, words, plans).withColumn("score", F.round("score", 9)), True)
 
 
 @register(f"WITH {sql_fused(0.5)} SELECT chunk_ord, score FROM fused")
@@ -356,8 +357,9 @@ coherent AS (SELECT chunk_ord, file_path, start_line, round(score + (SELECT max(
 def hybrid_rerank(spark, sf_dir):
     chunks, plans, fused = _fused(spark, sf_dir, None, _PREFIXED)
     meta = ranking.chunk_meta(chunks)
-    scores = ranking.boosted(fused, meta, plans).withColumn("score", F.round("score", 9))
-    return ranking.saturated(scores, meta, plans).select("chunk_ord", F.round("score", 9).alias("score"), "rank")
+    seen = held(ranking.reachable(fused, meta, plans), True)
+    scores = ranking.boosted(fused, seen, plans, corpus=meta, hold=lambda df: held(df, True)).withColumn("score", F.round("score", 9))
+    return ranking.saturated(scores, seen, plans).select("chunk_ord", F.round("score", 9).alias("score"), "rank")
 
 
 PATHS = [
