@@ -44,18 +44,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the queries that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def write(df: DataFrame, path: str) -> None:
     """Writes `df` as Parquet; its shuffle files go as soon as it is written, as nothing reads them again."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
+    with setting(df.sparkSession, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        conf.set(_CLEANUP, before)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, long_id, row_batch
+from .common import keep, long_id, row_batch, setting
 from .text import LOWER, U64, Words, raw, slices
 
 STATES, ROUNDS = 4, 6
@@ -41,6 +41,7 @@ SEED = 7
 TASK_TOKENS = 300_000
 STEP_TOKENS = 300_000
 SHARD_BYTES = 48 << 20
+BATCH_BYTES = "8m"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -328,7 +329,15 @@ def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS, parts: int =
 
 
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, hashed: int = HASHED) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document.
+
+    Rows between the steps hold megabytes, so Arrow batches are kept small; the scores are written
+    before this returns."""
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        return keep(_scored(docs, states, rounds, own, hashed), "scores")
+
+
+def _scored(docs: DataFrame, states: int, rounds: int, own: int, hashed: int) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-size // SHARD_BYTES))
