@@ -195,19 +195,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     )
 
 
+def _union(parts) -> list[int]:
+    """Flat starts and ends of what the spans of all parts cover, those that touch merged."""
+    out: list[int] = []
+    for a, b in sorted((int(p[i]), int(p[i + 1])) for p in parts for i in range(0, len(p), 2)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
 def _merge_spans(column: str):
     @F.pandas_udf("array<long>")
     def merge(lists):
-        def one(parts):
-            out: list[int] = []
-            for a, b in sorted((int(p[i]), int(p[i + 1])) for p in parts for i in range(0, len(p), 2)):
-                if out and a <= out[-1]:
-                    out[-1] = max(out[-1], b)
-                else:
-                    out += [a, b]
-            return out
-
-        return lists.map(one)
+        return lists.map(_union)
 
     return merge(column)
 
@@ -225,41 +227,47 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cut_spans: bool = False, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cut_spans: bool = False, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated. With `cut_spans`, hit words of the kept ones go too.
 
-    The verdict is a column of the row itself, so nothing is joined or shuffled; a further block of
-    items filters what the previous one left."""
+    The spans found so far are a column of the row itself, so nothing is joined or shuffled; each
+    block of items adds its own to them, and rows are judged and cut once, after the last block."""
     spark, out = docs.sparkSession, docs
     if docs.isEmpty():
         return docs
-    for k, block in enumerate(blocks(benchmark)):
+    name = "__judged"
+    while name in out.columns:
+        name += "_"
+    for k, block in enumerate(blocks(benchmark, block_words)):
         out = keep(out, "decontam") if k else out  # one automaton in a worker at a time
         held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        schema = "hit long, words long, text string"
 
-        @F.pandas_udf(schema)
-        def judge(texts, held=held):
+        @F.pandas_udf("hit long, words long, spans array<long>")
+        def judge(texts, before, held=held):
             import pandas as pd
 
             rows = []
-            for t in texts:
-                b = (t or "").encode()
-                words = b.translate(ALNUM).split()
-                spans, _ = held.value.match(words)
-                hit = sum(y - x for x, y in spans)
-                rows.append((hit, len(words), _cut(b, spans).decode() if cut_spans and hit and t is not None else t))
-            return pd.DataFrame(rows, columns=["hit", "words", "text"])
-
-        name = "__judged"
-        while name in out.columns:
-            name += "_"
-        out = out.withColumn(name, judge("text"))
-        hit, words = F.col(f"{name}.hit"), F.col(f"{name}.words")
-        out = out.where(~((hit > 0) & (coverage * hit >= words)))
-        out = out.withColumn("text", F.col(f"{name}.text")) if cut_spans else out
-        out = out.drop(name)
-    return out
+            for t, old in zip(texts, before, strict=True):
+                words = (t or "").encode().translate(ALNUM).split()
+                spans = [x for y in held.value.match(words)[0] for x in y]
+                spans = _union([spans, old]) if old is not None and len(old) else spans
+                rows.append((sum(spans[1::2]) - sum(spans[::2]), len(words), spans))
+            return pd.DataFrame(rows, columns=["hit", "words", "spans"])
+
+        out = out.withColumn(name, judge("text", F.col(f"{name}.spans") if k else F.lit(None).cast("array<long>")))
+    hit, words = F.col(f"{name}.hit"), F.col(f"{name}.words")
+    out = out.where(~((hit > 0) & (coverage * hit >= words)))
+    if cut_spans:
+
+        @F.pandas_udf("string")
+        def cut(texts, spans):
+            import pandas as pd
+
+            pairs = [list(zip(s[::2], s[1::2], strict=True)) for s in spans]
+            return pd.Series([_cut(t.encode(), p).decode() if p and t is not None else t for t, p in zip(texts, pairs, strict=True)], dtype=object)
+
+        out = out.withColumn("text", cut("text", F.col(f"{name}.spans")))
+    return out.drop(name)
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -61,6 +61,34 @@ def test_clean_keeps_columns_and_cuts(spark):
     assert cut[4].startswith("Head , tail x") and cut[2] == "Clean, text." and cut[3] is None
 
 
+@pytest.mark.parametrize("block_words", [1, 40, 10**6])
+def test_clean_joins_the_hits_of_all_blocks(spark, block_words):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, long = say(13), say(13), say(30).split()
+    overlapping = [" ".join(long[:20]), " ".join(long[10:])]
+    bench = [(1, one), (2, two), (3, overlapping[0]), (4, overlapping[1]), (5, None)]
+    docs = [
+        (1, f"{say(100)} {one} {say(200)} {two} {say(80)}"),  # a thirtieth by either item, a fifteenth in all
+        (2, f"{say(100)} {one} {say(300)}"),
+        (3, f"{say(400)}, {' '.join(long)}! {say(400)}"),
+        (4, f"{say(200)} {one} {two} {say(600)}"),
+        (5, say(30)), (6, None), (7, ""), (None, two),
+    ]
+    frame, bench_frame = cases.frame(spark, docs), items(spark, bench)
+    want = {w[0]: w for w in expected(docs, bench) if not w[5]}
+    assert set(want) == {2, 3, 4, 5, 6, 7}
+    kept = {r.doc_id: r.text for r in decontam.clean(frame, bench_frame, block_words=block_words).collect()}
+    assert kept == {d: t for d, t in docs if d in want}
+    cut = decontam.clean(frame, bench_frame, cut_spans=True, block_words=block_words)
+    assert cut.columns == frame.columns
+    cut = {r.doc_id: r.text for r in cut.collect()}
+    assert set(cut) == set(want) and cut[6] is None
+    for d, t in cut.items():
+        assert len((t or "").split()) == want[d][1] - want[d][2] + (d == 3)  # the `!` stays, apart from its word
+    assert not set(long) & set(cut[3].replace(",", " ").replace("!", " ").split())
+
+
 def test_empty_tables(spark):
     assert decontam.digest(cases.frame(spark, []), items(spark, [(1, "a")])).count() == 0
     assert not decontam.digest(cases.frame(spark, [(1, "a b")]), items(spark, [])).first().contaminated
