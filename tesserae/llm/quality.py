@@ -25,9 +25,10 @@ from .text import PLAIN, Words, raw, slices
 MIN_WORDS = 50
 #: Repeats of so many words or more count for the verdict.
 MIN_REPEAT = 8
-#: Largest share of a text's words under such repeats, and largest share of the longest one.
-MAX_COVERED = 0.5
-MAX_LONGEST = 0.4
+#: Largest share of a text's words under such repeats, and largest share of the longest one. The base
+#: rule leaves at most half the words under repeats, so limits near that would reject nothing.
+MAX_COVERED = 0.2
+MAX_LONGEST = 0.1
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = bytes([9, 10, 11, 12, 13, 32])
@@ -138,7 +139,7 @@ def verdict(m: dict[str, np.ndarray], max_covered: float = MAX_COVERED, max_long
     """base_failed and kept."""
     n = m["n_words"]
     base = (n < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * n)
-    return base, ~base & (m["n_covered"] <= max_covered * n) & (m["longest"] <= max_longest * n)
+    return base, ~base & (m["n_covered"] <= max_covered * n) & ((m["longest"] <= max_longest * n) | (m["longest"] < MIN_REPEAT))
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -84,6 +84,23 @@ def test_verdict_limits_and_filter(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_limits_reject_what_the_base_rule_passes(spark):
+    say = lambda n, k: " ".join(f"{k}{x}" for x in range(n))
+    docs = [
+        (1, f"{say(50, 'p')} {say(100, 'a')} {say(50, 'p')} {say(100, 'b')}"),  # a third is one passage and its copy
+        (2, " ".join(f"{say(10, 'p')} {say(25, k)}" for k in "abcdefgh")),  # boilerplate, eight times
+        (3, f"{say(150, 'a')} {' '.join([say(5, 'p')] * 5)} {say(20, 'b')}"),  # a run that overlaps its copy
+        (4, f"{say(9, 'p')} {say(100, 'a')} {say(9, 'p')} {say(100, 'b')}"),  # one line quoted again
+        (5, f"{say(6, 'p')} {say(20, 'a')} {say(6, 'p')} {say(20, 'b')}"),  # a phrase below MIN_REPEAT in a short text
+        (6, f"{say(20, 'p')} {say(80, 'a')} {say(20, 'p')} {say(80, 'b')}"),  # at both limits
+    ]
+    rows = {r.doc_id: r for r in quality.quality(cases.frame(spark, docs)).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {d for d, r in rows.items() if not r.kept} == {1, 2, 3}
+    assert rows[2].longest <= quality.MAX_LONGEST * rows[2].n_words and rows[3].n_covered <= quality.MAX_COVERED * rows[3].n_words
+    assert sorted(r.doc_id for r in quality.filter_quality(cases.frame(spark, docs)).collect()) == [4, 5, 6]
+
+
 def test_empty_table(spark):
     assert quality.quality(cases.frame(spark, [])).count() == 0
     assert quality.filter_quality(cases.frame(spark, [])).count() == 0
