@@ -9,8 +9,8 @@ texts sum to one (one place per class is kept for words never seen).
 1. Texts become arrays of word numbers, with each task's words and their counts, in the shared folder.
 2. Words and counts meet in shards by hash, summed per task before; each task's words get their
    corpus-wide counts back. The vocabulary is never in one place.
-3. Each round, tasks run the forward-backward recursion over all training tokens, with long texts
-   in segments, and send one set of expected counts each; these are summed in groups, then on the driver.
+3. Each round, tasks run the forward-backward recursion over all training tokens, each text whole,
+   and send one set of expected counts each; these are summed in groups, then on the driver.
 4. A text's score is its exact log10 likelihood by the scaled forward recursion over all its words.
 
 Null or empty text: just the end. A null id counts as a training text. Rows that repeat an id are
@@ -34,7 +34,6 @@ from .text import LOWER, U64, Words, raw, slices
 
 STATES, ROUNDS = 4, 6
 OWN, HASHED = 512, 512
-SEGMENT = 256
 #: Added to each expected emission and transition.
 SMOOTH = 0.1
 SEED = 7
@@ -101,29 +100,40 @@ def forward(model: Model, obs: np.ndarray, starts: np.ndarray, sizes: np.ndarray
         yield at, alpha, scale
 
 
-def expected_counts(model: Model, obs: np.ndarray, first: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Expected transitions, emissions, starts and the log likelihood over the texts, as one flat array."""
-    starts, sizes, begins = segments(first, segment)
+def expected_counts(model: Model, obs: np.ndarray, first: np.ndarray, segment: int | None = None) -> np.ndarray:
+    """Expected transitions, emissions, starts and the log likelihood over the texts, as one flat array.
+
+    Texts are taken whole, unless `segment` cuts them into pieces of so many words."""
+    starts, sizes, begins = segments(first, segment or max(1, int(np.diff(first).max(initial=0))))
     order = np.argsort(-sizes, kind="stable")
     starts, sizes, begins = starts[order], sizes[order], begins[order]
-    s = len(model.start)
-    moves, gamma = np.zeros((s, s)), np.empty((len(obs), s))
-    steps = list(forward(model, obs, starts, sizes, begins))
-    beta = ahead = None
-    for at, alpha, scale in reversed(steps):
-        beta_now = np.ones_like(alpha)
-        if ahead is not None:
-            weight = ahead  # emission and beta of the next step, over its scale
-            n = len(weight)
-            beta_now[:n] = weight @ model.move.T
-            moves += (alpha[:n].T @ weight) * model.move
-        gamma[at] = alpha * beta_now
-        beta = beta_now
-        ahead = model.emit[obs[at]] * beta / scale[:, None]
-    emitted = np.stack([np.bincount(obs, gamma[:, k], len(model.emit)) for k in range(s)], 1)
-    starting = gamma[starts[begins]].sum(0) if len(obs) else np.zeros(s)
-    likelihood = sum(np.log10(c).sum() for _, _, c in steps)
-    return np.concatenate([moves.ravel(), emitted.ravel(), starting, gamma.sum(0), [likelihood]])
+    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
+    cuts = np.concatenate(([0], np.cumsum(live)))
+    # Positions step by step, so that a step is a slice; `nth`: the sequence of each.
+    nth = np.arange(cuts[-1]) - np.repeat(cuts[:-1], live)
+    seen = obs[starts[nth] + np.repeat(np.arange(len(live)), live)]
+    emit = model.emit[seen]
+    alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.empty(len(emit))
+    steps = list(zip([0, *cuts[:-2].tolist()], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if len(live) else []
+    for before, a, b in steps:
+        now = alpha[a:b]
+        if a:
+            np.matmul(alpha[before : before + b - a], model.move, out=now)
+        else:
+            now[:] = np.where(begins[:, None], model.start, model.rest)
+        now *= emit[a:b]
+        now.sum(1, out=scale[a:b])
+        now /= scale[a:b, None]
+    weight, back = emit / scale[:, None], np.ascontiguousarray(model.move.T)
+    for before, a, b in reversed(steps[1:]):
+        weight[a:b] *= beta[a:b]
+        np.matmul(weight[a:b], back, out=beta[before : before + b - a])
+    n = len(sizes)
+    ahead = np.repeat(cuts[:-2], live[1:]) + nth[n:] if len(live) else nth
+    moves = (alpha[ahead].T @ weight[n:]) * model.move
+    gamma = alpha * beta
+    emitted = np.stack([np.bincount(seen, gamma[:, k], len(model.emit)) for k in range(len(model.start))], 1)
+    return np.concatenate([moves.ravel(), emitted.ravel(), gamma[:n][begins].sum(0), gamma.sum(0), [np.log10(scale).sum()]])
 
 
 def likelihoods(model: Model, obs: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -80,6 +80,29 @@ def test_segments_cover_every_token():
     assert sorted(starts[begins].tolist()) == [0, 1, 8] and sizes.max() == 5
 
 
+def test_training_takes_long_texts_whole():
+    rng = np.random.default_rng(4)
+    model = random_model(rng)
+    sizes = [700, 3, 257]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    obs = rng.integers(0, 8, first[-1])
+    want = np.zeros((3, 3))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        text = obs[a:b]
+        alpha, beta = [model.start * model.emit[text[0]]], [np.ones(3)]
+        for o in text[1:]:
+            alpha.append(alpha[-1] / alpha[-1].sum() @ model.move * model.emit[o])
+        for o in text[:0:-1]:
+            beta.append(model.move @ (model.emit[o] * beta[-1] / beta[-1].sum()))
+        for x, y, o in zip(alpha[:-1], beta[-2::-1], text[1:], strict=True):
+            pair = x[:, None] * model.move * (model.emit[o] * y)
+            want += pair / pair.sum()
+    sums = hmm.expected_counts(model, obs, first)
+    assert sums[:9].sum() == pytest.approx(sum(sizes) - len(sizes))  # a transition between any two words
+    assert sums[:9].reshape(3, 3) == pytest.approx(want)
+    assert sums[-1] == pytest.approx(hmm.likelihoods(model, obs, first).sum())
+
+
 def test_rounds_raise_the_likelihood():
     rng = np.random.default_rng(2)
     model = random_model(rng)
