@@ -205,6 +205,25 @@ def knn_int8(spark, sf_dir):
     return _near(vector.nearest(vector.quantized(vectors_of(spark, sf_dir)), probe(spark, sf_dir, 20), 40), 10)
 
 
+def batch_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose id is divisible by 20, as queries: their number grows with the table."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _sql_batch(near: str) -> str:
+    return f"WITH {(near % 20).replace('vec_id < 20', 'vec_id % 20 = 0')} SELECT query_id, chunk_ord, score, rank FROM ({ranked('near', 10)})"
+
+
+@register(_sql_batch(_FLOAT))
+def knn_float_batch(spark, sf_dir):
+    return _near(vector.nearest(vectors_of(spark, sf_dir), batch_probes(spark, sf_dir), 40), 10)
+
+
+@register(_sql_batch(_INT8))
+def knn_int8_batch(spark, sf_dir):
+    return _near(vector.nearest(vector.quantized(vectors_of(spark, sf_dir)), batch_probes(spark, sf_dir), 40), 10)
+
+
 @register(f"WITH {_FLOAT % 1} SELECT query_id, chunk_ord, score, rank FROM ({ranked('(SELECT * FROM near WHERE label IN (2, 5))', 20)})")
 def knn_label_filter(spark, sf_dir):
     vectors = vectors_of(spark, sf_dir)

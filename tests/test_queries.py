@@ -42,3 +42,36 @@ def test_same_rows(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("kind", ["float", "int8"])
+def test_batch_neighbours_ask_every_twentieth_row(spark, kind):
+    """All stated queries against all rows, by brute force; the block path gives the same."""
+    import numpy as np
+
+    from tesserae.config import EngineConfig
+    from tesserae.operators import vector
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    scale, sent = np.ones(len(v)), np.ones(len(v))
+    if kind == "int8":
+        top = np.abs(v).max(1)
+        scale = np.where(top > 0, top / 127, 1.0)
+        v, sent = np.clip(np.floor(v / scale[:, None] + 0.5), -127, 127), scale.astype(np.float32).astype(np.float64)
+    want = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = (v @ v[q]) * scale[q] * sent
+        want[int(ids[q])] = np.sort(score)[::-1][:10]
+    assert len(want) == 100
+    got = {}
+    for r in queries.QUERIES[f"knn_{kind}_batch"](spark, folder).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert set(got) == set(want)
+    for q, found in got.items():
+        assert [r.score for r in found] == pytest.approx(want[q], abs=2e-6)
+    have = queries.vectors_of(spark, folder)
+    have = vector.quantized(have) if kind == "int8" else have
+    blocks = queries._near(vector.nearest(have, queries.batch_probes(spark, folder), 40, config=EngineConfig(broadcast_rows=30)), 10)
+    assert sorted(map(tuple, blocks.collect())) == sorted(tuple(r) for x in got.values() for r in x)
