@@ -2,10 +2,11 @@
 
 Pages that a rule decides are the labelled ones. Paths become templates: runs of digits in a
 segment turn into `#`, and below each node of the host's tree a segment with few of the node's
-pages turns into `*`. A branch whose share of blocked labelled pages differs from its parent's by
-no more than chance (two-proportion test) is merged with the parent, from the host down. A page
-without a rule gets the verdict of its template: blocked if the template's smoothed share of
-blocked labelled pages exceeds `REJECT`, so a template without labels passes.
+pages turns into `*`. From the host down, a branch is merged with its parent unless its share of
+blocked labelled pages differs from the merged parent's by more than chance (two-proportion test),
+so a branch without labels takes its parent's purity. A branch that stays apart has its own share,
+smoothed towards the purity of the merged parent; the host's is smoothed towards a half. A page
+without a rule gets the verdict of its template: blocked if that purity exceeds `REJECT`.
 
 DataFrame functions only. Pages are counted per template before anything else, so the tree is
 built from templates; pages meet their template in one join on host and template, which adaptive
@@ -13,7 +14,9 @@ execution splits if a host is hot. The tree has `DEPTH` levels; all deeper segme
 its last level as one text, so no page is left out.
 
 A null url, or one without `://`, has an empty host and path; it fits no rule and is judged by
-that template. Rows are judged one by one: ids may be null or repeated.
+that template. Paths of any length are read whole. Rows are judged one by one: ids may be null or
+repeated. Only page_id and url are read, so other columns may have any name. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -32,10 +35,9 @@ DEPTH = 3
 #: A segment needs so many pages, and such a share of its node's pages, to stay a branch of its own.
 MIN_PAGES = 5
 MIN_SHARE = 0.01
-#: Labelled pages that a branch and its parent need to be compared, and the squared normal quantile.
-MIN_LABELLED = 8
+#: Squared normal quantile beyond which two shares differ.
 Z2 = 3.84
-#: Smoothing: so many labelled pages, half of them blocked, are added to each template.
+#: Smoothing: so many labelled pages of the parent's purity are added to a branch (half of them blocked, to a host).
 PRIOR = 4
 REJECT = 0.8
 
@@ -76,11 +78,11 @@ def _branches(paths: DataFrame) -> DataFrame:
     return out
 
 
-def _similar(n: Column, b: Column, pn: Column, pb: Column) -> Column:
-    """Whether two shares of blocked pages differ by no more than chance."""
+def _differs(n: Column, b: Column, pn: Column, pb: Column) -> Column:
+    """Whether two shares of blocked pages differ by more than chance; without labels nothing does."""
     p = (b + pb) / (n + pn)
     diff = b / n - pb / pn
-    return F.when((n >= MIN_LABELLED) & (pn >= MIN_LABELLED), diff * diff <= Z2 * p * (1 - p) * (1 / n + 1 / pn)).otherwise(False)
+    return F.when((n > 0) & (pn > 0), diff * diff > Z2 * p * (1 - p) * (1 / n + 1 / pn)).otherwise(False)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -92,12 +94,14 @@ def templates(pages: DataFrame) -> DataFrame:
         own = tree.groupBy(*node).agg(F.sum("labelled").cast("double").alias(f"own_n{level}"), F.sum("blocked").cast("double").alias(f"own_b{level}"))
         stats = stats.join(own, node)
     n, b = F.col("own_n0"), F.col("own_b0")
+    stats = stats.withColumns({"eff_n0": n, "eff_b0": b, "purity0": (b + PRIOR / 2) / (n + PRIOR)})
     for level in range(1, DEPTH + 1):
-        stats = stats.withColumns({f"eff_n{level - 1}": n, f"eff_b{level - 1}": b})
-        pn, pb, cn, cb = F.col(f"eff_n{level - 1}"), F.col(f"eff_b{level - 1}"), F.col(f"own_n{level}"), F.col(f"own_b{level}")
-        same = _similar(cn, cb, pn, pb)
-        n, b = F.when(same, pn).otherwise(cn), F.when(same, pb).otherwise(cb)
-    purity = (b + PRIOR / 2) / (n + PRIOR)
+        pn, pb, above = F.col(f"eff_n{level - 1}"), F.col(f"eff_b{level - 1}"), F.col(f"purity{level - 1}")
+        n, b = F.col(f"own_n{level}"), F.col(f"own_b{level}")
+        apart = _differs(n, b, pn, pb)
+        pick = lambda own, parent, apart=apart: F.when(apart, own).otherwise(parent)
+        stats = stats.withColumns({f"eff_n{level}": pick(n, pn), f"eff_b{level}": pick(b, pb), f"purity{level}": pick((b + PRIOR * above) / (n + PRIOR), above)})
+    purity = F.col(f"purity{DEPTH}")
     return stats.select("host", *[f"s{k}" for k in range(1, DEPTH + 1)], *[f"t{k}" for k in range(1, DEPTH + 1)], purity.alias("purity"), (purity > REJECT).alias("rejected"))
 
 
@@ -133,14 +137,15 @@ b{k} AS (SELECT *, CASE WHEN s{k} IN ('', '#') THEN s{k} WHEN seg_n < {MIN_PAGES
        FROM (SELECT * EXCLUDE (seg_n, node_n), sum(n) OVER (PARTITION BY {above}, s{k}) AS seg_n, sum(n) OVER (PARTITION BY {above}) AS node_n FROM (SELECT *, 0 AS seg_n, 0 AS node_n FROM {source})))"""
         source = f"(SELECT * EXCLUDE (seg_n, node_n) FROM b{k})"
     own = ", ".join(f"CAST(sum(labelled) OVER (PARTITION BY {', '.join(_node(k))}) AS DOUBLE) AS own_n{k}, CAST(sum(blocked) OVER (PARTITION BY {', '.join(_node(k))}) AS DOUBLE) AS own_b{k}" for k in range(DEPTH + 1))
-    merged, source = "", "own"
+    merged = ""
     for k in range(1, DEPTH + 1):
-        n, b, pn, pb = f"own_n{k}", f"own_b{k}", f"eff_n{k - 1}", f"eff_b{k - 1}"
-        src = "(SELECT *, own_n0 AS eff_n0, own_b0 AS eff_b0 FROM own)" if k == 1 else f"m{k - 1}"
-        p = f"(({b} + {pb}) / ({n} + {pn}))"
-        same = f"{n} >= {MIN_LABELLED} AND {pn} >= {MIN_LABELLED} AND ({b} / {n} - {pb} / {pn}) * ({b} / {n} - {pb} / {pn}) <= {Z2} * {p} * (1 - {p}) * (1 / {n} + 1 / {pn})"
+        n, b, pn, pb, above = f"own_n{k}", f"own_b{k}", f"eff_n{k - 1}", f"eff_b{k - 1}", f"purity{k - 1}"
+        src = f"(SELECT *, own_n0 AS eff_n0, own_b0 AS eff_b0, (own_b0 + {PRIOR / 2}) / (own_n0 + {PRIOR}) AS purity0 FROM own)" if k == 1 else f"m{k - 1}"
+        p, diff = f"(({b} + {pb}) / ({n} + {pn}))", f"({b} / {n} - {pb} / {pn})"
+        apart = f"{n} > 0 AND {pn} > 0 AND {diff} * {diff} > {Z2} * {p} * (1 - {p}) * (1 / {n} + 1 / {pn})"
+        pick = lambda own, parent, apart=apart: f"CASE WHEN {apart} THEN {own} ELSE {parent} END"
         merged += f""",
-m{k} AS (SELECT *, CASE WHEN {same} THEN {pn} ELSE {n} END AS eff_n{k}, CASE WHEN {same} THEN {pb} ELSE {b} END AS eff_b{k} FROM {src})"""
+m{k} AS (SELECT *, {pick(n, pn)} AS eff_n{k}, {pick(b, pb)} AS eff_b{k}, {pick(f"({b} + {PRIOR} * {above}) / ({n} + {PRIOR})", above)} AS purity{k} FROM {src})"""
     keys = ["host", *[f"s{k}" for k in range(1, DEPTH + 1)]]
     segs = ", ".join(f"coalesce(parts[{k}], '') AS s{k}" for k in range(1, DEPTH)) + f", array_to_string(parts[{DEPTH}:], '/') AS s{DEPTH}"
     return f"""
@@ -150,7 +155,7 @@ r AS (SELECT *, {rule} AS rule FROM h),
 s AS (SELECT *, {segs} FROM (SELECT *, string_split(regexp_replace(substring(path, 2), '[0-9]+', '#', 'g'), '/') AS parts FROM r)),
 c AS (SELECT {', '.join(keys)}, count(*) AS n, count(rule) AS labelled, count(*) FILTER (WHERE rule IN ({blocks})) AS blocked FROM s GROUP BY ALL){levels},
 own AS (SELECT *, {own} FROM (SELECT * EXCLUDE (seg_n, node_n) FROM b{DEPTH})){merged},
-v AS (SELECT {', '.join(keys)}, {', '.join(f't{k}' for k in range(1, DEPTH + 1))}, (eff_b{DEPTH} + {PRIOR / 2}) / (eff_n{DEPTH} + {PRIOR}) AS purity FROM m{DEPTH})
+v AS (SELECT {', '.join(keys)}, {', '.join(f't{k}' for k in range(1, DEPTH + 1))}, purity{DEPTH} AS purity FROM m{DEPTH})
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ({blocks}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END AS verdict,
        host || '/' || {" || '/' || ".join(f't{k}' for k in range(1, DEPTH + 1))} AS template, round(purity, 6) AS purity

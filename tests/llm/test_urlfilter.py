@@ -49,17 +49,73 @@ def test_tables(spark):
     check(urlfilter.filter_urls(pages).collect(), data)
 
 
+def brute(data, rules):
+    """page_id -> verdict, by the rule as worded: templates, merging and smoothing one page at a time."""
+    pages = []
+    for page_id, url in data:
+        host, path = split(url)
+        fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        segments = re.sub("[0-9]+", "#", path[1:]).split("/")
+        segments = [*segments[:2], "/".join(segments[2:])]
+        pages.append([page_id, host, max(fit)[2] if fit else None, [*segments, "", "", ""][:3], ()])
+    for level in range(3):
+        node, branch = {}, {}
+        for p in pages:
+            node[p[1], p[4]] = node.get((p[1], p[4]), 0) + 1
+            branch[p[1], p[4], p[3][level]] = branch.get((p[1], p[4], p[3][level]), 0) + 1
+        for p in pages:
+            n, s = branch[p[1], p[4], p[3][level]], p[3][level]
+            p[4] += (s if s in ("", "#") or (n >= 5 and n >= 0.01 * node[p[1], p[4]]) else "*",)
+    out, labelled = {}, {}
+    for p in pages:
+        for k in range(4):
+            for v in {None, p[2]} if p[2] else ():
+                labelled[p[1], p[4][:k], v] = labelled.get((p[1], p[4][:k], v), 0) + 1
+    for page_id, host, label, _, template in pages:
+        held = lambda k, v, h=host, t=template: labelled.get((h, t[:k], v), 0)
+        n, b = held(0, None), held(0, "block")
+        purity = (b + 2) / (n + 4)
+        for k in (1, 2, 3):
+            cn, cb = held(k, None), held(k, "block")
+            if cn and n:
+                p = (b + cb) / (n + cn)
+                if (cb / cn - b / n) ** 2 > 3.84 * p * (1 - p) * (1 / cn + 1 / n):
+                    n, b, purity = cn, cb, (cb + 4 * purity) / (cn + 4)
+        out[page_id] = label or ("block" if purity > 0.8 else "allow")
+    return out
+
+
 def test_template_purity(spark):
-    rules = [("bad.com", "/spam/good", "allow"), ("bad.com", "/spam/x", "block"), ("ok.com", "/a/", "allow")]
+    rules = [("bad.com", "/spam/good", "allow"), ("bad.com", "/spam/x", "block"), ("ok.com", "/a/", "allow"), ("mixed.com", "/a/", "allow"), ("mixed.com", "/b/x", "block")]
     data = [(i, f"http://bad.com/spam/x{i}/{i}") for i in range(40)]
-    data += [(100 + i, f"http://bad.com/spam/y{i}/{i}") for i in range(3)]  # same template as the blocked ones below `*`
-    data += [(200 + i, f"http://bad.com/news/{i}") for i in range(10)]
+    data += [(100 + i, f"http://bad.com/spam/y{i}/{i}") for i in range(3)]  # no label below `*`: the branch's purity
+    data += [(200 + i, f"http://bad.com/news/{i}") for i in range(10)]  # no label: the host's
     data += [(300 + i, f"http://ok.com/a/{i}") for i in range(30)] + [(400, "http://ok.com/b/1"), (401, "http://new.com/")]
-    verdict = {r.page_id: r.verdict for r in urlfilter.filter_urls(frame(spark, data), rules).collect()}
-    assert {verdict[i] for i in range(40)} == {"block"}
-    assert {verdict[200 + i] for i in range(10)} == {"allow"} and verdict[400] == verdict[401] == verdict[300] == "allow"
+    data += [(500 + i, f"http://mixed.com/a/{i}") for i in range(30)] + [(600 + i, f"http://mixed.com/b/x{i}") for i in range(20)]
+    data += [(700 + i, f"http://mixed.com/{s}/y{i}") for i, s in enumerate("abc")]
     rows = {r.page_id: r for r in urlfilter.filter_urls(frame(spark, data), rules).collect()}
+    verdict = {k: r.verdict for k, r in rows.items()}
+    assert {verdict[i] for i in range(40)} == {"block"}
+    assert {verdict[100 + i] for i in range(3)} == {verdict[200 + i] for i in range(10)} == {"block"}
+    assert verdict[400] == verdict[401] == verdict[300] == "allow"
+    # A branch that differs from its host is judged by its own labels, one without labels by the host's.
+    assert (verdict[700], verdict[701], verdict[702]) == ("allow", "block", "allow")
     assert rows[5].template == "bad.com/spam/x#/#" and rows[100].template == "bad.com/spam/*/#"
+    assert verdict == brute(data, rules)
+
+
+def test_verdicts_against_brute_force(spark):
+    pages = cases.table(spark, "sf0.1", "pages")
+    data = [(r.page_id, r.url) for r in pages.collect()]
+    rows = urlfilter.filter_urls(pages).collect()
+    assert {r.page_id: r.verdict for r in rows} == brute(data, urlfilter.RULES)
+    assert any(r.rule is None and r.verdict == "block" for r in rows) and any(r.rule is None and r.verdict == "allow" for r in rows)
+
+
+def test_long_paths(spark):
+    data = [(i, "http://net.com/" + "a/" * 50_000 + str(i)) for i in range(3)]
+    rows = urlfilter.filter_urls(frame(spark, data)).collect()
+    assert len(rows) == 3 and {len(r.path) for r in rows} == {100_002}
 
 
 def test_repeated_and_null_ids_and_empty(spark):
