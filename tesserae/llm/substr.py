@@ -1,20 +1,25 @@
 """Substring dedup: Rabin-Karp hashes of every window of `window` words, counted in shards.
 
 Every window has a 64-bit hash, and an independent second one that picks its shard, so windows
-meet only if all 64 bits and the shard agree; the shards grow with the text.
+meet only if all 64 bits and the shard agree. Shards grow with the text up to `MAX_SHARDS`, and a
+partition of the shuffle, of which there are at most `MAX_PARTITIONS`, holds consecutive numbers of
+them, dealt by number and not by its hash, so that no partition gets several where others get none.
 
 1. Each task sorts the hashes of a few million windows and keeps, for each, the smallest doc_id of
    its own documents. Its other holders are known to be repeats at once. What is shuffled is
    therefore one entry per hash and task, however often a window occurs, and it goes as packed
    arrays: 8 bytes of hash and 1 to 8 of doc_id step, not as a row per window.
-2. A shard sorts its hashes; entries of a document above the smallest one are repeats.
+2. A partition reads its shards one after the other, as Spark's sort delivers them. A shard sorts
+   its hashes, `PASS_WINDOWS` at a time, each pass those of one residue; entries of a document above
+   the smallest one are repeats.
 3. Repeats go, packed by ranges of documents, to where they are gathered per document, are written
    to the shared folder and joined to the texts, whose repeated windows merge into maximal removal
    intervals.
 
 Null or empty text: no words. Null ids count as one document larger than all others; rows that
 repeat an id are one document, and lose the same windows. Texts shorter than a window lose
-nothing. Empty tables stay empty.
+nothing; texts of any length are taken whole. Only doc_id and text are read, so other columns may
+have any name. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -35,6 +40,11 @@ WINDOW = 13
 #: Windows that a task sorts at a time, and text bytes for each shard.
 TASK_WINDOWS = 1_000_000
 SHARD_BYTES = 12 << 20
+#: Bounds that hold at any size: shuffle blocks grow with the input, not with its square.
+MAX_SHARDS = 1 << 18
+MAX_PARTITIONS = 1 << 14
+#: Windows of a shard that are sorted at a time.
+PASS_WINDOWS = 4_000_000
 
 _LAST = (1 << 63) - 1
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -110,7 +120,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) ->
     """doc_id (null ids as the largest long), keys: packed hashes of a document's windows that a smaller one has."""
     given = docs.select(document_id(), "text")
     if shards is None:
-        shards = max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+        shards = min(MAX_SHARDS, max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)))
+    partitions = min(shards, MAX_PARTITIONS)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -128,25 +139,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) ->
             yield from _local(*map(np.concatenate, zip(*held, strict=True)), shards)
 
     def counted(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids = [], []
+        payloads: list[bytes] = []
         for batch in batches:
             known = pc.is_valid(batch.column(1))
             if pc.any(known).as_py():
                 yield batch.filter(known).select(["part", "payload"])
-            for payload in batch.column(2).filter(pc.invert(known)).to_pylist():
-                h, d = unpack(payload)
-                hashes.append(h)
-                ids.append(d)
-        if not hashes:
-            return
-        h, d = np.concatenate(hashes), np.concatenate(ids)
-        order = np.argsort(h)
-        h, d = h[order], d[order]
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        later = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.r_[starts, len(d)]))
-        if later.any():
-            part, payload = zip(*_by_part(h[later], d[later], shards), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
+            payloads += batch.column(2).filter(pc.invert(known)).to_pylist()
+        passes = max(1, -(-sum(int(np.frombuffer(x, np.int64, 1)[0]) for x in payloads) // PASS_WINDOWS))
+        for k in range(passes if payloads else 0):
+            entries = [unpack(x) for x in payloads]
+            if passes > 1:
+                entries = [(h[own], d[own]) for h, d in entries for own in [h % U64(passes) == k]]
+            h, d = np.concatenate([x[0] for x in entries]), np.concatenate([x[1] for x in entries])
+            if not len(h):
+                continue
+            order = np.argsort(h)
+            h, d = h[order], d[order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            later = d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.r_[starts, len(d)]))
+            if later.any():
+                part, payload = zip(*_by_part(h[later], d[later], shards), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
 
     def gathered(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = [unpack(x) for b in batches for x in b.column(1).to_pylist()]
@@ -158,8 +171,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) ->
             at = np.r_[cuts[i : i + 1001], len(d)][: min(1000, len(cuts) - i) + 1]
             yield pa.RecordBatch.from_arrays([pa.array(d[at[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "keys"])
 
-    entries = given.mapInArrow(hashed, "shard int, part int, payload binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    later = entries.mapInArrow(_one_at_a_time(counted), "part int, payload binary").repartition(shards, "part").sortWithinPartitions("part")
+    entries = given.mapInArrow(hashed, "shard int, part int, payload binary").repartitionById(partitions, "shard").sortWithinPartitions("shard")
+    later = entries.mapInArrow(_one_at_a_time(counted), "part int, payload binary").repartitionById(partitions, "part").sortWithinPartitions("part")
     return keep(later.mapInArrow(_one_at_a_time(gathered), "doc_id long, keys binary"), "repeats")
 
 

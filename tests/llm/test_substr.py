@@ -33,6 +33,21 @@ def test_against_brute_force(spark, seed):
     cases.same(substr.dedup_substrings(cases.frame(spark, data)), expected(data))
 
 
+def test_a_shard_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(substr, "PASS_WINDOWS", 50)
+    monkeypatch.setattr(substr, "MAX_PARTITIONS", 2)
+    data = cases.rows(3)
+    got = substr.dedup_substrings(cases.frame(spark, data), shards=5)
+    cases.same(got, expected(data))
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = " ".join(str(rng.randrange(50_000)) for _ in range(300_000))
+    data = [(1, long), (2, "x " * 20 + long[1000:400_000]), (3, long[::-1])]
+    cases.same(substr.dedup_substrings(cases.frame(spark, data)), expected(data))
+
+
 def test_small_tasks_and_shards(spark, monkeypatch):
     rng = random.Random(4)
     data = [(rng.randrange(10**12), " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for _ in range(80)]
