@@ -5,13 +5,17 @@ the others share the excess by weight, until none is above. In the order of cap
 sources that stop come first, so the fixed point is read off running sums, without a loop.
 
 Sampling: each document is taken whole as often as the target holds its source's size; the rest
-goes to a seeded sample without replacement. Documents of a source are ordered by a seeded hash
-and taken until the rest is used up; the one at the edge is taken in part, so a source's words
-meet its target to within one. A source is never sorted whole: sums over 4096 hash ranges tell
-which ranges are in, which are out, and only documents of the one at the edge are ordered.
+goes to a seeded sample without replacement. Documents of a source are ordered by a seeded hash of
+id and text and taken until the rest is used up; the one at the edge is taken in part, so a
+source's words meet its target to within one. No source is sorted: sums over 4096 hash ranges find
+the range at the edge, sums per hash inside that range find the hash at the edge, all on rows
+without texts, and one row per source tells the rest. So texts meet a table of sources, once.
 
 Null text: no words. Null source: a source of its own, last in the order. Null or repeated ids:
-such rows are sampled one by one. A source without words has target 0. An empty table stays empty.
+such rows are sampled one by one; rows that repeat id and text, should they be at the edge, share
+what is left in proportion, rounded down. A source without words has target 0. Texts of any length
+are counted whole. An empty table stays empty. Columns of any name are carried, but for `copy` and
+`words`, which `sample` replaces; `n_chars`, if there, follows a text that is taken in part.
 """
 
 from __future__ import annotations
@@ -51,41 +55,53 @@ def water_fill(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _key(doc_id: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+def _key(doc_id: str, text: str) -> Column:
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
 
 
-def _taken(sized: DataFrame, weights: Sequence[float], max_epochs: int, carried: Sequence[str]) -> DataFrame:
-    """`sized` (carried columns, source, size, key) with source_size, target, taken."""
-    by_range = sized.groupBy("source", F.substring("key", 1, 3).alias("part")).agg(F.sum("size").alias("part_size"))
+def _range() -> Column:
+    return F.substring("key", 1, 3).alias("part")
+
+
+def _shares(sized: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
+    """`sized` (source, size, key) -> a row per source: source_size, target, whole, and the edge: cut_key, cut_left, cut_size."""
+    by_range = sized.groupBy("source", _range()).agg(F.sum("size").alias("part_size"))
     targets = water_fill(by_range.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     targets = targets.withColumn("rest", (F.floor(F.col("target") + 0.5) - F.col("whole") * F.col("source_size")).cast("long"))
-    ranges = by_range.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "whole", "rest")
-    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("used", F.coalesce(F.sum("part_size").over(running), F.lit(0)))
-    joined = (
-        sized.withColumn("part", F.substring("key", 1, 3))
-        .alias("d")
-        .join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.part") == F.col("r.part")))
-        .select(*[F.col(f"d.{c}") for c in (*carried, "source", "size", "key", "part")], "part_size", "source_size", "target", "whole", "rest", "used")
-    )
-    edge = (F.col("used") < F.col("rest")) & (F.col("used") + F.col("part_size") > F.col("rest"))
-    full = F.when(F.col("used") + F.col("part_size") <= F.col("rest"), F.col("size")).otherwise(F.lit(0))
-    within = Window.partitionBy("source", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("used") - F.coalesce(F.sum("size").over(within), F.lit(0))
-    out = [*carried, "source", "size", "source_size", "target"]
-    whole = F.col("whole") * F.col("size")
-    sure = joined.where(~edge).select(*out, (whole + full).alias("taken"))
-    at_edge = joined.where(edge).select(*out, (whole + F.greatest(F.lit(0), F.least("size", left))).alias("taken"))
-    return sure.unionByName(at_edge)
+
+    def at_edge(df: DataFrame, size: str, left: str, order: str) -> DataFrame:
+        """The first row of each source, in order, that the `left` words do not cover, with `used`, what they cover before."""
+        running = Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("used", F.coalesce(F.sum(size).over(running), F.lit(0)))
+        return df.where((F.col("used") <= F.col(left)) & (F.col("used") + F.col(size) > F.col(left)))
+
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    ranges = at_edge(by_range.alias("r").join(targets.alias("t"), same("r", "t")).select("r.*", "rest"), "part_size", "rest", "part")
+    ranges = ranges.select("source", "part", (F.col("rest") - F.col("used")).alias("left"))
+    inside = sized.withColumn("part", _range()).alias("d").join(ranges.alias("r"), same("d", "r") & (F.col("d.part") == F.col("r.part")))
+    keys = inside.groupBy("d.source", "d.key").agg(F.sum("d.size").alias("cut_size"), F.min("r.left").alias("left"))
+    cut = at_edge(keys, "cut_size", "left", "key").select("source", F.col("key").alias("cut_key"), (F.col("left") - F.col("used")).alias("cut_left"), "cut_size")
+    return targets.alias("t").join(cut.alias("c"), same("t", "c"), "left").select("t.*", "cut_key", "cut_left", "cut_size")
+
+
+def _taken() -> Column:
+    """The words taken of a row (size, key) beside its source's shares; without an edge its rest is all or nothing."""
+    before = (F.col("key") < F.col("cut_key")) | (F.col("cut_key").isNull() & (F.col("rest") > 0))
+    part = F.expr("size * cut_left div cut_size")
+    return F.col("whole") * F.col("size") + F.when(before, F.col("size")).when(F.col("key") == F.col("cut_key"), part).otherwise(F.lit(0))
+
+
+def _with_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    return rows.alias("d").join(shares.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *[F.col(f"s.{c}") for c in shares.columns if c != "source"])
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken; one row per document."""
     # Written once: counting words is most of the work, and both sums and rows need it.
-    sized = keep(docs.select(long_id("doc_id"), "source", n_words().alias("size"), _key("doc_id").alias("key")), "mix")
-    return _taken(sized, weights, max_epochs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    sized = keep(docs.select(long_id("doc_id"), "source", n_words().alias("size"), _key("doc_id", "text").alias("key")), "mix")
+    return _with_shares(sized, _shares(sized, weights, max_epochs)).select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
 def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -95,18 +111,21 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int
     rather than copied, so it should be a table or a plan that gives the same rows again."""
     own = [c for c in docs.columns if c not in ("copy", "words")]
     row = docs.select(F.struct(*own).alias("row"))
-    sized = row.select("row", F.col("row.source").alias("source"), n_words("row.text").alias("size"), _key("row.doc_id").alias("key"))
-    taken = _taken(sized, weights, max_epochs, ["row"]).where(F.col("taken") > 0)
+    sized = row.select("row", F.col("row.source").alias("source"), n_words("row.text").alias("size"), _key("row.doc_id", "row.text").alias("key"))
+    shares = _shares(keep(sized.drop("row"), "mix"), weights, max_epochs)
+    taken = _with_shares(sized, keep(shares, "shares")).select("row", "size", _taken().alias("taken")).where(F.col("taken") > 0)
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    text = F.when(words < F.col("size"), F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(words, F.lit(1)).cast("int")), " ")).otherwise(F.col("row.text"))
-    return copies.select(*[text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in own], "copy", words.alias("words"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), 1, F.greatest(words, F.lit(1)).cast("int")), " ")
+    copies = copies.withColumns({"words": words, "new": F.when(words < F.col("size"), cut).otherwise(F.col("row.text"))})
+    n_chars = lambda c: F.when(F.col("words") < F.col("size"), F.char_length("new").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.{c}"))
+    return copies.select(*[(F.col("new") if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"row.{c}")).alias(c) for c in own], "copy", "words")
 
 
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3 * source_size AS cap,

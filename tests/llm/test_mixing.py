@@ -70,6 +70,22 @@ def test_sample_rows_match_taken(spark):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_sample_keeps_n_chars_in_step(spark):
+    data = [(i, f"word {i} " * 50, "ab"[i % 7 == 0]) for i in range(60)] + [(99, "long " * 200_000, "a"), (None, "null id", "b")]
+    got = mixing.sample(cases.frame(spark, data)).collect()
+    assert any(len(cases.WORD.findall(r.text)) < {i: 100, 99: 200_000}.get(r.doc_id, 100) for i, r in enumerate(got) if r.doc_id is not None)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_a_rest_that_rounds_up_to_a_whole_source(spark):
+    """Targets a hair below a multiple of the size take all of it."""
+    sized = spark.createDataFrame([("a", 3, "0a"), ("a", 4, "fb")], "source string, size long, key string")
+    shares = mixing._shares(sized, (1.0,), 3).first()
+    assert shares.target == 7 and shares.whole == 1 and shares.rest == 0
+    full = spark.createDataFrame([("a", 3, "0a", 0, 7, None, None, None)], "source string, size long, key string, whole long, rest long, cut_key string, cut_left long, cut_size long")
+    assert full.select(mixing._taken().alias("t")).first().t == 3
+
+
 def test_sql(spark):
     import duckdb
 
