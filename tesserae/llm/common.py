@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,18 +14,17 @@ from pyspark.sql import functions as F
 
 #: Scratch tables by who made them; "" where nobody said.
 _made: dict[str, list[str]] = {}
-_owner = ""
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
 
 
 @contextlib.contextmanager
 def owned_by(owner: str) -> Iterator[None]:
-    """Scratch tables made inside belong to `owner`, for `release`."""
-    global _owner
-    before, _owner = _owner, owner
+    """Scratch tables made inside, in this thread, belong to `owner`, for `release`."""
+    before = _owner.set(owner)
     try:
         yield
     finally:
-        _owner = before
+        _owner.reset(before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(_owner, []).append(path)
+    _made.setdefault(_owner.get(), []).append(path)
     return path
 
 
@@ -82,6 +82,28 @@ def remove(spark: SparkSession, path: str) -> None:
             paths.remove(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    files, at = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that is there whole or not at all; one that is there already is an error."""
+    files, at = _file_system(spark, path)
+    half = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(half)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(half, at):
+        raise FileExistsError(path)
+
+
 def forget(df: DataFrame) -> None:
     """Removes the scratch table that `keep` returned, once all that reads it has run."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -5,8 +5,8 @@ from tesserae.llm import quality
 
 from . import cases
 from .test_decontam import expected as contaminated
+from .test_linedup import BLANK, key
 from .test_linedup import expected as line_deduped
-from .test_linedup import key
 from .test_minhash import expected as grouped
 from .test_mixing import water_fill
 
@@ -36,6 +36,9 @@ def test_against_brute_force(spark, tmp_path):
     assert 0 < len(kept) < len(rows)
     stripped = strip(kept)
     assert [cases.sha(t) for _, t in stripped] == [x[3] for x in line_deduped(kept)]
+    before = dict(kept)
+    stripped = [(d, t) for d, t in stripped if t == before[d] or t.strip(BLANK)]
+    assert len(stripped) < len(kept)
     firsts = [x[0] for x in grouped(stripped, n=5) if x[3]]
     unique = [x for x in stripped if x[0] in set(firsts)]
     assert len(unique) < len(stripped)
