@@ -1,19 +1,26 @@
-"""Benchmark decontamination with a generalised suffix automaton of the test items.
+"""Benchmark decontamination with generalised suffix automata of the test items.
 
-The words of all items go into one suffix automaton. A document's words are streamed through
-it; the state holds the longest suffix that some item contains, so a window ends at a word as
-soon as that length reaches the window's. No shuffle: the automaton is broadcast, and it is
-built from blocks of at most `block_words` item words, each run over all documents in turn, so
-what is broadcast stays bounded however large the benchmark grows.
+The words of the items go into suffix automata, built in tasks from blocks of about `block_words`
+words and held as flat arrays of at most some 100 bytes a word. A document's words are streamed
+through them; a state holds the longest suffix that some item contains, so a window ends at a word
+as soon as that length reaches the window's. No shuffle: automata are broadcast, as many at a time
+as `pass_bytes` hold, and all of them read the documents in one scan. Only a benchmark of more than
+about a million words takes another scan, so what is broadcast has a bound however large it grows.
+
+All words that a batch of documents has at the same place of a run move together, one array
+operation a place. Runs are cut into pieces that overlap by a window less a word, so one long text
+makes no long chain of steps, and no window is lost. Words are told apart by 64-bit hashes.
 
 Nulls: a null or empty text has no words and is never contaminated; a null item text has no
 window; an item with a null id counts for hits but is named in no list. Repeated rows are judged
-one by one; items with equal text are each counted; rows of one item_id count once.
+one by one; items with equal text are each counted; rows of one item_id count once. Texts and items
+of any length are taken whole. An empty benchmark hits nothing, and an empty table stays empty.
+`clean` carries all columns, whatever their names; the others read doc_id and text only.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,164 +28,280 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, long_id, row_batch
-from .text import ALNUM, raw
+from .common import forget, keep, long_id, row_batch
+from .text import ALNUM, U64, Words, raw, slices
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
+PASS_BYTES = 128 << 20
+#: Words that go through the automata in one piece, and text bytes that do at a time.
+PIECE = 256
+SLICE_BYTES = 2 << 20
 #: A document goes if its hit words are at least one in so many of its words.
 COVERAGE = 20
 
 
 class SuffixAutomaton:
-    """All runs of words of the items; `windows` of a state: the ends of windows that its longest run closes."""
-
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.ids: dict[bytes, int] = {}
-        ends: list[tuple[int, int, int | None]] = []
-        for item, words in items:
-            last = 0
-            for k, w in enumerate(words, 1):
-                last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
-                if k >= window or k == len(words):
-                    ends.append((last, min(k, window), item))
-        self.least = min((n for _, n, _ in ends), default=0)
+    """All runs of words of some items, as flat arrays.
+
+    words: sorted hashes, whose places are the symbols; keys, targets: transitions by state * len(words)
+    + symbol, sorted; link, length: suffix links and longest runs of states. A mark is a window that
+    ends in a state: its words (`size`), its items (`items` from `at` on), and the next shorter mark on
+    the suffix path (`up`); `top`: each state's longest mark, its own or from further up, or -1."""
+
+    FIELDS = (("words", np.uint64), ("keys", np.int64), ("targets", np.int32), ("link", np.int32), ("length", np.int32), ("top", np.int32), ("size", np.int32), ("up", np.int32), ("at", np.int32), ("items", np.int64))
+
+    def __init__(self, **arrays: np.ndarray):
+        for name, kind in self.FIELDS:
+            setattr(self, name, arrays[name].astype(kind, copy=False))
+        self.least = int(self.size.min(initial=1 << 30))
+
+    @classmethod
+    def of(cls, items: list[tuple[int | None, np.ndarray]], window: int = WINDOW) -> SuffixAutomaton:
+        """Of items: id, hashes of words. The automaton of Blumer et al., a word at a time."""
+        lists = [h for _, h in items]
+        words, symbols = np.unique(np.concatenate(lists) if lists else np.zeros(0, U64), return_inverse=True)
+        v, go = len(words), {}
+        link, length = array("i", [-1]), array("i", [0])
+        head, later, symbol = array("i", [-1]), array("i"), array("i")  # a state's transitions, as a chain
+
+        def state(n: int) -> int:
+            link.append(0)
+            length.append(n)
+            head.append(-1)
+            return len(link) - 1
+
+        def lead(p: int, c: int, q: int) -> None:
+            if p * v + c not in go:
+                later.append(head[p])
+                symbol.append(c)
+                head[p] = len(later) - 1
+            go[p * v + c] = q
+
+        def split(p: int, q: int, c: int) -> int:
+            """The state of the runs of q that end in p's: q itself, or a copy that takes the shorter ones over."""
+            if length[q] == length[p] + 1:
+                return q
+            new, e = state(length[p] + 1), head[q]
+            while e >= 0:
+                lead(new, symbol[e], go[q * v + symbol[e]])
+                e = later[e]
+            link[new], link[q] = link[q], new
+            while p >= 0 and go.get(p * v + c) == q:
+                go[p * v + c] = new
+                p = link[p]
+            return new
+
+        ends: dict[int, dict[int, set]] = {}
+        at = 0
+        for item, hashes in items:
+            last, n = 0, len(hashes)
+            for k, c in enumerate(symbols[at : at + n].tolist(), 1):
+                q = go.get(last * v + c)
+                if q is not None:  # another item has this run
+                    last = split(last, q, c)
+                else:
+                    new, p = state(length[last] + 1), last
+                    while p >= 0 and p * v + c not in go:
+                        lead(p, c, new)
+                        p = link[p]
+                    if p >= 0:
+                        link[new] = split(p, go[p * v + c], c)
+                    last = new
+                if k >= window or k == n:
+                    ends.setdefault(last, {}).setdefault(min(k, window), set()).add(item)
+            at += n
         # The state that holds a window of n words: the ancestor whose lengths include n.
-        at: dict[int, dict[int, set]] = {}
-        for state, n, item in ends:
-            while self.length[self.link[state]] >= n:
-                state = self.link[state]
-            at.setdefault(state, {}).setdefault(n, set()).add(item)
-        # Ends of windows on the suffix path of each state, shortest first.
-        self.windows: list[tuple[tuple[int, ...], tuple[frozenset, ...]]] = [((), ())] * len(self.next)
-        for state in sorted(range(len(self.next)), key=self.length.__getitem__):
-            above = self.windows[self.link[state]] if state else ((), ())
-            if own := at.get(state):
-                lengths = sorted(own)
-                above = (above[0] + tuple(lengths), above[1] + tuple(frozenset(own[n]) for n in lengths))
-            self.windows[state] = above
-
-    def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:  # another item has this run
-            q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else self._clone(last, q, c)
-        new = self._state({}, length[last] + 1)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
-        return new
-
-    def _state(self, nxt: dict[int, int], length: int) -> int:
-        self.next.append(nxt)
-        self.length.append(length)
-        self.link.append(0)
-        return len(self.next) - 1
-
-    def _clone(self, p: int, q: int, c: int) -> int:
-        nxt, link = self.next, self.link
-        new = self._state(dict(nxt[q]), self.length[p] + 1)
-        link[new], link[q] = link[q], new
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = new
-            p = link[p]
-        return new
-
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """The spans [start, end) of words inside occurrences of windows, merged, and the items they come from."""
-        spans: list[tuple[int, int]] = []
-        found: set = set()
-        if not self.least:
-            return spans, found
-        # Words of no item end every run: only runs of known words go through the automaton.
-        ids = np.fromiter(map(self.ids.get, words, _MINUS), np.int64, len(words)) if len(words) >= self.least else np.zeros(0, np.int64)
-        known = np.zeros(len(ids) + 2, np.int8)
-        known[1:-1] = ids >= 0
-        step = np.diff(known)
-        nxt, link, length, windows = self.next, self.link, self.length, self.windows
-        for lo, hi in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
-            if hi - lo < self.least:
-                continue
-            state = matched = 0
-            for i, c in enumerate(ids[lo:hi].tolist(), lo + 1):
-                while state and c not in nxt[state]:
-                    state = link[state]
-                    matched = length[state]
-                if c in nxt[state]:
-                    state = nxt[state][c]
-                    matched += 1
-                lengths, items = windows[state]
-                if lengths and lengths[0] <= matched:
-                    k = bisect_right(lengths, matched)
-                    start = i - lengths[k - 1]
-                    for s in items[:k]:
-                        found |= s
-                    while spans and spans[-1][1] >= start:
-                        start = min(start, spans.pop()[0])
-                    spans.append((start, i))
-        return spans, found
-
-
-class _Minus:
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_MINUS = _Minus()
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """The items' words, streamed to the driver in blocks of about `block_words` words."""
-    block, n = [], 0
-    for row in benchmark.select(long_id("item_id"), "text").toLocalIterator():
-        words = (row.text or "").encode().translate(ALNUM).split()
-        block.append((row.item_id, words))
-        n += len(words)
-        if n >= block_words:
-            yield block
-            block, n = [], 0
-    yield block
-
-
-_SPANS = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+        owners: dict[int, dict[int, set]] = {}
+        for s, by_size in ends.items():
+            for n, found in by_size.items():
+                t = s
+                while length[link[t]] >= n:
+                    t = link[t]
+                owners.setdefault(t, {}).setdefault(n, set()).update(found)
+        top, size, up, starts, ids = np.full(len(link), -1, np.int32), [], [], [0], []
+        for s in np.argsort(np.frombuffer(length, np.int32), kind="stable").tolist():
+            mark = int(top[link[s]]) if s else -1
+            for n in sorted(owners.get(s, ())):
+                size.append(n)
+                up.append(mark)
+                ids += sorted(x for x in owners[s][n] if x is not None)
+                starts.append(len(ids))
+                mark = len(size) - 1
+            top[s] = mark
+        keys, targets = np.fromiter(go.keys(), np.int64, len(go)), np.fromiter(go.values(), np.int32, len(go))
+        order = np.argsort(keys)
+        return cls(words=words, keys=keys[order], targets=targets[order], link=np.array(link), length=np.array(length), top=top, size=np.array(size), up=np.array(up), at=np.array(starts), items=np.array(ids, np.int64))
+
+    def to_bytes(self) -> bytes:
+        arrays = [getattr(self, name) for name, _ in self.FIELDS]
+        return b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> SuffixAutomaton:
+        sizes, at, out = np.frombuffer(data, np.int64, len(cls.FIELDS)), 8 * len(cls.FIELDS), {}
+        for n, (name, kind) in zip(sizes.tolist(), cls.FIELDS, strict=True):
+            out[name] = np.frombuffer(data, kind, n, at)
+            at += n * np.dtype(kind).itemsize
+        return cls(**out)
+
+    def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where the transitions lead, or -1."""
+        wanted = states.astype(np.int64) * len(self.words) + symbols
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.targets[at], -1)
+
+    def ends(self, hashes: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of some texts, of which `first` are the starts: those at which windows end, and the longest one's mark."""
+        none = np.zeros(0, np.int64)
+        if not len(self.size) or not len(hashes):
+            return none, none
+        symbols = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = np.zeros(len(hashes) + 2, np.int8)
+        known[1:-1] = self.words[symbols] == hashes
+        # Words of no item, and ends of texts, end every run.
+        starts = np.flatnonzero(np.diff(known) == 1)
+        ends = np.flatnonzero(np.diff(known) == -1)
+        inner = first[1:-1]
+        inner = inner[(inner > 0) & (inner < len(hashes))]
+        inner = np.unique(inner[(known[inner] == 1) & (known[inner + 1] == 1)])
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        long = ends - starts >= self.least
+        starts, ends = starts[long], ends[long]
+        pieces = np.maximum(1, -(-(ends - starts - (window - 1)) // PIECE))
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, ends = np.repeat(starts, pieces) + nth * PIECE, np.repeat(ends, pieces)
+        sizes = np.minimum(ends - starts, PIECE + window - 1)
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
+        state, matched = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
+        found_at, found = [], []
+        for t, n in enumerate(live.tolist()):
+            s, m, c = state[:n], matched[:n], symbols[starts[:n] + t]
+            to = self._step(s, c)
+            lost = np.flatnonzero(to < 0)
+            while len(lost):  # a known word leads somewhere from the root at the latest
+                s[lost] = self.link[s[lost]]
+                m[lost] = self.length[s[lost]]
+                to[lost] = self._step(s[lost], c[lost])
+                lost = lost[to[lost] < 0]
+            s[:] = to
+            m += 1
+            mark = self.top[to]
+            hit = np.flatnonzero(mark >= 0)
+            mark = mark[hit]
+            while len(short := np.flatnonzero(self.size[mark] > m[hit])):
+                mark[short] = self.up[mark[short]]
+                stay = mark >= 0
+                hit, mark = hit[stay], mark[stay]
+            if len(hit):
+                found_at.append(starts[hit] + t)
+                found.append(mark)
+        return (np.concatenate(found_at), np.concatenate(found)) if found else (none, none)
+
+    def items_of(self, mark: int) -> set[int]:
+        """The items of a window and of all shorter ones that end with it."""
+        out: set[int] = set()
+        while mark >= 0:
+            out.update(self.items[self.at[mark] : self.at[mark + 1]].tolist())
+            mark = int(self.up[mark])
+        return out
+
+
+def match(automata: list[SuffixAutomaton], texts: list[bytes], window: int = WINDOW) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """Of each text: its words, the spans (flat starts and ends) of words inside occurrences of windows, and their items."""
+    n_words, spans, items = [], [], []
+    for a, b in slices(texts, SLICE_BYTES):
+        words = Words(texts[a:b], ALNUM)
+        hashes, first = words.hashes(), words.first
+        cover = np.zeros(len(hashes) + 1, np.int64)
+        found: list[set[int]] = [set() for _ in range(b - a)]
+        for automaton in automata:
+            at, mark = automaton.ends(hashes, first, window)
+            np.add.at(cover, at + 1 - automaton.size[mark], 1)
+            np.subtract.at(cover, at + 1, 1)
+            text = np.searchsorted(first, at, "right") - 1
+            known: dict[int, set[int]] = {}
+            for k in np.unique(text * len(automaton.size) + mark).tolist() if len(at) else ():
+                i, m = divmod(k, len(automaton.size))
+                if m not in known:
+                    known[m] = automaton.items_of(m)
+                found[i] |= known[m]
+        hit = np.zeros(len(hashes) + 2, np.int8)
+        hit[1:-1] = np.cumsum(cover)[:-1] > 0
+        starts, ends = np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1)
+        inner = first[1:-1]
+        inner = np.unique(inner[(inner > 0) & (inner < len(hashes))])
+        inner = inner[(hit[inner] == 1) & (hit[inner + 1] == 1)]  # a text's hit end beside the next one's hit start
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        cuts = np.searchsorted(starts, first)
+        for i in range(b - a):
+            own = slice(cuts[i], cuts[i + 1])
+            spans.append((np.stack([starts[own], ends[own]], 1) - first[i]).ravel().tolist())
+            items.append(sorted(found[i]))
+        n_words += words.counts().tolist()
+    return n_words, spans, items
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """payload: one packed automaton per block of items; longer items are cut into overlapping pieces."""
+    given = benchmark.select(long_id("item_id"), "text")
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    schema = pa.schema([("payload", pa.binary())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n = [], 0
+        pack = lambda b: row_batch(schema, payload=[SuffixAutomaton.of(b, window).to_bytes()])
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                h = Words([text], ALNUM).hashes()
+                for s in range(0, max(1, len(h) - window + 1), block_words) if len(h) else ():
+                    piece = h[s : s + block_words + window - 1]
+                    block.append((item, piece))
+                    n += len(piece)
+                    if n >= block_words:
+                        yield pack(block)
+                        block, n = [], 0
+        if block:
+            yield pack(block)
+
+    return keep(given.repartition(max(1, size // (6 * block_words))).mapInArrow(build, "payload binary"), "automata")
+
+
+def passes(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, pass_bytes: int = PASS_BYTES) -> Iterator[list[bytes]]:
+    """The packed automata, `pass_bytes` at a time (one at least); one empty pass if there are none."""
+    built = automata(benchmark, window, block_words)
+    held, size, any_yet = [], 0, False
+    for row in built.toLocalIterator():
+        if held and size + len(row.payload) > pass_bytes:
+            yield held
+            held, size, any_yet = [], 0, True
+        held.append(bytes(row.payload))
+        size += len(row.payload)
+    if held or not any_yet:
+        yield held
+    forget(built)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """doc_id, n_words, spans (flat starts and ends of hit words, merged), items (sorted ids), one row per document."""
     spark = docs.sparkSession
     parts = []
-    for block in blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+    for packed in passes(benchmark, window, block_words, pass_bytes):
+        held = spark.sparkContext.broadcast(packed)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
-            schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), *_SPANS])
+            own = [SuffixAutomaton.from_bytes(x) for x in held.value]
+            schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
             for batch in batches:
-                n, spans, items = [], [], []
-                for text in raw(batch.column(1)):
-                    words = text.translate(ALNUM).split()
-                    s, found = automaton.match(words)
-                    n.append(len(words))
-                    spans.append([x for y in s for x in y])
-                    items.append(sorted(x for x in found if x is not None))
+                n, spans, items = match(own, raw(batch.column(1)), window)
                 yield row_batch(schema, doc_id=batch.column(0), text_key=batch.column(2), n_words=n, spans=spans, items=items)
 
         parts.append(docs.select(long_id("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_words long, spans array<long>, items array<long>"))
     if len(parts) == 1:
         return parts[0].drop("text_key")
-    # Several blocks: a document's spans and items are joined from those blocks that hit it.
+    # Several passes: a document's spans and items are joined from those passes that hit it.
     merged = [keep(p, "decontam") for p in parts]
     hits = merged[0].where(F.size("spans") > 0)
     for p in merged[1:]:
@@ -214,10 +337,10 @@ def _merge_spans(column: str):
     return merge(column)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """`matches` with n_hit and the verdict: contaminated if any word is hit and coverage * n_hit >= n_words."""
     n_hit = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("spans") / 2 - 1, F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.get("spans", 2 * i + 1) - F.get("spans", 2 * i), F.lit(0)))
-    found = matches(docs, benchmark, window, block_words).withColumn("n_hit", n_hit)
+    found = matches(docs, benchmark, window, block_words, pass_bytes).withColumn("n_hit", n_hit)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -227,31 +350,29 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontaminate(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cut_spans: bool = False, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cut_spans: bool = False, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated. With `cut_spans`, hit words of the kept ones go too.
 
     The spans found so far are a column of the row itself, so nothing is joined or shuffled; each
-    block of items adds its own to them, and rows are judged and cut once, after the last block."""
+    pass of automata adds its own to them, and rows are judged and cut once, after the last pass."""
     spark, out = docs.sparkSession, docs
     if docs.isEmpty():
         return docs
     name = "__judged"
     while name in out.columns:
         name += "_"
-    for k, block in enumerate(blocks(benchmark, block_words)):
-        out = keep(out, "decontam") if k else out  # one automaton in a worker at a time
-        held = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+    for k, packed in enumerate(passes(benchmark, window, block_words, pass_bytes)):
+        out = keep(out, "decontam") if k else out  # one pass's automata in a worker at a time
+        held = spark.sparkContext.broadcast(packed)
 
         @F.pandas_udf("hit long, words long, spans array<long>")
         def judge(texts, before, held=held):
             import pandas as pd
 
-            rows = []
-            for t, old in zip(texts, before, strict=True):
-                words = (t or "").encode().translate(ALNUM).split()
-                spans = [x for y in held.value.match(words)[0] for x in y]
+            own, rows = [SuffixAutomaton.from_bytes(x) for x in held.value], []
+            for n, spans, old in zip(*match(own, [(t or "").encode() for t in texts], window)[:2], before, strict=True):
                 spans = _union([spans, old]) if old is not None and len(old) else spans
-                rows.append((sum(spans[1::2]) - sum(spans[::2]), len(words), spans))
+                rows.append((sum(spans[1::2]) - sum(spans[::2]), n, spans))
             return pd.DataFrame(rows, columns=["hit", "words", "spans"])
 
         out = out.withColumn(name, judge("text", F.col(f"{name}.spans") if k else F.lit(None).cast("array<long>")))
