@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,5 +134,25 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+def by_first_column(f: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f` on the rows of each value of the first column, by which rows come sorted; one value is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            s = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]).tolist() if len(s) else []
+            for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
+                if held and s[a] != at:
+                    yield from f(held)
+                    held = []
+                at = s[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from f(held)
+
+    return run
+
+
 def row_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

@@ -1,21 +1,26 @@
 """Language-model scoring with a hidden Markov model, trained by Baum-Welch over the whole corpus.
 
 The model: latent states follow a Markov chain and emit word classes; a class emits a word by the
-corpus-wide counts. The `own` most frequent words are classes of their own, all other words fall
-into `hashed` classes by hash, and one class ends each text. So the parameters are bounded, while
-the counts behind them are of every word of every training text, and the probabilities of all
-texts sum to one (one place per class is kept for words never seen).
+corpus-wide counts. Frequent words are classes of their own, all other words fall into classes by
+hash, and one class ends each text. Both kinds grow with the input, one class for each
+`CLASS_TOKENS` training tokens, up to `MAX_CLASSES`, so that the model that is broadcast, and what a
+round brings back to the driver, stay below 5 MB. The counts behind them are of every word of every
+training text at any size, and the probabilities of all texts sum to one (one place per class is
+kept for words never seen).
 
 1. Texts become arrays of word numbers, with each task's words and their counts, in the shared folder.
 2. Words and counts meet in shards by hash, summed per task before; each task's words get their
-   corpus-wide counts back. The vocabulary is never in one place.
+   corpus-wide counts back. The vocabulary is never in one place. Shards are dealt to partitions by
+   number, and there is a most of both, so what is shuffled grows with the input, not its square.
 3. Each round, tasks run the forward-backward recursion over all training tokens, each text whole,
-   and send one set of expected counts each; these are summed in groups, then on the driver.
+   and send one set of expected counts each, cut into ranges of classes; each range is summed as it
+   streams through one task, so the driver gets one set.
 4. A text's score is its exact log10 likelihood by the scaled forward recursion over all its words.
 
 Null or empty text: just the end. A null id counts as a training text. Rows that repeat an id are
 texts of their own. An empty table stays empty; without training texts every word is unseen.
-Words are told apart by 64-bit hashes.
+Words are told apart by 64-bit hashes. Only doc_id and text are read, so other columns may have any
+name; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -29,17 +34,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, long_id, row_batch, setting
+from .common import by_first_column, keep, long_id, row_batch, setting
 from .text import LOWER, U64, Words, raw, slices
 
 STATES, ROUNDS = 4, 6
-OWN, HASHED = 512, 512
+#: Training tokens for each class of either kind, and the least and most of a kind.
+CLASS_TOKENS = 1000
+MIN_CLASSES, MAX_CLASSES = 512, 1 << 16
 #: Added to each expected emission and transition.
 SMOOTH = 0.1
 SEED = 7
 TASK_TOKENS = 300_000
 STEP_TOKENS = 300_000
 SHARD_BYTES = 48 << 20
+MAX_SHARDS, MAX_PARTITIONS = 1 << 16, 1 << 13
+#: Numbers of a set of expected counts that are summed in one task.
+RANGE = 1 << 15
+#: Counts of words are told apart in steps of this ratio where the frequent ones are chosen.
+COUNT_STEP = 1.02
 BATCH_BYTES = "8m"
 
 
@@ -215,71 +227,86 @@ def _counted(numbered: DataFrame, shards: int, own: int, hashed: int) -> DataFra
         for rows in batches:
             for batch, words, counts in _rows(rows):
                 words, counts = np.frombuffer(words, U64), _numbers(counts)
+                if not len(words):
+                    continue
                 shard = (words % U64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                full = [s for s, p in enumerate(parts) if len(p)]
-                yield row_batch(entry, shard=full, batch=[batch] * len(full), words=[words[parts[s]].tobytes() for s in full], counts=[_least(counts[parts[s]]) for s in full])
+                starts = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0])
+                parts = np.split(order, starts[1:])
+                yield row_batch(entry, shard=shard[order[starts]], batch=np.full(len(parts), batch), words=[words[p].tobytes() for p in parts], counts=[_least(counts[p]) for p in parts])
 
     schema = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("counts", pa.binary()), ("top_words", pa.binary()), ("top_counts", pa.binary()), ("totals", pa.binary()), ("kinds", pa.binary())])
 
-    def total(key, table):
+    def total(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        shard = table["shard"][0].as_py()
         lists = [np.frombuffer(x, U64) for x in table["words"].to_pylist()]
         words, at = np.unique(np.concatenate(lists), return_inverse=True)
-        sums = np.zeros(len(words), np.int64)
-        np.add.at(sums, at, np.concatenate([_numbers(x) for x in table["counts"].to_pylist()]).astype(np.int64))
-        replies, i = [], 0
-        for x in lists:
-            replies.append(_least(sums[at[i : i + len(x)]]))
-            i += len(x)
+        sums = np.bincount(at, np.concatenate([_numbers(x) for x in table["counts"].to_pylist()]), len(words)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in lists])
+        for i, (batch, b) in enumerate(zip(table["batch"].to_pylist(), ends.tolist(), strict=True)):
+            yield row_batch(schema, batch=[batch], shard=[shard], counts=[_least(sums[at[b - len(lists[i]) : b]])], top_words=[None], top_counts=[None], totals=[None], kinds=[None])
         best = np.lexsort((words, -sums))[:own]
         best = best[sums[best] > 0]
         cls = (words % U64(hashed)).astype(np.int64)
-        n, v = np.zeros(hashed, np.int64), np.bincount(cls[sums > 0], minlength=hashed)
-        np.add.at(n, cls, sums)
-        shard = key[0].as_py()
-        rest = [None] * len(replies)
-        return pa.table(
-            {
-                "batch": [*table["batch"].to_pylist(), None], "shard": [shard] * (len(replies) + 1), "counts": [*replies, None],
-                "top_words": [*rest, words[best].tobytes()], "top_counts": [*rest, sums[best].tobytes()], "totals": [*rest, n.tobytes()], "kinds": [*rest, v.astype(np.int64).tobytes()],
-            },
-            schema=schema,
-        )
+        n, v = np.bincount(cls, sums, hashed).astype(np.int64), np.bincount(cls[sums > 0], minlength=hashed).astype(np.int64)
+        yield row_batch(schema, batch=[None], shard=[shard], counts=[None], top_words=[words[best].tobytes()], top_counts=[sums[best].tobytes()], totals=[n.tobytes()], kinds=[v.tobytes()])
 
     dealt = numbered.select("batch", "words", "counts").mapInArrow(deal, "shard int, batch long, words binary, counts binary")
-    return dealt.groupBy("shard").applyInArrow(total, "batch long, shard int, counts binary, top_words binary, top_counts binary, totals binary, kinds binary")
+    dealt = dealt.repartitionById(min(shards, MAX_PARTITIONS), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(by_first_column(total), "batch long, shard int, counts binary, top_words binary, top_counts binary, totals binary, kinds binary")
 
 
-def _first_model(numbered: DataFrame, counted: DataFrame, states: int, own: int, hashed: int) -> tuple[Model, int, int, int]:
-    """The starting model, the training tokens and the distinct ones, ends included, and the training texts."""
-    told = counted.where("batch IS NULL")
+def _training_size(numbered: DataFrame) -> tuple[int, int]:
+    """Training tokens without ends, and training texts."""
 
-    def tops(batches):
+    def sizes(batches):
         for rows in batches:
-            for words, counts in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["word", "n"])
+            held = [~np.frombuffer(x, bool) for x in rows.column(0).to_pylist()]
+            size = [np.frombuffer(x, "<i8") for x in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(s[h].sum()) for h, s in zip(held, size, strict=True)], pa.int64()), pa.array([int(h.sum()) for h in held], pa.int64())], names=["tokens", "texts"])
 
-    def sums(batches):
-        for rows in batches:
-            for n, v in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(hashed)), pa.array(np.frombuffer(n, np.int64)), pa.array(np.frombuffer(v, np.int64))], names=["class", "n", "v"])
+    told = numbered.select("held", "sizes").mapInArrow(sizes, "tokens long, texts long").agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
+    return told.tokens or 0, told.texts or 0
 
-    best = told.select("top_words", "top_counts").mapInArrow(tops, "word long, n long").orderBy(F.desc("n"), "word").limit(own).collect()
-    total, kinds = np.zeros(hashed, np.int64), np.zeros(hashed, np.int64)
-    for r in told.select("totals", "kinds").mapInArrow(sums, "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        total[r["class"]], kinds[r["class"]] = r.n, r.v
 
-    def texts(batches):
+def _step(count: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(count) / np.log(COUNT_STEP)).astype(np.int64)
+
+
+def _first_model(counted: DataFrame, ends: int, states: int, own: int, hashed: int) -> tuple[Model, int, int]:
+    """The starting model, the training tokens and the distinct ones, ends included.
+
+    The frequent words are those above a count that at most `own` words reach, found from a histogram."""
+    told = counted.where("batch IS NULL")
+
+    def numbers(batches, arrays):
         for rows in batches:
-            held = [np.frombuffer(x, bool) for x in rows.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int((~x).sum()) for x in held], pa.int64())], names=["n"])
+            for row in _rows(rows):
+                for kind, at, n in arrays(*row):
+                    for i in range(0, len(at), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[i : i + 50_000]), kind, np.int8)), pa.array(at[i : i + 50_000].astype(np.int64)), pa.array(n[i : i + 50_000].astype(np.int64))], names=["kind", "at", "n"])
+
+    def summed(*columns, arrays):
+        found = told.select(*columns).mapInArrow(lambda b: numbers(b, arrays), "kind byte, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+        return found.toPandas()
 
-    ends = numbered.select("held").mapInArrow(texts, "n long").agg(F.sum("n")).first()[0] or 0
+    sums = summed("totals", "kinds", arrays=lambda n, v: [(0, np.arange(hashed), np.frombuffer(n, np.int64)), (1, np.arange(hashed), np.frombuffer(v, np.int64))])
+    total, kinds = np.zeros(hashed, np.int64), np.zeros(hashed, np.int64)
+    for kind, out in enumerate((total, kinds)):
+        out[sums["at"][sums["kind"] == kind]] = sums["n"][sums["kind"] == kind]
+    steps = summed("top_counts", arrays=lambda c: [(0, *np.unique(_step(np.frombuffer(c, np.int64)), return_counts=True))]).sort_values("at", ascending=False)
+    fits = steps["at"][steps["n"].cumsum() <= own]
+    least = int(fits.min()) if len(fits) else 1 << 40
+
+    def frequent(words, counts):
+        counts = np.frombuffer(counts, np.int64)
+        often = _step(counts) >= least
+        return [(0, np.frombuffer(words, np.int64)[often], counts[often])]
+
+    best = summed("top_words", "top_counts", arrays=frequent)
     tokens, distinct = int(total.sum()) + ends, int(kinds.sum()) + (ends > 0)
-    words = np.array([r.word for r in best], np.int64).view(U64)
-    often = np.array([r.n for r in best], np.int64)
+    words, often = best["at"].to_numpy(np.int64).view(U64), best["n"].to_numpy(np.int64)
     order = np.argsort(words)
     words, often = words[order], often[order]
     at = (words % U64(hashed)).astype(np.int64)
@@ -290,7 +317,7 @@ def _first_model(numbered: DataFrame, counted: DataFrame, states: int, own: int,
     emit = mass[:, None] * np.exp(rng.normal(0, 1, (len(mass), states)))
     even = np.full(states, 1 / states)
     move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    return Model(words, total, kinds, even, even, move, emit / emit.sum(0)), tokens, distinct, ends
+    return Model(words, total, kinds, even, even, move, emit / emit.sum(0)), tokens, distinct
 
 
 def _sequences(model: Model, words: bytes, sizes: np.ndarray, tokens: bytes, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,10 +331,12 @@ def _sequences(model: Model, words: bytes, sizes: np.ndarray, tokens: bytes, tak
     return obs, first
 
 
-def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS, parts: int = 16) -> Model:
-    """Baum-Welch: each round over all training tokens; expected counts are summed in `parts` groups, then here."""
+def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch: each round over all training tokens; expected counts are summed by ranges of classes."""
     spark = numbered.sparkSession
     width = len(model.start) * (len(model.start) + len(model.emit) + 2) + 1
+    ranges = -(-width // RANGE)
+    schema = pa.schema([("range", pa.int32()), ("sums", pa.binary())])
 
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
@@ -326,35 +355,46 @@ def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS, parts: int =
                         obs, firsts, n = [], [np.zeros(1, np.int64)], 0
             if n:
                 sums += expected_counts(now, np.concatenate(obs), np.concatenate(firsts))
-            yield row_batch(pa.schema([("part", pa.int32()), ("sums", pa.binary())]), part=[TaskContext.get().partitionId() % parts], sums=[sums.tobytes()])
-
-        def add(key, table):
-            sums = np.sum([np.frombuffer(x) for x in table["sums"].to_pylist()], 0)
-            return pa.table({"sums": pa.array([sums.tobytes()], pa.binary())})
+            if sums.any():
+                yield row_batch(schema, range=np.arange(ranges), sums=[sums[k * RANGE : (k + 1) * RANGE].tobytes() for k in range(ranges)])
 
-        told = numbered.select("held", "sizes", "words", "tokens").mapInArrow(expect, "part int, sums binary").groupBy("part").applyInArrow(add, "sums binary")
-        model = _maximise(model, np.sum([np.frombuffer(r.sums) for r in told.collect()] or [np.zeros(width)], 0))
+        def add(batches):
+            held: dict[int, np.ndarray] = {}
+            for rows in batches:
+                for k, part in _rows(rows):
+                    held[k] = held.get(k, 0) + np.frombuffer(part)
+            if held:
+                yield row_batch(schema, range=list(held), sums=[x.tobytes() for x in held.values()])
+
+        told = numbered.select("held", "sizes", "words", "tokens").mapInArrow(expect, "range int, sums binary").repartitionById(ranges, "range").mapInArrow(add, "range int, sums binary")
+        sums = np.zeros(width)
+        for r in told.collect():
+            sums[r.range * RANGE : (r.range + 1) * RANGE] = np.frombuffer(r.sums)
+        model = _maximise(model, sums)
         held.unpersist()
     return model
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, hashed: int = HASHED) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int | None = None, hashed: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document.
 
-    Rows between the steps hold megabytes, so Arrow batches are kept small; the scores are written
+    `own`, `hashed`: classes of either kind, by default as many as the training tokens allow. Rows between the steps hold megabytes, so Arrow batches are kept small; the scores are written
     before this returns."""
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
         return keep(_scored(docs, states, rounds, own, hashed), "scores")
 
 
-def _scored(docs: DataFrame, states: int, rounds: int, own: int, hashed: int) -> DataFrame:
+def _scored(docs: DataFrame, states: int, rounds: int, own: int | None, hashed: int | None) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-size // SHARD_BYTES))
+    shards = min(MAX_SHARDS, max(8, -(-size // SHARD_BYTES)))
     numbered = keep(_numbered(docs), "numbered")
+    n_words, n_texts = _training_size(numbered)
+    classes = min(MAX_CLASSES, max(MIN_CLASSES, n_words // CLASS_TOKENS))
+    own, hashed = own or classes, hashed or classes
     counted = keep(_counted(numbered, shards, own, hashed), "word-counts")
-    model, n_train, distinct, n_texts = _first_model(numbered, counted, states, own, hashed)
-    model = train(numbered, model, rounds, max(1, int(size**0.5) >> 13))
+    model, n_train, distinct = _first_model(counted, n_texts, states, own, hashed)
+    model = train(numbered, model, rounds)
     held = spark.sparkContext.broadcast(model)
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
@@ -366,8 +406,11 @@ def _scored(docs: DataFrame, states: int, rounds: int, own: int, hashed: int) ->
                 words, sizes = np.frombuffer(words_held, U64), np.frombuffer(sizes, "<i8")
                 counts = np.zeros(len(words), np.int64)
                 shard = (words % U64(shards)).astype(np.int64)
-                for told in replies or ():
-                    counts[shard == told["shard"]] = _numbers(told["counts"])
+                order, at = np.argsort(shard, kind="stable"), 0
+                for told in sorted(replies or (), key=lambda r: r["shard"]):
+                    reply = _numbers(told["counts"])
+                    counts[order[at : at + len(reply)]] = reply
+                    at += len(reply)
                 tokens = _numbers(tokens_held)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 per_text = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[tokens])))[ends])  # noqa: B023, E731

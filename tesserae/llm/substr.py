@@ -25,7 +25,7 @@ have any name. Empty tables stay empty.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, row_batch
+from .common import by_first_column, keep, row_batch
 from .text import PLAIN, RUN_BASES, U64, Words, raw, run_hashes, runs_within, slices
 
 WINDOW = 13
@@ -172,28 +172,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shards: int | None = None) ->
             yield pa.RecordBatch.from_arrays([pa.array(d[at[:-1]]), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "keys"])
 
     entries = given.mapInArrow(hashed, "shard int, part int, payload binary").repartitionById(partitions, "shard").sortWithinPartitions("shard")
-    later = entries.mapInArrow(_one_at_a_time(counted), "part int, payload binary").repartitionById(partitions, "part").sortWithinPartitions("part")
-    return keep(later.mapInArrow(_one_at_a_time(gathered), "doc_id long, keys binary"), "repeats")
-
-
-def _one_at_a_time(f: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`f` on the rows of each value of the first column, by which rows come sorted; one value is held at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            s = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]).tolist() if len(s) else []
-            for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
-                if held and s[a] != at:
-                    yield from f(held)
-                    held = []
-                at = s[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from f(held)
-
-    return run
+    later = entries.mapInArrow(by_first_column(counted), "part int, payload binary").repartitionById(partitions, "part").sortWithinPartitions("part")
+    return keep(later.mapInArrow(by_first_column(gathered), "doc_id long, keys binary"), "repeats")
 
 
 def intervals(text: bytes, keys: bytes | None, window: int = WINDOW) -> tuple[list[bytes], list[tuple[int, int]]]:
