@@ -5,12 +5,14 @@ A template is wording with `<<opt>> ... <<end>>` (may be left out; may nest) and
 a text is accepted if the automaton reads from there to its end, so all mandatory wording stands
 there, exactly and in order. Of the ways to read from one start the longest counts.
 
-Only words that begin some template start the automaton. No shuffle; texts are scanned whole. A
-null text is empty. Every row is judged on its own, so ids may be null or repeated.
+Only words that begin some template start the automaton. No shuffle; texts of any length are scanned
+whole. A null text is empty. Every row is judged on its own, so ids may be null or repeated. Only
+doc_id and text are read, so other columns may have any name. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -18,34 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import long_id, row_batch
+from .license_texts import TEMPLATES
 from .text import ALNUM, raw
 
 #: Phrases of the base rule, with their labels. Fixed values.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Public license notices as markup, with their labels. Fixed wording.
-TEMPLATES = (
-    ("<<opt>>the<<end>> mit license <<opt>>mit<<end>> <<opt>>copyright <<opt>>c<<end>> <<any 12>><<end>> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
-    ("<<opt>>this <<any 3>> is<<end>> <<opt>>code<<end>> <<opt>>released<<end>> <<opt>>licensed<<end>> under the terms of the mit license", "mit"),
-    ("licensed under the apache license version 2 0 <<opt>>the license<<end>>", "apache-2"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
-    ("redistribution and use in source and binary forms with or without modification are permitted <<opt>>subject to the limitations in the disclaimer below<<end>> provided that the following conditions are met", "bsd"),
-    ("neither the name of <<any 12>> nor the names of <<opt>>its<<end>> <<opt>>any<<end>> contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause"),
-    ("<<opt>>this work is<<end>> licensed under the gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 2", "gpl-2"),
-    ("<<opt>>this work is<<end>> licensed under the gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 3", "gpl-3"),
-    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<opt>>either<<end>> version <<any 1>>", "gpl"),
-    ("gnu lesser general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version <<any 2>>", "lgpl"),
-    ("mozilla public license <<opt>>version<<end>> <<opt>>v<<end>> 2 0", "mpl-2"),
-    ("licensed under <<opt>>a<<end>> <<opt>>the<<end>> creative commons attribution <<any 3>> <<opt>>international<<end>> license", "cc-by"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under cc by sa <<any 1>> 0", "cc-by-sa"),
-    ("licensed under cc by nc <<any 1>> 0", "cc-by-nc"),
-    ("spdx license identifier mit", "mit"),
-    ("spdx license identifier apache 2 0", "apache-2"),
-    ("copyright <<opt>>c<<end>> <<any 8>> all rights reserved", "all-rights-reserved"),
-)
-
 _ANY = None
 
 
@@ -89,10 +69,8 @@ def compile_template(markup: str, label: str) -> Template:
         return len(word) - 1
 
     at, opened = 0, []
-    parts = markup.replace("<<", " <<").replace(">>", ">> ").split()
-    k = 0
-    while k < len(parts):
-        p = parts[k]
+    parts = [x for p in re.split(r"(<<[^>]*>>)", markup) for x in ([p] if p.startswith("<<") else p.encode().translate(ALNUM).decode().split())]
+    for p in parts:
         if p == "<<opt>>":
             opened.append(at)
         elif p == "<<end>>":
@@ -102,10 +80,9 @@ def compile_template(markup: str, label: str) -> Template:
             free[at].add(new)
             free[opened.pop()].add(new)
             at = new
-        elif p == "<<any":
-            k += 1
+        elif p.startswith("<<any "):
             last = state()
-            for _ in range(int(parts[k].removesuffix(">>"))):
+            for _ in range(int(p[6:-2])):
                 free[at].add(last)
                 new = state()
                 word[at].setdefault(_ANY, set()).add(new)
@@ -116,9 +93,8 @@ def compile_template(markup: str, label: str) -> Template:
             raise ValueError(f"unknown mark {p}: {markup}")
         else:
             new = state()
-            word[at].setdefault(p.lower(), set()).add(new)
+            word[at].setdefault(p, set()).add(new)
             at = new
-        k += 1
     if opened:
         raise ValueError(f"<<opt>> without <<end>>: {markup}")
 
