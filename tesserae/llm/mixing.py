@@ -30,6 +30,8 @@ from .common import keep, long_id
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "0"
+#: Parts that each source's rows are dealt in where they meet their source's target.
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,7 +96,11 @@ def _taken() -> Column:
 
 
 def _with_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    return rows.alias("d").join(shares.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", *[F.col(f"s.{c}") for c in shares.columns if c != "source"])
+    """Each row with its source's shares; every source has `SALTS` rows there, so a large one is dealt to as many tasks."""
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    dealt = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.withColumn("salt", salt).alias("d").join(dealt.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.salt") == F.col("s.salt")))
+    return met.select(*[F.col(f"d.{c}") for c in rows.columns], *[F.col(f"s.{c}") for c in shares.columns if c != "source"])
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
