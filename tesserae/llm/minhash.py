@@ -8,17 +8,25 @@ bucket keys: with 24 of 3, two documents of similarity 0.8 share a bucket but fo
 1. Exact copies (equal shingle sets) fold into one set before any bucket is formed.
 2. In each bucket every set is compared with the bucket's centre, the set that meets most others;
    what that links is joined into components.
-3. Sets of buckets that still hold several components are compared by prefix filtering, which
-   loses nothing: in one global order of shingles by frequency, rarest first, the first shingle that
-   two similar sets share must leave enough of both behind it. So a set is met only through its
-   rarest shingles, only by sets of a size that its place there allows, and only by sets of another
-   component. A family of thousands whose members are a little too different to link costs a few
-   comparisons per member, not all pairs, and nothing is capped.
-4. Every candidate is verified on the full sets, and components are joined again.
+3. In rounds, each bucket that still holds several components compares one member of each, drawn
+   anew, with one of the bucket's largest component, and what that links joins components. A set
+   is compared at most once a bucket and round, so a family costs so much per member however many
+   members it has, and after a few rounds it meets as one component. Rounds end when few comparisons
+   link, or after `ROUNDS`.
+4. What is left apart is settled by prefix filtering, which loses nothing: in one global order of
+   shingles by frequency, rarest first, the first shingle that two similar sets share must leave
+   enough of both behind it. So a set is met only through its rarest shingles, only by sets of a size
+   that its place there allows, and only by sets of another component. Of those that meet, the ones
+   whose parity sketches differ in more bits than similar sets differ in shingles go at once. Nothing
+   is capped: members of a family that are a little too different to link meet as pairs here, as
+   rows of a few numbers, and are seldom compared in full.
+5. Every candidate is verified on the full sets, and components are joined again.
 
 Null, empty and wordless texts have an empty set and no links; texts shorter than a shingle have
 their whole sequence as one. Null ids are larger than all others, and a component of null ids only
-has a null id. Rows that repeat an id are documents of their own. Empty tables stay empty.
+has a null id. Rows that repeat an id are documents of their own. Texts of any length are taken
+whole. `near_duplicates` reads doc_id and text only; `keep_first` carries all other columns, whatever
+their names. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -41,6 +49,10 @@ THRESHOLD = 80
 BANDS, ROWS = 24, 3
 #: Sizes of sets are told apart in steps of this ratio where they are joined on them.
 SIZE_STEP = 1.02
+#: Most rounds inside buckets; one that links fewer than one in so many pairs is the last.
+ROUNDS, WORTHWHILE = 6, 50
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 4
 _LAST = (1 << 63) - 1
 _U32 = np.uint32
 
@@ -112,21 +124,33 @@ def _signed(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, text_key long, n long, sid binary, keys array<long>")
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes in each of 64 * SKETCH places: two sets differ in at least as many elements as bits."""
+    place = (hashes >> U64(40)) % U64(64 * SKETCH)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
+_SKETCH = [f"k{i}" for i in range(SKETCH)]
+
+
 def _shingles_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """wanted (s, doc_id, text_key) -> (s, shingles): sorted hashes, packed."""
-    schema = pa.schema([("s", pa.int64()), ("shingles", pa.binary())])
+    """wanted (s, doc_id, text_key) -> (s, shingles, k0..): sorted hashes, packed, and the sketch."""
+    schema = pa.schema([("s", pa.int64()), ("shingles", pa.binary()), *((k, pa.int64()) for k in _SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = raw(batch.column(1)), []
+            texts, out, sketches = raw(batch.column(1)), [], [np.zeros((0, SKETCH), np.int64)]
             for a, b in slices(texts):
-                out += [x.tobytes() for x in shingle_sets(texts[a:b], shingle)]
-            yield row_batch(schema, s=batch.column(0), shingles=out)
+                sets = shingle_sets(texts[a:b], shingle)
+                out += [x.tobytes() for x in sets]
+                sketches.append(np.stack([_sketch(x) for x in sets]))
+            bits = np.concatenate(sketches)
+            yield row_batch(schema, s=batch.column(0), shingles=out, **{k: bits[:, i] for i, k in enumerate(_SKETCH)})
 
     # One document stands for each set; id and text key find its row, or equal ones.
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     rows = d.join(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST))), ["doc_id", "text_key"]).select("s", "text")
-    return rows.mapInArrow(run, "s long, shingles binary").dropDuplicates(["s"])
+    return rows.mapInArrow(run, "s long, shingles binary, " + ", ".join(f"{k} long" for k in _SKETCH)).dropDuplicates(["s"])
 
 
 def _linked(pairs: DataFrame, shingles: DataFrame, threshold: int) -> DataFrame:
@@ -168,7 +192,7 @@ def _prefixes(members: DataFrame, shingles: DataFrame, threshold: int) -> DataFr
             for i in range(0, sum(times), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*cols, np.concatenate(sets))], schema=schema)
 
-    every = keep(members.join(shingles, "s").select("s", "n", "c", "shingles").mapInArrow(run, "s long, n long, c long, key long"), "shingles")
+    every = keep(members.join(shingles.select("s", "shingles"), "s").select("s", "n", "c", "shingles").mapInArrow(run, "s long, n long, c long, key long"), "shingles")
     df = every.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle of one set only meets nothing, but takes its place in the order.
     rank = F.row_number().over(Window.partitionBy("s").orderBy("df", "key"))
@@ -180,29 +204,63 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n) / F.lit(math.log(SIZE_STEP))).cast("int")
 
 
-def _meetings(prefixes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be that similar, each found at the first shingle they share.
+def _meetings(prefixes: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be that similar, found at the shingles they share. `sketches`: s, k0...
 
     Of a pair x is the smaller set, of size m, and y the larger, of size n. With t the threshold their
     overlap is at least t / (1 + t) * (m + n), and at most what is left of either from that shingle on.
-    So x has it among its first m - 2t / (1 + t) * m places, and from y's place a bound on m follows."""
+    So x has it among its first m - 2t / (1 + t) * m places, and from y's place a bound on m follows.
+    They differ in at most (1 - t) / (1 + t) * (m + n) shingles, so in no more bits of their sketches."""
     t, u = threshold, 100 + threshold
     by_key = prefixes.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     several = by_key.where("low < high").select("key")
     entries = prefixes.join(several, "key")
     main = entries.groupBy("key").agg(F.mode("c").alias("main"))  # pairs inside the largest component are never formed
-    entries = keep(entries.join(main, "key"), "entries")
+    entries = keep(entries.join(main, "key").join(sketches, "s"), "entries")
     x = entries.where(F.expr(f"at <= n - ({2 * t} * n + {u - 1}) div {u}"))
-    x = x.select("key", _size_class(F.col("n")).alias("size"), F.col("s").alias("xs"), F.col("n").alias("m"), F.col("c").alias("xc"), F.col("at").alias("i"), "main")
+    x = x.select("key", _size_class(F.col("n")).alias("size"), F.col("s").alias("xs"), F.col("n").alias("m"), F.col("c").alias("xc"), F.col("at").alias("i"), "main", *[F.col(k).alias(f"x{k}") for k in _SKETCH])
     most = F.least(F.col("n"), F.expr(f"((n - at) * {u}) div {t} - n"))
     y = entries.withColumn("least", F.expr(f"({t} * n + 99) div 100")).withColumn("most", most).where("most >= least")
-    y = y.select("key", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("size"), F.col("s").alias("ys"), "n", F.col("c").alias("yc"), F.col("at").alias("j"), F.col("main").alias("ymain"))
+    y = y.select("key", F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("size"), F.col("s").alias("ys"), "n", F.col("c").alias("yc"), F.col("at").alias("j"), F.col("main").alias("ymain"), *[F.col(k).alias(f"y{k}") for k in _SKETCH])
+    bits = F.expr(" + ".join(f"bit_count(x{k} ^ y{k})" for k in _SKETCH))
     fits = (F.col("xc") != F.col("yc")) & (F.col("m") <= F.col("n")) & F.expr(f"100 * m >= {t} * n AND {u} * least(m - i, n - j) >= {t} * (m + n)")
+    fits &= bits * u <= (100 - t) * (F.col("m") + F.col("n"))
     met = x.join(y.where("yc != ymain"), ["key", "size"]).where(fits).select("xs", "ys")
     met = met.unionByName(x.where("xc != main").join(y.where("yc = ymain"), ["key", "size"]).where(fits).select("xs", "ys"))
     return met.select(F.least("xs", "ys").alias("a"), F.greatest("xs", "ys").alias("b")).distinct()
 
 
+def _inside(members: DataFrame, part: DataFrame) -> DataFrame:
+    """Buckets' sets with their components: key, s, n, c."""
+    labels = part.select(F.col("node").alias("s"), "component")
+    return members.join(labels, "s", "left").select("key", "s", "n", F.coalesce("component", "s").alias("c"))
+
+
+def _several(inside: DataFrame) -> DataFrame:
+    """The buckets that hold several components."""
+    return inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+
+
+def _tries(inside: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """Pairs (a, b): in each bucket one member of each component, by a hash of the turn, with one of the largest."""
+    drawn = F.struct(F.xxhash64("s", "key", F.lit(turn)).alias("at"), "s", "n")
+    one = keep(inside.join(_several(inside), "key").groupBy("key", "c").agg(F.count("*").alias("k"), F.min(drawn).alias("x")), "drawn")
+    main = one.groupBy("key").agg(F.max_by(F.struct("c", "x"), F.struct("k", "c")).alias("main"))
+    met = one.join(main, "key").where("c != main.c").select(F.col("x.s").alias("s"), F.col("x.n").alias("n"), F.col("main.x.s").alias("t"), F.col("main.x.n").alias("m"))
+    return met.where(_fits("n", "m", threshold)).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
+def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
+    """`part` (node, component) after joining the components that `links` (a, b) connect."""
+    label = lambda c: F.coalesce(F.col(f"p{c}.component"), F.col(f"e.{c}")).alias(c)
+    met = links.alias("e").join(part.alias("pa"), F.col("e.a") == F.col("pa.node"), "left").join(part.alias("pb"), F.col("e.b") == F.col("pb.node"), "left")
+    tops = components(met.select(label("a"), label("b")))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    nodes = part.unionByName(ends.join(part, "node", "left_anti").select("node", F.col("node").alias("component")))
+    tops = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return keep(nodes.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
+
+
 def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text_key, n, component_id, first_key (the text key of the component's first document); a row per document."""
     signed = keep(_signed(docs.select(long_id("doc_id"), "text", F.xxhash64("text").alias("text_key")), shingle, bands, rows), "signed")
@@ -223,24 +281,24 @@ def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
     wanted = members.select("s").distinct().join(sets.select("s", "doc_id", "text_key"), "s")
     shingles = keep(_shingles_of(docs, wanted, shingle), "shingle-sets")
     links = keep(_linked(pairs, shingles, threshold), "links")
+    compared, scratch = pairs, [members, pairs, shingles, links]
     part = components(links)
 
-    # Buckets that the first round left in several components.
-    inside = members.select("key", "s", "n").join(part.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", F.coalesce("component", "s").alias("c"))
-    inside = keep(inside, "inside")
-    several = inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_sets = inside.join(several, "key").select("s", "n", "c").distinct()
+    for turn in range(ROUNDS):
+        tries = keep(_tries(_inside(members, part), turn, threshold).join(compared, ["a", "b"], "left_anti"), "pairs")
+        found = keep(_linked(tries, shingles, threshold), "links")
+        scratch += [tries, found]
+        compared, part = compared.unionByName(tries), _joined(part, found)
+        if found.count() * WORTHWHILE <= tries.count():
+            break
+
+    # What buckets left apart.
+    inside = keep(_inside(members, part), "inside")
+    open_sets = inside.join(_several(inside), "key").select("s", "n", "c").distinct()
     prefixes = keep(_prefixes(open_sets, shingles, threshold), "prefixes")
-    more = _meetings(prefixes, threshold).join(pairs, ["a", "b"], "left_anti")
+    more = _meetings(prefixes, shingles.select("s", *_SKETCH), threshold).join(compared, ["a", "b"], "left_anti")
     extra = keep(_linked(more, shingles, threshold), "links")
-
-    # Components of components.
-    label = lambda c: F.coalesce(F.col(f"p{c}.component"), F.col(f"e.{c}")).alias(c)
-    joined = extra.alias("e").join(part.alias("pa"), F.col("e.a") == F.col("pa.node"), "left").join(part.alias("pb"), F.col("e.b") == F.col("pb.node"), "left")
-    tops = components(joined.select(label("a"), label("b")))
-    ends = extra.select(F.col("a").alias("node")).unionByName(extra.select(F.col("b").alias("node"))).distinct()
-    nodes = part.unionByName(ends.join(part, "node", "left_anti").select("node", F.col("node").alias("component")))
-    final = nodes.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("s"), F.coalesce("top", "component").alias("component"))
+    final = _joined(part, extra).withColumnRenamed("node", "s")
 
     held = final.join(sets.select("s", "doc_id", "text_key"), "s")
     least = held.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("f"))
@@ -248,7 +306,7 @@ def _grouped(docs: DataFrame, shingle: int, threshold: int, bands: int, rows: in
     own = lambda c: F.when(F.col("f").isNotNull(), F.col(f"f.{c}")).otherwise(F.col(c))
     by_set = sets.select("s", "sid", "doc_id", "text_key").join(linked, "s", "left").select("sid", own("doc_id").alias("component_id"), own("text_key").alias("first_key"))
     by_set = keep(by_set, "components")
-    for t in (members, pairs, shingles, links, inside, prefixes, extra):
+    for t in (*scratch, inside, prefixes, extra):
         forget(t)
     out = signed.select("doc_id", "text_key", "n", "sid").join(by_set, "sid", "left")
     alone = F.col("n") == 0

@@ -68,6 +68,46 @@ def test_crowded_families(spark, seed):
     cases.same(minhash.near_duplicates(cases.frame(spark, data), shingle=4), want)
 
 
+def templated(n, words=120, slots=10, values=3, seed=1):
+    """Form letters: one text, some places filled in one of few ways."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+    at = rng.sample(range(words), slots)
+    out = set()
+    while len(out) < n:
+        w = list(base)
+        for p in at:
+            w[p] = f"v{p}x{rng.randrange(values)}"
+        out.add(" ".join(w))
+    return list(enumerate(sorted(out)))
+
+
+def test_form_letters_meet_in_proportion(spark, monkeypatch):
+    """Pairs that are compared in full grow with the family, not with its square, and no link is lost."""
+    compared, real = [], minhash._linked
+
+    def count(pairs, shingles, threshold):
+        pairs = minhash.keep(pairs, "counted")
+        compared[-1] += pairs.count()
+        return real(pairs, shingles, threshold)
+
+    monkeypatch.setattr(minhash, "_linked", count)
+    for n in (250, 1000):
+        data = templated(n)
+        compared.append(0)
+        got = minhash.near_duplicates(cases.frame(spark, data), shingle=4)
+        cases.same(got, expected(data))
+    assert compared[1] <= 5 * compared[0] and compared[1] < 60 * 1000
+
+
+def test_form_letters_that_do_not_link(spark):
+    data = templated(300, values=12)
+    got = minhash.near_duplicates(cases.frame(spark, data), shingle=4).collect()
+    want = expected(data)
+    assert sum(w[3] for w in want) > 250
+    cases.same(spark.createDataFrame(got), want)
+
+
 def test_five_word_shingles_table(spark):
     docs = cases.table(spark, "sf0.01", "documents").limit(500)
     data = [(r.doc_id, r.text) for r in docs.collect()]
