@@ -59,9 +59,14 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of queries that run inside go as soon as these end."""
+    return setting(spark, _CLEANUP, "true")
+
+
 def write(df: DataFrame, path: str) -> None:
     """Writes `df` as Parquet; its shuffle files go as soon as it is written, as nothing reads them again."""
-    with setting(df.sparkSession, _CLEANUP, "true"):
+    with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_first_column, keep, long_id, row_batch, setting
+from .common import by_first_column, keep, long_id, row_batch, setting, shuffles_removed
 from .text import LOWER, U64, Words, raw, slices
 
 STATES, ROUNDS = 4, 6
@@ -46,6 +46,8 @@ SMOOTH = 0.1
 SEED = 7
 TASK_TOKENS = 300_000
 STEP_TOKENS = 300_000
+#: Words of a text that are taken a step at a time; longer texts are chained from such pieces.
+PIECE = 256
 SHARD_BYTES = 48 << 20
 MAX_SHARDS, MAX_PARTITIONS = 1 << 16, 1 << 13
 #: Numbers of a set of expected counts that are summed in one task.
@@ -67,7 +69,6 @@ class Model:
     total: np.ndarray
     kinds: np.ndarray
     start: np.ndarray
-    rest: np.ndarray  # states where a segment begins inside a text
     move: np.ndarray
     emit: np.ndarray  # class by state
 
@@ -99,71 +100,117 @@ def segments(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.minimum(length, np.repeat(first[1:], pieces) - starts), nth == 0
 
 
-def forward(model: Model, obs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Steps of the scaled forward recursion over sequences sorted by size, longest first: positions, states, scales."""
-    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
-    alpha = None
-    for t, n in enumerate(live.tolist()):
-        at = starts[:n] + t
-        prior = np.where(begins[:n, None], model.start, model.rest) if t == 0 else alpha[:n] @ model.move
-        alpha = prior * model.emit[obs[at]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        yield at, alpha, scale
-
-
-def expected_counts(model: Model, obs: np.ndarray, first: np.ndarray, segment: int | None = None) -> np.ndarray:
-    """Expected transitions, emissions, starts and the log likelihood over the texts, as one flat array.
-
-    Texts are taken whole, unless `segment` cuts them into pieces of so many words."""
-    starts, sizes, begins = segments(first, segment or max(1, int(np.diff(first).max(initial=0))))
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes, begins = starts[order], sizes[order], begins[order]
-    live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, (sizes[0] if len(sizes) else 0) + 1))
-    cuts = np.concatenate(([0], np.cumsum(live)))
-    # Positions step by step, so that a step is a slice; `nth`: the sequence of each.
-    nth = np.arange(cuts[-1]) - np.repeat(cuts[:-1], live)
-    seen = obs[starts[nth] + np.repeat(np.arange(len(live)), live)]
-    emit = model.emit[seen]
-    alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.empty(len(emit))
-    steps = list(zip([0, *cuts[:-2].tolist()], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if len(live) else []
-    for before, a, b in steps:
-        now = alpha[a:b]
-        if a:
-            np.matmul(alpha[before : before + b - a], model.move, out=now)
-        else:
-            now[:] = np.where(begins[:, None], model.start, model.rest)
-        now *= emit[a:b]
-        now.sum(1, out=scale[a:b])
-        now /= scale[a:b, None]
+class _Pieces:
+    """The texts in pieces that move together, a word of each at a step, with what reaches each piece from its neighbours.
+
+    A piece of a text of several has a matrix: what it makes of any state before it. Chains of these matrices, a
+    vector operation a piece, give the exact states before each piece (`prior`) and the weights after it (`after`),
+    so a long text takes no more steps than a short one and is still one sequence."""
+
+    def __init__(self, model: Model, obs: np.ndarray, first: np.ndarray, length: int):
+        starts, sizes, begins = segments(first, length)
+        n = len(starts)
+        self.text = np.cumsum(begins) - 1  # of the texts that have words
+        prior, after = np.tile(model.start, (n, 1)), np.ones((n, len(model.start)))
+        heads = np.flatnonzero(begins)
+        count = np.diff(np.append(heads, n))
+        several = np.flatnonzero(np.repeat(count > 1, count))
+        if len(several):
+            matrix = np.zeros((n, len(model.start), len(model.start)))
+            matrix[several] = self._matrices(model, obs, starts[several], sizes[several])
+            for k in range(1, count.max()):
+                at = heads[count > k] + k
+                end = (prior[at - 1][:, None, :] @ matrix[at - 1])[:, 0, :]
+                prior[at] = end / end.sum(1, keepdims=True) @ model.move
+            for k in range(1, count.max()):
+                at = heads[count > k] + count[count > k] - k
+                ahead = (matrix[at] @ after[at][:, :, None])[:, :, 0] @ model.move.T
+                after[at - 1] = ahead / ahead.sum(1, keepdims=True)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes, self.begins = sizes[self.order], begins[self.order]
+        self.prior, self.after = prior[self.order], after[self.order]
+        self.live = len(sizes) - np.searchsorted(self.sizes[::-1], np.arange(1, (self.sizes[0] if n else 0) + 1))
+        self.cuts = np.concatenate(([0], np.cumsum(self.live)))
+        # Positions step by step, so that a step is a slice; `nth`: the piece of each.
+        self.nth = np.arange(self.cuts[-1]) - np.repeat(self.cuts[:-1], self.live)
+        self.seen = obs[starts[self.order][self.nth] + np.repeat(np.arange(len(self.live)), self.live)]
+        self.last = self.cuts[self.sizes - 1] + np.arange(n) if n else np.zeros(0, np.int64)
+        self.steps = list(zip([0, *self.cuts[:-2].tolist()], self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)) if n else []
+
+    @staticmethod
+    def _matrices(model: Model, obs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The product over a piece's words of emissions and moves, scaled; sizes are the same but for texts' last pieces."""
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(1, sizes[0] + 1))
+        s = len(model.start)
+        out = np.zeros((len(sizes), s, s))
+        out[:, range(s), range(s)] = model.emit[obs[starts]]
+        for t, n in enumerate(live[1:].tolist(), 1):
+            now = out[:n].reshape(n * s, s) @ model.move
+            now = now.reshape(n, s, s) * model.emit[obs[starts[:n] + t]][:, None, :]
+            out[:n] = now / now.sum((1, 2), keepdims=True) if t % 8 == 0 else now
+        out /= out.sum((1, 2), keepdims=True)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, scaled states and scales of all positions."""
+        emit = model.emit[self.seen]
+        alpha, scale = np.empty_like(emit), np.empty(len(emit))
+        for before, a, b in self.steps:
+            now = alpha[a:b]
+            if a:
+                np.matmul(alpha[before : before + b - a], model.move, out=now)
+            else:
+                now[:] = self.prior
+            now *= emit[a:b]
+            now.sum(1, out=scale[a:b])
+            now /= scale[a:b, None]
+        return emit, alpha, scale
+
+
+def expected_counts(model: Model, obs: np.ndarray, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Expected transitions, emissions, starts and the log likelihood over the texts, each one sequence, as one flat array."""
+    p = _Pieces(model, obs, first, piece)
+    emit, alpha, scale = p.forward(model)
+    beta = np.ones_like(emit)
+    beta[p.last] = p.after / (alpha[p.last] * p.after).sum(1, keepdims=True)
     weight, back = emit / scale[:, None], np.ascontiguousarray(model.move.T)
-    for before, a, b in reversed(steps[1:]):
+    for before, a, b in reversed(p.steps[1:]):
         weight[a:b] *= beta[a:b]
         np.matmul(weight[a:b], back, out=beta[before : before + b - a])
-    n = len(sizes)
-    ahead = np.repeat(cuts[:-2], live[1:]) + nth[n:] if len(live) else nth
-    moves = (alpha[ahead].T @ weight[n:]) * model.move
+    n = len(p.sizes)
+    weight[:n] *= beta[:n]
+    ahead = np.repeat(p.cuts[:-2], p.live[1:]) + p.nth[n:] if n else p.nth
+    moves = alpha[ahead].T @ weight[n:]
+    # From the last word of a piece to the first of the next.
+    place = np.empty(n, np.int64)
+    place[p.order] = np.arange(n)
+    later = np.flatnonzero(~p.begins)
+    moves += alpha[p.last[place[p.order[later] - 1]]].T @ weight[later]
     gamma = alpha * beta
-    emitted = np.stack([np.bincount(seen, gamma[:, k], len(model.emit)) for k in range(len(model.start))], 1)
-    return np.concatenate([moves.ravel(), emitted.ravel(), gamma[:n][begins].sum(0), gamma.sum(0), [np.log10(scale).sum()]])
+    emitted = np.stack([np.bincount(p.seen, gamma[:, k], len(model.emit)) for k in range(len(model.start))], 1)
+    return np.concatenate([(moves * model.move).ravel(), emitted.ravel(), gamma[:n][p.begins].sum(0), [np.log10(scale).sum()]])
 
 
-def likelihoods(model: Model, obs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each text's classes, by the forward recursion over the whole text."""
-    sizes = np.diff(first)
-    order = np.argsort(-sizes, kind="stable")
-    out = np.zeros(len(sizes))
-    for at, _, scale in forward(model, obs, first[:-1][order], sizes[order], np.ones(len(sizes), bool)):
-        out[order[: len(at)]] += np.log10(scale)
+def likelihoods(model: Model, obs: np.ndarray, first: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """log10 likelihood of each text's classes, by the scaled forward recursion over the whole text."""
+    p = _Pieces(model, obs, first, piece)
+    scale = p.forward(model)[2]
+    texts = np.flatnonzero(np.diff(first) > 0)
+    out = np.zeros(len(first) - 1)
+    out[texts] = np.bincount(p.text[p.order][p.nth], np.log10(scale), len(texts)) if len(texts) else 0
     return out
 
 
 def _maximise(model: Model, counts: np.ndarray) -> Model:
     s, k = len(model.start), len(model.emit)
-    moves, emitted, starting, states = np.split(counts[:-1], np.cumsum([s * s, k * s, s]))
+    moves, emitted, starting = np.split(counts[:-1], np.cumsum([s * s, k * s]))
     moves, emitted = moves.reshape(s, s) + SMOOTH, emitted.reshape(k, s) + SMOOTH
     share = lambda x: (x + SMOOTH) / (x + SMOOTH).sum()
-    return Model(model.own, model.total, model.kinds, share(starting), share(states), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(0))
+    return Model(model.own, model.total, model.kinds, share(starting), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(0))
 
 
 _BATCH = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary())])
@@ -317,7 +364,7 @@ def _first_model(counted: DataFrame, ends: int, states: int, own: int, hashed: i
     emit = mass[:, None] * np.exp(rng.normal(0, 1, (len(mass), states)))
     even = np.full(states, 1 / states)
     move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    return Model(words, total, kinds, even, even, move, emit / emit.sum(0)), tokens, distinct
+    return Model(words, total, kinds, even, move, emit / emit.sum(0)), tokens, distinct
 
 
 def _sequences(model: Model, words: bytes, sizes: np.ndarray, tokens: bytes, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +381,7 @@ def _sequences(model: Model, words: bytes, sizes: np.ndarray, tokens: bytes, tak
 def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """Baum-Welch: each round over all training tokens; expected counts are summed by ranges of classes."""
     spark = numbered.sparkSession
-    width = len(model.start) * (len(model.start) + len(model.emit) + 2) + 1
+    width = len(model.start) * (len(model.start) + len(model.emit) + 1) + 1
     ranges = -(-width // RANGE)
     schema = pa.schema([("range", pa.int32()), ("sums", pa.binary())])
 
@@ -368,7 +415,9 @@ def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
         told = numbered.select("held", "sizes", "words", "tokens").mapInArrow(expect, "range int, sums binary").repartitionById(ranges, "range").mapInArrow(add, "range int, sums binary")
         sums = np.zeros(width)
-        for r in told.collect():
+        with shuffles_removed(spark):
+            parts = told.collect()
+        for r in parts:
             sums[r.range * RANGE : (r.range + 1) * RANGE] = np.frombuffer(r.sums)
         model = _maximise(model, sums)
         held.unpersist()
