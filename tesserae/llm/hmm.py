@@ -2,11 +2,11 @@
 
 The model: latent states follow a Markov chain and emit word classes; a class emits a word by the
 corpus-wide counts. Frequent words are classes of their own, all other words fall into classes by
-hash, and one class ends each text. Both kinds grow with the input, one class for each
-`CLASS_TOKENS` training tokens, up to `MAX_CLASSES`, so that the model that is broadcast, and what a
-round brings back to the driver, stay below 5 MB. The counts behind them are of every word of every
-training text at any size, and the probabilities of all texts sum to one (one place per class is
-kept for words never seen).
+hash, and one class ends each text. Both kinds grow with the input as its vocabulary does, with the
+square root of the training tokens, up to `MAX_CLASSES` (reached at 17 billion tokens), so that the
+model that is broadcast, and what a round brings back to the driver, stay below 10 MB. The counts
+behind them are of every word of every training text at any size, and the probabilities of all texts
+sum to one (one place per class is kept for words never seen).
 
 1. Texts become arrays of word numbers, with each task's words and their counts, in the shared folder.
 2. Words and counts meet in shards by hash, summed per task before; each task's words get their
@@ -38,9 +38,8 @@ from .common import by_first_column, keep, long_id, row_batch, setting, shuffles
 from .text import LOWER, U64, Words, raw, slices
 
 STATES, ROUNDS = 4, 6
-#: Training tokens for each class of either kind, and the least and most of a kind.
-CLASS_TOKENS = 1000
-MIN_CLASSES, MAX_CLASSES = 512, 1 << 16
+#: The least and most classes of either kind.
+MIN_CLASSES, MAX_CLASSES = 512, 1 << 17
 #: Added to each expected emission and transition.
 SMOOTH = 0.1
 SEED = 7
@@ -51,7 +50,7 @@ PIECE = 256
 SHARD_BYTES = 48 << 20
 MAX_SHARDS, MAX_PARTITIONS = 1 << 16, 1 << 13
 #: Numbers of a set of expected counts that are summed in one task.
-RANGE = 1 << 15
+RANGE = 1 << 12
 #: Counts of words are told apart in steps of this ratio where the frequent ones are chosen.
 COUNT_STEP = 1.02
 BATCH_BYTES = "8m"
@@ -219,12 +218,18 @@ _BATCH_SQL = "batch long, ids array<long>, held binary, sizes binary, words bina
 
 def _least(x: np.ndarray) -> bytes:
     """One byte for the width, then the numbers in it."""
-    width = 2 if not len(x) or x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
+    most = int(x.max(initial=0))
+    width = next(w for w in (1, 2, 3, 4, 8) if most < 1 << 8 * w)
+    if width == 3:
+        return bytes([3]) + np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
     return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+    if data[0] != 3:
+        return np.frombuffer(data, f"<u{data[0]}", offset=1)
+    three = np.frombuffer(data, np.uint8, offset=1).reshape(-1, 3)
+    return np.pad(three, ((0, 0), (0, 1))).view("<u4")[:, 0]
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -403,20 +408,20 @@ def train(numbered: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             if n:
                 sums += expected_counts(now, np.concatenate(obs), np.concatenate(firsts))
             if sums.any():
-                yield row_batch(schema, range=np.arange(ranges), sums=[sums[k * RANGE : (k + 1) * RANGE].tobytes() for k in range(ranges)])
+                yield row_batch(schema, range=np.arange(ranges), sums=[sums[k * RANGE : (k + 1) * RANGE].astype(np.float32).tobytes() for k in range(ranges)])
 
         def add(batches):
             held: dict[int, np.ndarray] = {}
             for rows in batches:
                 for k, part in _rows(rows):
-                    held[k] = held.get(k, 0) + np.frombuffer(part)
+                    held[k] = held.get(k, 0) + np.frombuffer(part, np.float32).astype(float)
             if held:
                 yield row_batch(schema, range=list(held), sums=[x.tobytes() for x in held.values()])
 
-        told = numbered.select("held", "sizes", "words", "tokens").mapInArrow(expect, "range int, sums binary").repartitionById(ranges, "range").mapInArrow(add, "range int, sums binary")
-        sums = np.zeros(width)
-        with shuffles_removed(spark):
+        with shuffles_removed(spark):  # read when a query is made
+            told = numbered.select("held", "sizes", "words", "tokens").mapInArrow(expect, "range int, sums binary").repartitionById(ranges, "range").mapInArrow(add, "range int, sums binary")
             parts = told.collect()
+        sums = np.zeros(width)
         for r in parts:
             sums[r.range * RANGE : (r.range + 1) * RANGE] = np.frombuffer(r.sums)
         model = _maximise(model, sums)
@@ -439,7 +444,7 @@ def _scored(docs: DataFrame, states: int, rounds: int, own: int | None, hashed:
     shards = min(MAX_SHARDS, max(8, -(-size // SHARD_BYTES)))
     numbered = keep(_numbered(docs), "numbered")
     n_words, n_texts = _training_size(numbered)
-    classes = min(MAX_CLASSES, max(MIN_CLASSES, n_words // CLASS_TOKENS))
+    classes = min(MAX_CLASSES, max(MIN_CLASSES, int(n_words**0.5)))
     own, hashed = own or classes, hashed or classes
     counted = keep(_counted(numbered, shards, own, hashed), "word-counts")
     model, n_train, distinct = _first_model(counted, n_texts, states, own, hashed)

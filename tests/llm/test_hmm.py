@@ -74,6 +74,13 @@ def test_recursions_against_all_paths():
         assert emitted.reshape(8, 3) == pytest.approx(expected)
 
 
+def test_numbers_are_packed_in_as_few_bytes():
+    for most in (0, 200, 60_000, 70_000, 1 << 25, 1 << 40):
+        x = np.array([0, most // 3, most])
+        assert hmm._numbers(hmm._least(x)).tolist() == x.tolist()
+    assert len(hmm._least(np.array([70_000, 1]))) == 7 and not len(hmm._numbers(hmm._least(np.zeros(0, np.int64))))
+
+
 def test_segments_cover_every_token():
     first = np.array([0, 1, 8, 8, 20])
     starts, sizes, begins = hmm.segments(first, 5)
