@@ -34,9 +34,8 @@ from .text import ALNUM, U64, Words, raw, slices
 WINDOW = 13
 BLOCK_WORDS = 250_000
 PASS_BYTES = 128 << 20
-#: Words that go through the automata in one piece, and text bytes that do at a time.
+#: Words that go through the automata in one piece.
 PIECE = 256
-SLICE_BYTES = 2 << 20
 #: A document goes if its hit words are at least one in so many of its words.
 COVERAGE = 20
 
@@ -212,7 +211,7 @@ class SuffixAutomaton:
 def match(automata: list[SuffixAutomaton], texts: list[bytes], window: int = WINDOW) -> tuple[list[int], list[list[int]], list[list[int]]]:
     """Of each text: its words, the spans (flat starts and ends) of words inside occurrences of windows, and their items."""
     n_words, spans, items = [], [], []
-    for a, b in slices(texts, SLICE_BYTES):
+    for a, b in slices(texts):
         words = Words(texts[a:b], ALNUM)
         hashes, first = words.hashes(), words.first
         cover = np.zeros(len(hashes) + 1, np.int64)

@@ -30,23 +30,31 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 RUN_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+#: Bytes, and words, whose hashes are worked out at a time: what a worker keeps does not grow with its longest text.
+_CHUNK, _CHUNK_WORDS = 1 << 20, 1 << 18
+
+
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+    """Powers of an odd base and of its inverse modulo 2**64; tables of up to `_CHUNK` are kept."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, U64)
+        self.bases = U64(base), U64(pow(base, -1, 1 << 64))
+        self.held = np.ones(1, U64), np.ones(1, U64)
+
+    def _table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for b in self.bases:
+            a = np.full(size, b, U64)
+            a[0] = 1
+            out.append(np.multiply.accumulate(a))
+        return out[0], out[1]
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            out = []
-            for b in (self.base, self.inverse):
-                a = np.full(size, b, U64)
-                a[0] = 1
-                out.append(np.multiply.accumulate(a))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
+        if n > _CHUNK:  # one word that long
+            return self._table(n)
+        if len(self.held[0]) < n:
+            self.held = self._table(1 << (n - 1).bit_length())
+        return self.held[0][:n], self.held[1][:n]
 
 
 _POWERS = {b: _Powers(b) for b in (_BASE, *RUN_BASES)}
@@ -99,21 +107,29 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        up, down = _POWERS[_BASE].get(len(self.data))
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(self.data * up, out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix64(h + (self.ends - self.starts).astype(U64))
+        out, a = np.empty(len(self.starts), U64), 0
+        while a < len(out):
+            lo = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, lo + _CHUNK, "right")))
+            start, end = self.starts[a:b] - lo, self.ends[a:b] - lo
+            up, down = _POWERS[_BASE].get(int(end[-1]))
+            sums = np.zeros(end[-1] + 1, U64)
+            np.cumsum(self.data[lo : lo + end[-1]] * up, out=sums[1:])
+            out[a:b] = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+            a = b
+        return out
 
 
 def run_hashes(words: np.ndarray, n: int, base: int = RUN_BASES[0]) -> np.ndarray:
     """Rabin-Karp hash of each run of `n` consecutive word hashes (the caller drops those that cross texts)."""
-    if len(words) < n:
-        return np.zeros(0, U64)
-    up, down = _POWERS[base].get(len(words))
-    sums = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up, out=sums[1:])
-    return mix64((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+    out = np.empty(max(0, len(words) - n + 1), U64)
+    for a in range(0, len(out), _CHUNK_WORDS):
+        part = words[a : a + _CHUNK_WORDS + n - 1]
+        up, down = _POWERS[base].get(len(part))
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * up, out=sums[1:])
+        out[a : a + _CHUNK_WORDS] = mix64((sums[n:] - sums[:-n]) * down[: len(part) - n + 1])
+    return out
 
 
 def runs_within(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
