@@ -6,13 +6,13 @@ sources that stop come first, so the fixed point is read off running sums, witho
 
 Sampling: each document is taken whole as often as the target holds its source's size; the rest
 goes to a seeded sample without replacement. Documents of a source are ordered by a seeded hash of
-id and text and taken until the rest is used up; the one at the edge is taken in part, so a
+id and size and taken until the rest is used up; the one at the edge is taken in part, so a
 source's words meet its target to within one. No source is sorted: sums over 4096 hash ranges find
 the range at the edge, sums per hash inside that range find the hash at the edge, all on rows
 without texts, and one row per source tells the rest. So texts meet a table of sources, once.
 
 Null text: no words. Null source: a source of its own, last in the order. Null or repeated ids:
-such rows are sampled one by one; rows that repeat id and text, should they be at the edge, share
+such rows are sampled one by one; rows that repeat id and size, should they be at the edge, share
 what is left in proportion, rounded down. A source without words has target 0. Texts of any length
 are counted whole. An empty table stays empty. Columns of any name are carried, but for `copy` and
 `words`, which `sample` replaces; `n_chars`, if there, follows a text that is taken in part.
@@ -57,9 +57,9 @@ def water_fill(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _key(doc_id: str, text: str) -> Column:
-    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
+def _key(doc_id: str, size: Column) -> Column:
+    parts = [F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), size.cast("string")]
+    return F.md5(F.concat(*parts).cast("binary"))
 
 
 def _range() -> Column:
@@ -106,7 +106,7 @@ def _with_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken; one row per document."""
     # Written once: counting words is most of the work, and both sums and rows need it.
-    sized = keep(docs.select(long_id("doc_id"), "source", n_words().alias("size"), _key("doc_id", "text").alias("key")), "mix")
+    sized = keep(docs.select(long_id("doc_id"), "source", n_words().alias("size")).withColumn("key", _key("doc_id", F.col("size"))), "mix")
     return _with_shares(sized, _shares(sized, weights, max_epochs)).select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
@@ -117,7 +117,8 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int
     rather than copied, so it should be a table or a plan that gives the same rows again."""
     own = [c for c in docs.columns if c not in ("copy", "words")]
     row = docs.select(F.struct(*own).alias("row"))
-    sized = row.select("row", F.col("row.source").alias("source"), n_words("row.text").alias("size"), _key("row.doc_id", "row.text").alias("key"))
+    sized = row.select("row", F.col("row.source").alias("source"), n_words("row.text").alias("size"))
+    sized = sized.withColumn("key", _key("row.doc_id", F.col("size")))
     shares = _shares(keep(sized.drop("row"), "mix"), weights, max_epochs)
     taken = _with_shares(sized, keep(shares, "shares")).select("row", "size", _taken().alias("taken")).where(F.col("taken") > 0)
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
@@ -131,7 +132,7 @@ def sample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS VARCHAR)) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3 * source_size AS cap,
