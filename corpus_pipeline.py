@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import decontam, linedup, minhash, mixing, quality
-from tesserae.llm.common import new_path, owned_by, release, remove
+from tesserae.llm.common import new_path, owned_by, release, remove, small_batches
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -45,6 +45,7 @@ def _after(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         release(spark, _run.get())
         with owned_by(_run.get()):
             return stage(spark, docs, sf_dir)
@@ -53,6 +54,7 @@ def _after(stage: Stage) -> Stage:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     _run.set(f"pipeline-{uuid.uuid4().hex}")  # results of earlier runs may still be unwritten
     return quality.filter_quality(docs)
 

@@ -124,6 +124,19 @@ def release(spark: SparkSession, owner: str = "") -> None:
         remove(spark, path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand texts to Python some megabytes at a time, unless its configuration says otherwise.
+
+    Rows of texts are large, and by default ten thousand of them travel together: each of a worker's copies
+    of a batch, and the JVM's, would be tens of megabytes."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def long_id(name: str) -> Column:
     return F.col(name).cast("long").alias(name)
 
