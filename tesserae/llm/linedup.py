@@ -360,6 +360,7 @@ def strip_lines(docs: DataFrame, index: LineIndex | None = None, drop_emptied: b
 
         return pd.Series([t if t is None or k is None else keep_lines(t.encode(), list(k), index_min)[0].decode() for t, k in zip(texts, keys, strict=True)], dtype=object)
 
+    kept = kept.asNondeterministic()  # worked out once, though a filter and the result both read it
     row = docs.select(F.struct(*docs.columns).alias("row"), document_id())
     text = row.join(index.drops(), "doc_id", "left").select("row", kept("row.text", "keys").alias("new"), F.col("keys").isNotNull().alias("cut"))
     if drop_emptied:
