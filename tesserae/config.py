@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+import re
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,6 @@ class EngineConfig:
     window_chars: int = 1300
     window_overlap: int = 120
     embed_batch: int = 32
-    embed_retries: int = 4
     snippet_lines: int = 15
     snippets: bool = True
     float_vectors: bool = False
@@ -43,9 +45,12 @@ class EngineConfig:
     allow_http_git: bool = False
     workspace_root: str | None = None
     cached_indexes: int = 10
-    #: A side of a join is broadcast only if it has no more rows than this (its row count is checked first).
-    broadcast_rows: int = 100_000
-    extra: dict = field(default_factory=dict)
+    #: Most query vectors that are broadcast at a time.
+    query_block: int = 20_000
+    #: How backslashes reach an embedding backend: preserve, quad (four of each) or strip (as slashes).
+    backslashes: str = "preserve"
+    #: Parsers by file extension or language: source -> a tree of nodes with start, end, children, or None.
+    parsers: tuple[tuple[str, Callable], ...] = ()
 
 
 DEFAULT = EngineConfig()
@@ -60,6 +65,30 @@ def resolve_alpha(is_symbol: bool, alpha: float | None, config: EngineConfig = D
     return float(alpha)
 
 
+_COMMENT = re.compile(r'''"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|//[^\n]*|/\*.*?(?:\*/|\Z)''', re.S)
+
+
+def strip_comments(text: str) -> str:
+    """JSON without line and block comments; what looks like one inside a string stays."""
+    return _COMMENT.sub(lambda m: "" if m[0][0] == "/" else m[0], text)
+
+
+def whole_number(given: Mapping[str, str], names: Sequence[str], fallback: int | None = None, least: int = 1) -> int | None:
+    """The first of `names` that `given` (settings by name, such as an environment) has as a number, not below `least`."""
+    for name in names:
+        try:
+            n = float(given.get(name, "").strip() or "nan")
+        except ValueError:
+            continue
+        if math.isfinite(n) and int(n) >= least:
+            return int(n)
+    return fallback
+
+
+def first_setting(given: Mapping[str, str], names: Sequence[str], fallback: str) -> str:
+    return next((v for n in names if (v := given.get(n, "").strip())), fallback)
+
+
 def clamp_top_k(top_k: float | None, default: int = 3, most: int = 10) -> int:
     if top_k is None or top_k != top_k or top_k in (float("inf"), float("-inf")) or top_k < 1:
         return default

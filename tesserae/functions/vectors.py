@@ -39,6 +39,11 @@ def dequantize(codes: Column | str, scale: Column | str, zero_point: Column | fl
     return F.transform(_col(codes).cast("array<double>"), lambda c: (c - z) * _col(scale).cast("double"))
 
 
+def vector_at(codes: Column | str, scale: Column | str) -> Column:
+    """The unit vector that stored codes stand for; zero codes stay zero."""
+    return normalize(dequantize(codes, scale))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

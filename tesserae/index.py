@@ -8,7 +8,7 @@ import tempfile
 import time
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -27,7 +27,8 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], backend, content: list[str], root: str | None = None, config: EngineConfig = DEFAULT):
         self.spark, self.tables, self.backend, self.content, self.root, self.config = spark, tables, backend, list(content), root, config
-        self.loaded = False
+        self.loaded, self.folder = False, None
+        self.listed: DataFrame | None = None
 
     # Building
 
@@ -56,18 +57,16 @@ class SearchIndex:
         if not os.path.isdir(root):
             raise FileNotFoundError(path)
         folder = f"{cache}/{store.cache_key(root)}" if cache else None
-        if folder and store.valid(spark, folder, backend.model, content, _storage(config)):
+        if folder and store.valid(spark, folder, backend.model, content, _storage(config), backend.dimensions, root):
             index = cls.load(spark, folder, backend, config)
-            if index.refresh():
-                index.save(folder)
+            index.refresh()
             return index
         listed = files.listing(spark, root, content, config)
         chunks = _numbered(_chunks_of(listed, root, config))
         index = cls.from_chunks(chunks, backend, content=content, root=root, listed=listed.select("file_path", "mtime_ms"), config=config)
+        index.listed = listed
         if folder:
             index.save(folder)
-            index = cls.load(spark, folder, backend, config)
-            index.loaded = False
         return index
 
     @classmethod
@@ -91,16 +90,26 @@ class SearchIndex:
     # Persistence
 
     def save(self, folder: str) -> None:
+        """Writes the tables as a new version of the folder and goes on with what is stored there."""
         vectors = self.tables["vectors"]
         dims = vectors.select(F.size("vector" if "vector" in vectors.columns else "codes").alias("n")).first()
         meta = store.Meta(EPOCH, self.root, int(time.time()), self.backend.model, dims.n if dims else 0, tuple(self.content), _storage(self.config))
         store.save(self.spark, folder, self.tables, meta)
+        self.tables, self.folder = store.load(self.spark, folder)[0], folder
+
+    def save_to_cache(self, cache: str, force: bool = False) -> bool:
+        """Stores the index under its source's key, unless it was loaded from there and has not changed."""
+        if self.loaded and not force:
+            return False
+        self.save(f"{cache}/{store.cache_key(self.root or '')}")
+        self.loaded = True
+        return True
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, backend=None, config: EngineConfig = DEFAULT) -> SearchIndex:
         tables, meta = store.load(spark, folder)
         index = cls(spark, tables, backend or E.HashEmbedder(), list(meta.content), meta.root_path, config)
-        index.loaded = True
+        index.loaded, index.folder = True, folder
         return index
 
     def cache(self) -> SearchIndex:
@@ -108,6 +117,12 @@ class SearchIndex:
         self.tables = {k: v.persist() for k, v in self.tables.items()}
         return self
 
+    def file_status(self) -> dict[str, int]:
+        """How many of the listed files were indexed, empty or too large, and unreadable, at the last build."""
+        if self.listed is None:
+            return {}
+        return files.status_counts(files.read_files(self.listed, self.config)).first().asDict()
+
     def memory_bytes(self) -> int:
         v = self.tables["vectors"]
         int8 = "codes" in v.columns
@@ -116,33 +131,32 @@ class SearchIndex:
 
     # Searching
 
-    def rank(self, plans: DataFrame, query_vectors: DataFrame, languages: list[str] | None = None, paths: list[str] | None = None, rerank: bool | None = None, strict: bool = False, most: int | None = None, total: int | None = None) -> DataFrame:
+    def rank(self, plans: DataFrame, query_vectors: DataFrame, languages: list[str] | None = None, paths: list[str] | None = None, rerank: bool | None = None, strict: bool = False, most: int | None = None) -> DataFrame:
         """query_id, chunk_ord, score, rank for a table of plans and their vectors (query_id, vector).
 
-        `most`, `total`: largest and summed number of candidates of the plans, if known."""
+        `most`: the largest number of candidates and of results of a plan, if known."""
         t = self.tables
         allowed = lexical.selector(t["chunks"], languages, paths)
         if most is None:
-            most, total = plans.agg(F.max("candidates"), F.sum("candidates")).first()
+            most = plans.agg(F.greatest(F.max("candidates"), F.max("top_k"))).first()[0]
         if most is None:
             return self.spark.createDataFrame([], "query_id long, chunk_ord long, score double, rank int")
-        words = lexical.bm25(plans, t["postings"], t["terms"], t["corpus"], allowed, self.config)
-        words = lexical.top_k(words.join(plans.select("query_id", "candidates"), "query_id"), "candidates").select("query_id", "chunk_ord", "score", "rank")
-        near = vector.nearest(t["vectors"], query_vectors, most, allowed, self.config)
-        near = near.join(plans.select("query_id", "candidates"), "query_id").where("rank <= candidates").select("query_id", "chunk_ord", "score", "rank")
+        # The bound of all plans cuts before rows of a query meet, each plan's own afterwards.
+        candidates = plans.select("query_id", "candidates")
+        own = lambda hits: hits.join(candidates, "query_id").where("rank <= candidates").select("query_id", "chunk_ord", "score", "rank")
+        words = own(lexical.top_k(lexical.bm25(plans, t["postings"], t["terms"], t["corpus"], allowed, self.config), most))
+        near = own(vector.nearest(t["vectors"], query_vectors, most, allowed, self.config))
         fused = ranking.fuse(near, words, plans, self.config)
         if rerank is None:
             rerank = "code" in self.content
         if not rerank:
             return ranking.plain_top(fused, t["chunks"], plans)
-        # What re-ranking touches is read off the corpus once; for a few queries it is a few hundred rows.
-        few = total <= _LOCAL_ROWS
-        fused = held(fused, few)
-        seen = held(ranking.reachable(fused, t["chunks"], plans, self.config), few)
-        scores = ranking.boosted(fused, seen, plans, self.config, t["chunks"], (lambda df: held(df, True)) if few else (lambda df: df))
+        pool = t["chunks"].join(allowed, "chunk_ord", "left_semi") if strict and allowed is not None else t["chunks"]
+        entries = ranking.entry_candidates(pool, plans, most, self.config) if self.config.improvements else None
+        scores = ranking.boosted(fused, t["chunks"], plans, self.config, entries)
         if strict and allowed is not None:
             scores = scores.join(allowed, "chunk_ord", "left_semi")
-        return ranking.saturated(scores, seen, plans, self.config)
+        return ranking.saturated(scores, t["chunks"], plans, self.config)
 
     def batch_search(self, queries: DataFrame, top_k: int = 10, alpha: float | None = None, **options) -> DataFrame:
         """queries (query_id, text) -> hits with their chunks, best first within a query."""
@@ -156,7 +170,7 @@ class SearchIndex:
         plan = Q.analyse(0, query, top_k, alpha, self.config)
         plans = self.spark.createDataFrame([plan], Q.SCHEMA).coalesce(1)
         v = [float(x) for x in E.embed_texts(self.backend, [query], self.config)[0]]
-        return self._with_chunks(self.rank(plans, self.spark.createDataFrame([(0, v)], "query_id long, vector array<double>"), most=plan["candidates"], total=plan["candidates"], **options), plans)
+        return self._with_chunks(self.rank(plans, self.spark.createDataFrame([(0, v)], "query_id long, vector array<double>"), most=max(plan["candidates"], top_k), **options), plans)
 
     def _with_chunks(self, hits: DataFrame, plans: DataFrame) -> DataFrame:
         shown = self.tables["chunks"].select(*_CHUNK)
@@ -174,6 +188,13 @@ class SearchIndex:
         wanted = self.spark.createDataFrame([(0, repos.indexed_path(path, self.root), line)], "request_id long, file_path string, line int")
         return results.resolve(self.tables["chunks"].select(*_CHUNK), wanted)
 
+    def expand_payload(self, path: str, line: int, before: int = 1, after: int = 1) -> dict:
+        """The chunk at a line and its neighbours as one answer."""
+        wanted = repos.indexed_path(path, self.root)
+        row = results.expand_payload(self.expand(path, line, before, after), self.root).first()
+        found = json.loads(row.json) if row else {"chunk_count": 0, "anchor": None, "chunks": []}
+        return {"file_path": wanted or path, "line": line, "chunk_count": found["chunk_count"], "anchor": found.get("anchor"), "chunks": found["chunks"]}
+
     def expand(self, path: str, line: int, before: int = 1, after: int = 1) -> DataFrame:
         wanted = self.spark.createDataFrame([(0, repos.indexed_path(path, self.root), line)], "request_id long, file_path string, line int")
         return results.expand(self.tables["chunks"].select(*_CHUNK), wanted, before, after).orderBy("offset")
@@ -196,7 +217,10 @@ class SearchIndex:
     # Updating
 
     def apply(self, paths: list[str]) -> bool:
-        """Re-reads files (relative paths): their chunks go, and come again from what is there now. Only they are embedded."""
+        """Re-reads files (relative paths): their chunks go, and come again from what is there now. Only they are embedded.
+
+        The result is written as a new version, of the index's folder or of one of its own, and read from there: an
+        index has the same short plans however often it was updated, and a stream that stops finds its last state."""
         if not self.root:
             raise ValueError("an index without a local folder cannot be updated")
         paths = sorted({p.replace("\\", "/") for p in paths if not changes.is_ignored(p)})
@@ -219,6 +243,9 @@ class SearchIndex:
         documents = lexical.document_stats(chunks, counts)
         state = now.select("file_path", "mtime_ms")
         self.tables = {"chunks": ranking.chunk_meta(chunks), "postings": lexical.postings(counts, documents), "terms": lexical.term_stats(counts), "documents": documents, "corpus": lexical.corpus_stats(documents), "vectors": held, "files": state}
+        self.save(self.folder or store.scratch(spark, "index"))
+        counts.unpersist()
+        self.loaded = False
         return True
 
     def refresh(self) -> list[str]:
@@ -243,6 +270,7 @@ class IndexCache:
     def __init__(self, spark: SparkSession, folder: str, config: EngineConfig = DEFAULT):
         self.spark, self.folder, self.config = spark, folder, config
         self.held: OrderedDict[str, SearchIndex] = OrderedDict()
+        self.streams: dict[str, object] = {}
 
     def get(self, source: str, ref: str | None = None, **options) -> SearchIndex:
         if not repos.is_allowed(source, self.config):
@@ -250,34 +278,37 @@ class IndexCache:
         repos.check_workspace(source, self.config)
         key = repos.source_key(source, ref)
         if key in self.held:
-            self.held[key].refresh()
+            if key in self.streams:
+                self.streams[key].processAllAvailable()  # changes made before this call are seen by it
+            else:
+                self.held[key].refresh()
             return self.held[key]
         more = {"ref": ref} if repos.is_git_url(source) else {}
         index = SearchIndex.from_source(self.spark, source, self.folder, config=self.config, **more, **options)
         self.held[key] = index
         while len(self.held) > self.config.cached_indexes:
-            self.held.popitem(last=False)
+            self._drop(next(iter(self.held)))
+        return index
+
+    def watch(self, source: str, state: str, **options) -> SearchIndex:
+        """The source's index, kept in step by a stream; `get` waits for what the stream has to do."""
+        index = self.get(source, **options)
+        key = repos.source_key(source, None)
+        if key not in self.streams:
+            self.streams[key] = index.watch(state)
         return index
 
+    def _drop(self, key: str) -> None:
+        self.held.pop(key, None)
+        if key in self.streams:
+            self.streams.pop(key).stop()
+
     def clear(self, source: str, ref: str | None = None) -> None:
         key = repos.source_key(source, ref)
-        self.held.pop(key, None)
+        self._drop(key)
         store.delete(self.spark, f"{self.folder}/{store.cache_key(key)}")
 
 
-#: Candidate rows up to which an intermediate result is held on the driver.
-_LOCAL_ROWS = 2000
-
-
-def held(df: DataFrame, few: bool) -> DataFrame:
-    """A result that several steps read: local rows if it is known to be small, else kept by the executors."""
-    if not few:
-        return df.persist()
-    rows = df.limit(10 * _LOCAL_ROWS + 1).collect()
-    # One partition: what follows joins and ranks these rows without an exchange.
-    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1) if len(rows) <= 10 * _LOCAL_ROWS else df.persist()
-
-
 def _storage(config: EngineConfig) -> str:
     return "float" if config.float_vectors else "int8"
 
@@ -290,13 +321,17 @@ def _chunks_of(listed: DataFrame, root: str, config: EngineConfig, entries: bool
     return chunks.unionByName(extra)
 
 
-def _numbered(chunks: DataFrame) -> DataFrame:
-    """chunk_ord in file order, from 0.
+def numbered_by(rows: DataFrame, part: Column, order: list[str]) -> DataFrame:
+    """`rows` with chunk_ord from 0 in the order of `part`, then `order`.
 
-    Chunks are counted per range of files and numbered within it, so no task sees them all."""
-    part = F.floor(F.col("file_seq") / 1000)
-    sizes = chunks.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    Rows are counted per part and numbered within it, so no task sees them all; only parts are in one place."""
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = chunks.withColumn("part", part).join(sizes.select("part", base.alias("base")), "part")
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("file_seq", "span_start"))
-    return placed.withColumn("chunk_ord", (F.col("base") + nth - 1).cast("long")).select(*_CHUNK)
+    placed = rows.withColumn("part", part).join(sizes.select("part", base.alias("base")), "part")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return placed.withColumn("chunk_ord", (F.col("base") + nth - 1).cast("long")).drop("part", "base")
+
+
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """chunk_ord in file order, a thousand files a part."""
+    return numbered_by(chunks, F.floor(F.col("file_seq") / 1000), ["file_seq", "span_start"]).select(*_CHUNK)

@@ -8,7 +8,7 @@ Offsets count code points.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -156,9 +156,24 @@ def tree_spans(node, target: int, config: EngineConfig = DEFAULT) -> list[Span]:
     return pack(cut(node, 0), target)
 
 
-def chunk_spans(source: str, language: str | None, config: EngineConfig = DEFAULT) -> list[Span]:
+def parser_for(path: str | None, language: str | None, config: EngineConfig = DEFAULT) -> Callable | None:
+    """The registered parser of a file: by its extension, as for dialects, else by its language."""
+    known = dict(config.parsers)
+    extension = "." + path.rsplit(".", 1)[-1].lower() if path and "." in path else None
+    return known.get(extension) or known.get(language)
+
+
+def chunk_spans(source: str, language: str | None, config: EngineConfig = DEFAULT, path: str | None = None) -> list[Span]:
+    """Spans by syntax tree where a parser is registered and succeeds, else at declarations, else by lines."""
     if not source.strip():
         return []
+    if parse := parser_for(path, language, config):
+        try:
+            tree = parse(source)
+        except Exception:  # a parser that fails on a text leaves it to the other ways
+            tree = None
+        if tree is not None and (spans := tree_spans(tree, config.chunk_chars, config)):
+            return sorted(set(spans))
     found = structural_spans(source, language, config.chunk_chars, config.brace_search_lines)
     return line_spans(source, config.chunk_chars) if found is None else found
 
@@ -171,7 +186,7 @@ def chunk_files(files: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
             rows = []
             for seq, path, lang, text in zip(batch["file_seq"], batch["file_path"], batch["language"], batch["content"], strict=True):
                 lang, text = (lang if isinstance(lang, str) else None), text or ""
-                for a, b in chunk_spans(text, lang, config):
+                for a, b in chunk_spans(text, lang, config, path):
                     rows.append((text[a:b], path, text.count("\n", 0, a) + 1, text.count("\n", 0, max(a, b - 1)) + 1, lang, seq, a))
             yield pd.DataFrame(rows, columns=["content", "file_path", "start_line", "end_line", "language", "file_seq", "span_start"])
 

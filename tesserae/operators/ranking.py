@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,41 +96,39 @@ def _injected(plans: DataFrame, meta: DataFrame, config: EngineConfig) -> DataFr
     return symbols.unionByName(embedded).distinct()
 
 
-def definitions(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Chunks that define what the query names gain; files named like it come in even if no search found them.
-
-    `scores` has `top`, the query's best score before any boost."""
-    unit = F.col("top") * config.definition_boost * F.when(F.col("symbol"), 1.0).otherwise(config.embedded_scale)
-    asked = plans.where(F.size("names") > 0).select("query_id", "symbol", "names", "names_low", "def_pattern", "sql_pattern")
-    looked = meta.select("chunk_ord", "content", "stem")
-    found = scores.join(asked, "query_id").join(looked, "chunk_ord").select("query_id", "chunk_ord", _tier(unit).alias("gain"))
-    grown = scores.join(found, ["query_id", "chunk_ord"], "left").select("query_id", "chunk_ord", (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"), "top")
-    tops = scores.select("query_id", "top").distinct()
-    new = _injected(plans, meta, config).join(scores.select("query_id", "chunk_ord"), ["query_id", "chunk_ord"], "left_anti").join(tops, "query_id").join(asked, "query_id").join(looked, "chunk_ord")
-    new = new.select("query_id", "chunk_ord", _tier(unit).alias("score"), "top").where("score > 0")
-    return grown.unionByName(new)
+def _definition_gain(config: EngineConfig) -> Column:
+    return _tier(F.col("top") * config.definition_boost * F.when(F.col("symbol"), 1.0).otherwise(config.embedded_scale))
 
 
-def stem_matches(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+def _stem_gain(config: EngineConfig) -> Column:
     """A sentence's keywords found in the file's name or folder: gain by the share found."""
-    asked = plans.select("query_id", "symbol", "keywords")
     share = _keyword_matches() / F.size("keywords")
-    gain = F.when(~F.col("symbol") & (F.size("keywords") > 0) & (share >= 0.1), F.col("top") * config.stem_boost * share).otherwise(0.0)
-    joined = scores.join(asked, "query_id").join(meta.select("chunk_ord", "path_parts"), "chunk_ord")
-    return joined.select("query_id", "chunk_ord", (F.col("score") + gain).alias("score"), "top")
+    return F.when(~F.col("symbol") & (F.size("keywords") > 0) & (share >= 0.1), F.col("top") * config.stem_boost * share).otherwise(0.0)
 
 
-def exact_stems(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, corpus: DataFrame | None = None) -> DataFrame:
+def _exact_gain(config: EngineConfig) -> Column:
     """A word of a sentence that is the file's name. Generic words are out; if the sentence hints at an
-    implementation file that exists in the corpus, other exact names gain nothing."""
-    present = (meta if corpus is None else corpus).where(F.col("stem").isin(*HINTS)).agg(F.collect_set("stem").alias("present"))  # as many as there are hints
-    asked = plans.select("query_id", "symbol", "exact_words", "hints").join(F.broadcast(present))
+    implementation file that exists in the corpus (`present`), other exact names gain nothing."""
     prefer = F.arrays_overlap("hints", "present")
     bare = lambda x: F.regexp_replace(x, "[-_]", "")
     hit = F.exists("exact_words", lambda w: ~(prefer & (w == F.col("stem")) & ~F.col("stem").isin(*HINTS)) & ((w == F.col("stem")) | (bare(w) == bare(F.col("stem")))))
-    gain = F.when(~F.col("symbol") & hit, F.col("top") * config.exact_stem_boost).otherwise(0.0)
-    joined = scores.join(asked, "query_id").join(meta.select("chunk_ord", "stem"), "chunk_ord")
-    return joined.select("query_id", "chunk_ord", (F.col("score") + gain).alias("score"), "top")
+    return F.when(~F.col("symbol") & hit, F.col("top") * config.exact_stem_boost).otherwise(0.0)
+
+
+def _location_gain(config: EngineConfig) -> Column:
+    """An entry point, for a sentence that asks where something is."""
+    worth = F.when(F.col("package_entry"), F.when(F.col("entry_point"), config.location_boost).otherwise(config.package_entry_boost))
+    worth = worth.when(F.col("entry_point") | _named_by(F.col("stem")), config.location_boost).otherwise(0.0)
+    return F.when(F.col("location") & ~F.col("symbol") & F.col("entry_like"), F.col("top") * worth).otherwise(0.0)
+
+
+def _installer_factor(config: EngineConfig) -> Column:
+    return F.when(F.col("location") & ~F.col("integration") & ~F.col("symbol") & F.col("installer"), config.installer_penalty).otherwise(1.0)
+
+
+def _present(corpus: DataFrame) -> DataFrame:
+    """One row: the hinted names that the corpus has files of; as many as there are hints."""
+    return corpus.where(F.col("stem").isin(*HINTS)).agg(F.collect_set("stem").alias("present"))
 
 
 def _named_by(stem: Column) -> Column:
@@ -141,46 +137,78 @@ def _named_by(stem: Column) -> Column:
     return F.array_contains("words", stem) | (~inside & F.exists("words", lambda w: bare(w) == bare(stem)))
 
 
-def locations(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """For sentences that ask where something is: entry points gain, or come in; installer files lose.
+def entry_candidates(meta: DataFrame, plans: DataFrame, top: int, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(query_id, chunk_ord): the entry points that a location query can bring in though no search found them.
+
+    All that come in unfound gain the same, so a query's order among them is fixed by penalties, halving within a file,
+    line and number alone, and one that `top` others precede there cannot reach a top `top`: found chunks only
+    push it down. That order is the same for all queries of a kind, so each kind takes its first `top`. Entry points that
+    a query names are met by name."""
+    asked = plans.where("location AND NOT symbol").select("query_id", "entry_point", (~F.col("integration")).alias("lose"), (F.col("alpha") >= 1).alias("flat"), "words")
+    entries = meta.where("entry_like").select("chunk_ord", "file_path", "start_line", "stem", "package_entry", "installer", "path_penalty")
+    flags = F.array(F.lit(True), F.lit(False))
+    pool = entries.withColumn("entry_point", F.explode(flags)).where("entry_point OR package_entry").withColumn("lose", F.explode(flags)).withColumn("flat", F.explode(flags))
+    pool = pool.withColumn("pen", F.when(F.col("lose") & F.col("installer"), config.installer_penalty).otherwise(1.0) * F.when(F.col("flat"), 1.0).otherwise(F.col("path_penalty")))
+    kind = ["entry_point", "lose", "flat"]
+    nth = F.row_number().over(Window.partitionBy(*kind, "file_path").orderBy(F.desc("pen"), "start_line", "chunk_ord"))
+    pool = pool.withColumn("nth", nth).where(F.col("nth") <= top).withColumn("worth", F.col("pen") * F.pow(F.lit(config.saturation_decay), F.col("nth") - 1))
+    place = F.row_number().over(Window.partitionBy(*kind).orderBy(F.desc("worth"), F.desc("pen"), "start_line", "chunk_ord"))
+    first = pool.withColumn("place", place).where(F.col("place") <= top).select(*kind, "chunk_ord")
+    bare = lambda x: F.regexp_replace(x, "[-_]", "")
+    words = asked.select("query_id", "words", F.explode("words").alias("word")).withColumn("form", bare("word"))
+    named = entries.withColumn("form", bare("stem")).join(words, "form").where(_named_by(F.col("stem")))
+    return asked.join(first, kind).select("query_id", "chunk_ord").unionByName(named.select("query_id", "chunk_ord")).distinct()
 
-    Entry points of the corpus meet the location queries of the batch: both are few by nature."""
-    asked = plans.where("location AND NOT symbol").select("query_id", "entry_point", "integration", "words")
-    tops = scores.select("query_id", "top").distinct().join(asked, "query_id")
-    entries = meta.where("entry_like").select("chunk_ord", "stem", "package_entry")
-    met = entries.join(tops, F.col("package_entry") | F.col("entry_point") | _named_by(F.col("stem")))
-    gain = F.when(F.col("package_entry"), F.when(F.col("entry_point"), config.location_boost).otherwise(config.package_entry_boost)).otherwise(config.location_boost)
-    gains = met.select("query_id", "chunk_ord", (F.col("top") * gain).alias("score"), "top")
-    grown = scores.unionByName(gains).groupBy("query_id", "chunk_ord").agg(F.sum("score").alias("score"), F.max("top").alias("top"))
-    lose = plans.select("query_id", (F.col("location") & ~F.col("integration") & ~F.col("symbol")).alias("lose"))
-    factor = F.when(F.col("lose") & F.col("installer"), config.installer_penalty).otherwise(1.0)
-    joined = grown.join(lose, "query_id").join(meta.select("chunk_ord", "installer"), "chunk_ord")
-    return joined.select("query_id", "chunk_ord", (F.col("score") * factor).alias("score"), "top")
 
+def candidates(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, entries: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_ord, score (null if no search found it), named, entry: all that may be in a query's answer.
 
-def reachable(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """The chunks that boosts can see: found ones, files named like a symbol, and entry points if a query asks where.
+    Beside what was found these are files named like a queried symbol and `entries`, entry points that may come in."""
+    flag = lambda df, named, entry: df.select("query_id", "chunk_ord", F.lit(None).cast("double").alias("score"), F.lit(named).alias("named"), F.lit(entry).alias("entry"))
+    both = scores.select("query_id", "chunk_ord", "score", F.lit(False).alias("named"), F.lit(False).alias("entry")).unionByName(flag(_injected(plans, meta, config), True, False))
+    if entries is not None:
+        both = both.unionByName(flag(entries, False, True))
+    return both.groupBy("query_id", "chunk_ord").agg(F.max("score").alias("score"), F.max("named").alias("named"), F.max("entry").alias("entry"))
 
-    `boosted` gives the same on these as on all chunks, and reads the corpus once."""
-    ids = scores.select("chunk_ord").unionByName(_injected(plans, meta, config).select("chunk_ord"))
-    if config.improvements:
-        where = plans.where("location AND NOT symbol").limit(1).select(F.lit(True).alias("where"))
-        ids = ids.unionByName(meta.where("entry_like").crossJoin(where).select("chunk_ord"))  # one row or none
-    return meta.join(ids.distinct(), "chunk_ord", "left_semi")
 
+_PLAN = ["query_id", "top_k", "alpha", "symbol", "names", "names_low", "def_pattern", "sql_pattern", "keywords", "exact_words", "words", "location", "entry_point", "integration", "hints"]
 
-def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, corpus: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+
+def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, entries: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """Coherence, then all query boosts, in their order; each reads the best score from before the first of them.
 
-    `meta`: all chunks, or those `reachable`; then `corpus` has all. `hold` keeps what the next step
-    reads more than once."""
-    s = coherence(scores, meta, config).withColumn("top", F.max("score").over(_per_query()))
-    s = hold(stem_matches(s, meta, plans, config))
-    s = definitions(s, meta, plans, config)
+    One pass: candidates meet their query's plan and their chunk once, and every boost is a column. Chunks that no
+    search found come in if they define a queried name, or as entry points of `entries`. `digits`: to round coherent
+    and final scores to, so that any engine orders them alike. Keeps what `saturated` reads."""
+    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    if entries is None and config.improvements:
+        entries = entry_candidates(meta, plans, 1 << 30, config)
+    s = candidates(scores, meta, plans, config, entries if config.improvements else None)
+    s = s.join(plans.select(*_PLAN), "query_id").join(meta.select("chunk_ord", "content", "file_path", "start_line", "stem", "path_parts", "path_penalty", "package_entry", "entry_like", "installer"), "chunk_ord")
     if config.improvements:
-        s = hold(exact_stems(s, meta, plans, config, corpus))
-        s = locations(s, meta, plans, config)
-    return s.select("query_id", "chunk_ord", "score")
+        s = s.join(F.broadcast(_present(meta)))
+    found = F.col("score").isNotNull()
+    in_file = Window.partitionBy("query_id", "file_path")
+    nth = F.row_number().over(in_file.orderBy(F.desc_nulls_last("score"), "start_line", "chunk_ord"))
+    s = s.withColumns({"found": found, "file_sum": F.sum("score").over(in_file), "nth": nth})
+    s = s.withColumns({"best": F.max("score").over(_per_query()), "most": F.max("file_sum").over(_per_query())})
+    gain = F.when((F.col("nth") == 1) & (F.col("best") != 0), config.coherence_boost * F.col("best") * F.col("file_sum") / F.col("most")).otherwise(0.0)
+    s = s.withColumn("score", F.when(F.col("found"), cut(F.col("score") + gain)))
+    s = s.withColumn("top", F.max("score").over(_per_query()))
+    defines = _definition_gain(config)
+    s = s.withColumn("score", F.when(F.col("found"), F.col("score") + _stem_gain(config) + defines).when(F.col("named") & (defines > 0), defines))
+    if config.improvements:
+        s = s.withColumn("score", F.col("score") + _exact_gain(config))
+        there = _location_gain(config)
+        s = s.withColumn("score", F.when(F.col("score").isNotNull(), F.col("score") + there).when(F.col("entry") & (there > 0), there))
+        s = s.withColumn("score", F.col("score") * _installer_factor(config))
+    return s.where(F.col("score").isNotNull()).select("query_id", "chunk_ord", cut(F.col("score")).alias("score"), "file_path", "start_line", "path_penalty", "alpha", "top_k")
+
+
+def exact_stems(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """The gain of exact names alone, for scores with `top`, the query's best score before any boost."""
+    joined = scores.join(plans.select("query_id", "symbol", "exact_words", "hints"), "query_id").join(meta.select("chunk_ord", "stem"), "chunk_ord").join(F.broadcast(_present(meta)))
+    return joined.select("query_id", "chunk_ord", (F.col("score") + _exact_gain(config)).alias("score"), "top")
 
 
 def saturated(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -188,7 +216,9 @@ def saturated(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: Engi
 
     The greedy selection with its early stop has this closed form: the n-th best chunk of a file is
     worth decay ** (n - 1) of its score, and nothing that the greedy loop never looks at can enter."""
-    s = scores.join(meta.select("chunk_ord", "file_path", "start_line", "path_penalty"), "chunk_ord").join(plans.select("query_id", "alpha", "top_k"), "query_id")
+    s = scores
+    if "path_penalty" not in s.columns:  # `boosted` keeps these
+        s = s.join(meta.select("chunk_ord", "file_path", "start_line", "path_penalty"), "chunk_ord").join(plans.select("query_id", "alpha", "top_k"), "query_id")
     s = s.withColumn("pen", F.col("score") * F.when(F.col("alpha") < 1, F.col("path_penalty")).otherwise(1.0))
     nth = F.row_number().over(Window.partitionBy("query_id", "file_path").orderBy(F.desc("pen"), "start_line", "chunk_ord"))
     s = s.withColumn("score", F.col("pen") * F.pow(F.lit(config.saturation_decay), nth - 1))

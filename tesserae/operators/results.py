@@ -51,20 +51,27 @@ def expand(chunks: DataFrame, wanted: DataFrame, before: int = 1, after: int = 1
     return near.where(F.col("offset").between(-before, after)).drop("nth", "at")
 
 
+def _chunk(root: str | None, *more: Column) -> Column:
+    path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("file_path")) if root else None
+    return F.struct("content", "file_path", "start_line", "end_line", "language", T.location(path if root else "file_path", "start_line", "end_line").alias("location"), *([path.alias("absolute_path")] if root else []), *more)
+
+
+def expand_payload(expanded: DataFrame, root: str | None = None) -> DataFrame:
+    """request_id, json of `expand`'s rows: chunk_count, the chunk at the line as anchor, and all chunks in order."""
+    row = F.struct("offset", _chunk(root).alias("chunk"))
+    grouped = expanded.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    anchor = F.get(F.filter("all", lambda x: x["offset"] == 0), F.lit(0))["chunk"]
+    return grouped.select("request_id", F.to_json(F.struct(F.size("all").alias("chunk_count"), anchor.alias("anchor"), F.transform("all", lambda x: x["chunk"]).alias("chunks"))).alias("json"))
+
+
 def payload(hits: DataFrame, root: str | None = None, snippet: bool = True, config: EngineConfig = DEFAULT) -> DataFrame:
     """query_id, json: the answer to each query, scores relative to its best hit.
 
     `hits`: query_id, text (the query), match_terms, rank, score and the chunk's columns."""
     s = hits.withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
     s = snippets(s, config) if snippet else s.withColumns({"truncated": F.lit(False), "anchor_line": F.lit(None).cast("int"), "full_start_line": F.lit(None).cast("int"), "full_end_line": F.lit(None).cast("int")})
-    path = F.concat(F.lit(root.rstrip("/") + "/"), F.col("file_path")) if root else None
     cut = lambda c: F.when(F.col("truncated"), F.col(c)).alias(c)
-    chunk = F.struct(
-        "content", "file_path", "start_line", "end_line", "language",
-        T.location(path if root else "file_path", "start_line", "end_line").alias("location"),
-        *([path.alias("absolute_path")] if root else []),
-        F.when(F.col("truncated"), True).alias("truncated"), cut("anchor_line"), cut("full_start_line"), cut("full_end_line"),
-    )
+    chunk = _chunk(root, F.when(F.col("truncated"), True).alias("truncated"), cut("anchor_line"), cut("full_start_line"), cut("full_end_line"))
     entry = F.struct("rank", F.struct(chunk.alias("chunk"), T.relevance_percent(F.col("score"), F.col("best")).alias("score")).alias("hit"))
     grouped = s.groupBy("query_id", "text").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     return grouped.select("query_id", F.to_json(F.struct(F.col("text").alias("query"), F.transform("all", lambda x: x["hit"]).alias("results"))).alias("json"))

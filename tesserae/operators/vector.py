@@ -1,8 +1,9 @@
 """Exact nearest neighbours over float or int8 vectors.
 
-The vectors are scanned once for all queries: each Arrow batch is one matrix product, of which
-only every query's best k rows leave the task. The query matrix is broadcast if it has no more than
-`EngineConfig.broadcast_rows` rows; a larger query table is taken in blocks of that size.
+The vectors are scanned once for all queries: each Arrow batch meets `TILE` queries at a time in a
+matrix product, and a task keeps every query's best k rows over all its batches, which is all that
+leaves it. The query matrix is broadcast if it has no more than `EngineConfig.query_block` rows; a
+larger query table is taken in blocks of that size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from ..functions import vectors as V
 from .lexical import top_k
 
 
+TILE = 512
+
+
 def quantized(vectors: DataFrame) -> DataFrame:
     """chunk_ord, vector -> chunk_ord, codes, scale (single precision, as stored)."""
     return vectors.select("chunk_ord", V.codes_of("vector").alias("codes"), V.scale_of("vector").cast("float").alias("scale"))
@@ -41,6 +45,30 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array(ids, np.int64), np.array(rows, np.float64)
 
 
+class _Best:
+    """The k best rows of each query so far: by score, then by the smaller chunk."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores, self.ords = k, np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, at: int, dots: np.ndarray, ords: np.ndarray) -> None:
+        n = slice(at, at + len(dots))
+        scores = np.concatenate([self.scores[n], dots], 1)
+        chunks = np.concatenate([self.ords[n], np.broadcast_to(ords, dots.shape)], 1)
+        pick = np.argpartition(-scores, self.k - 1, 1)[:, : self.k]
+        worst = np.take_along_axis(scores, pick, 1).min(1, keepdims=True)
+        # Where more rows share the k-th score than there are places, the smaller chunks take them.
+        for q in np.flatnonzero((scores >= worst).sum(1) > self.k):
+            tied = np.flatnonzero(scores[q] >= worst[q])
+            pick[q] = tied[np.lexsort((chunks[q][tied], -scores[q][tied]))[: self.k]]
+        self.scores[n], self.ords[n] = np.take_along_axis(scores, pick, 1), np.take_along_axis(chunks, pick, 1)
+
+    def rows(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        scores, ords = self.scores[a:b], self.ords[a:b]
+        q, j = np.nonzero(scores > -np.inf)
+        return q + a, scores[q, j], ords[q, j]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, selector: DataFrame | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """query_id, chunk_ord, score (cosine), rank: the k nearest chunks of every query (query_id, vector).
 
@@ -52,7 +80,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, selector: DataFrame
     held = held.select("chunk_ord", *(["codes", "scale"] if int8 else ["vector"]))
     schema = pa.schema([("query_id", pa.int64()), ("chunk_ord", pa.int64()), ("score", pa.float64())])
     spark, found = vectors.sparkSession, None
-    for ids, rows in _blocks(queries, config.broadcast_rows):
+    for ids, rows in _blocks(queries, config.query_block):
         if int8:
             top = np.abs(rows).max(1)
             scale = np.where(top > 0, top / 127, 1.0)
@@ -63,18 +91,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, selector: DataFrame
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, rows, scale = sent.value
+            best = _Best(len(ids), k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ords = batch.column(0).to_numpy()
-                dots = _matrix(batch.column(1), np.float64) @ rows.T  # whole numbers for codes: exact
-                if int8:
-                    dots = dots * scale * batch.column(2).to_numpy().astype(np.float64)[:, None]
-                for q in range(len(ids)):
-                    d = dots[:, q]
-                    # All rows at the k-th score stay, so ties are settled over all batches.
-                    at = np.flatnonzero(d >= np.partition(d, len(d) - k)[len(d) - k]) if k < len(d) else np.arange(len(d))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[q])), pa.array(ords[at]), pa.array(d[at])], schema=schema)
+                matrix = _matrix(batch.column(1), np.float64)
+                own = batch.column(2).to_numpy().astype(np.float64) if int8 else None
+                for a in range(0, len(ids), TILE):
+                    dots = rows[a : a + TILE] @ matrix.T  # whole numbers for codes: exact
+                    if int8:
+                        dots = dots * scale[a : a + TILE, None] * own
+                    best.add(a, dots, ords)
+            for a in range(0, len(ids), TILE):
+                q, d, o = best.rows(a, a + TILE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(o), pa.array(d)], schema=schema)
 
         part = held.mapInArrow(scan, "query_id long, chunk_ord long, score double")
         found = part if found is None else found.unionByName(part)

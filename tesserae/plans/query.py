@@ -93,22 +93,6 @@ def exact_stem_words(query: str, generic: bool = False) -> list[str]:
     return [w for w in words if generic or w not in GENERIC_STEMS]
 
 
-def grep_keywords(query: str) -> list[str]:
-    words = dict.fromkeys(w for x in _HYPHENATED.findall(query) if len(w := x.lower()) >= 3 and w not in STOPWORDS)
-    return sorted(words, key=lambda w: -len(w))[:6]
-
-
-def file_matches_words(stem: str, query: str) -> bool:
-    """Whether a file's stem is named by the query, and not only as part of a hyphenated word."""
-    stem, words = stem.lower(), [w.lower() for w in _HYPHENATED.findall(query)]
-    if stem in words:
-        return True
-    if any("-" in w and stem in w.split("-") for w in words):
-        return False
-    bare = re.sub("[-_]", "", stem)
-    return any(re.sub("[-_]", "", w) == bare for w in words)
-
-
 SCHEMA = (
     "query_id long, text string, top_k int, alpha double, candidates int, terms array<string>, symbol boolean, names array<string>, names_low array<string>, "
     "def_pattern string, sql_pattern string, keywords array<string>, exact_words array<string>, words array<string>, location boolean, entry_point boolean, integration boolean, "

@@ -7,9 +7,12 @@ table (source code, tool calls) are literal rows.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,11 @@ from .config import DEFAULT
 from .functions import paths as P
 from .functions import text as T
 from .functions import vectors as V
-from .index import SearchIndex, held
+from .functions.embedding import pool
+from .index import SearchIndex, numbered_by
 from .operators import chunking, evaluation, guard, incremental, lexical, ranking, results, vector
 from .plans import query as Q
-from .store import export_postings
+from .store import export_postings, import_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,9 +108,9 @@ def indexed(spark: SparkSession, sf_dir: str, enrich: bool = False) -> tuple[Dat
     return chunks, lexical.postings(counts, documents), lexical.term_stats(counts), lexical.corpus_stats(documents)
 
 
-def lexical_scores(spark: SparkSession, sf_dir: str, plans: DataFrame, languages: list[str] | None = None, enrich: bool = False) -> DataFrame:
+def lexical_scores(spark: SparkSession, sf_dir: str, plans: DataFrame, languages: list[str] | None = None, enrich: bool = False, paths: list[str] | None = None) -> DataFrame:
     chunks, held, terms, stats = indexed(spark, sf_dir, enrich)
-    found = lexical.bm25(plans, held, terms, stats, lexical.selector(chunks, languages))
+    found = lexical.bm25(plans, held, terms, stats, lexical.selector(chunks, languages, paths))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -119,13 +123,9 @@ def tokenize_counts(spark, sf_dir):
     return counts.groupBy("chunk_ord").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
 
 
-IDENTIFIERS = ["HandlerStack", "my_func", "getHTTPResponse", "__init__", "x", "XMLHttpRequest2", "snake_Case_Mix", "ABC", "a1b2", "_private", "toString", "HTML5Parser", "_", "UPPER_SNAKE", "camelCase9"]
-_IDS = ", ".join(f"('{x}')" for x in IDENTIFIERS)
-
-
-@register(f"SELECT t AS token, array_to_string({sql_split('t')}, ' ') AS parts FROM (VALUES {_IDS}) v(t)")
+@register(f"SELECT t AS token, array_to_string({sql_split('t')}, ' ') AS parts FROM (SELECT DISTINCT unnest(regexp_extract_all(html, '{T.TOKEN}')) AS t FROM pages)")
 def identifier_split(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in IDENTIFIERS], "token string")
+    rows = table(spark, sf_dir, "pages").select(F.explode(T.raw_tokens("html")).alias("token")).distinct()
     return rows.select("token", F.array_join(T.split_identifier("token"), " ").alias("parts"))
 
 
@@ -152,6 +152,28 @@ def bm25_filtered_lang(spark, sf_dir):
     return lexical.top_k(found, 20).select("chunk_ord", "score", "rank")
 
 
+_PATHS_ASKED = ["src1/en/doc_1.md", "src2/en/doc_2.md", "src0/fr/doc_0.md"]
+
+
+@register("WITH " + sql_bm25(sql_terms(), "file_path IN ('src1/en/doc_1.md', 'src2/en/doc_2.md', 'src0/fr/doc_0.md')") + f" SELECT chunk_ord, score, rank FROM ({ranked('bm25', 20)})")
+def bm25_filtered_path(spark, sf_dir):
+    found = lexical_scores(spark, sf_dir, Q.plans(spark, [(0, TEXT_QUERY)]), paths=_PATHS_ASKED)
+    return lexical.top_k(found, 20).select("chunk_ord", "score", "rank")
+
+
+@register("WITH " + sql_bm25(sql_terms(), "language = 'de' OR file_path IN ('src1/en/doc_1.md', 'src2/en/doc_2.md', 'src0/fr/doc_0.md')") + f" SELECT chunk_ord, score, rank FROM ({ranked('bm25', 40)})")
+def bm25_filtered_union(spark, sf_dir):
+    found = lexical_scores(spark, sf_dir, Q.plans(spark, [(0, TEXT_QUERY)]), ["de"], paths=_PATHS_ASKED)
+    return lexical.top_k(found, 40).select("chunk_ord", "score", "rank")
+
+
+@register(f"WITH {sql_bm25(sql_terms())} SELECT chunk_ord, score, rank FROM ({ranked('bm25', 20)})")
+def bm25_filter_without_match(spark, sf_dir):
+    """A filter that nothing fits leaves all chunks in."""
+    found = lexical_scores(spark, sf_dir, Q.plans(spark, [(0, TEXT_QUERY)]), ["cobol"])
+    return lexical.top_k(found, 20).select("chunk_ord", "score", "rank")
+
+
 @register("WITH " + sql_bm25(sql_terms("doc_7 the src3 en"), body=ENRICHED) + f" SELECT chunk_ord, score, rank FROM ({ranked('bm25', 20)})")
 def bm25_enriched_path(spark, sf_dir):
     found = lexical_scores(spark, sf_dir, Q.plans(spark, [(0, "doc_7 the src3 en")]), enrich=True)
@@ -174,6 +196,14 @@ def postings_export(spark, sf_dir):
     return export_postings(held).select("term", "df", F.array_join(F.transform(pairs, lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"].cast("string"))), " ").alias("postings"))
 
 
+@register(f"WITH {CORPUS}, {sql_tokens('content')} SELECT chunk_ord, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS tokens, CAST(max(dl) AS BIGINT) AS dl FROM counts JOIN docs USING (chunk_ord) GROUP BY chunk_ord")
+def postings_import(spark, sf_dir):
+    """The exchange form read back."""
+    _, held, _, _ = indexed(spark, sf_dir)
+    again = import_postings(export_postings(held))
+    return again.groupBy("chunk_ord").agg(F.count("*").alias("n_terms"), F.sum("tf").cast("long").alias("tokens"), F.max("dl").alias("dl"))
+
+
 # Vectors
 
 
@@ -181,66 +211,60 @@ def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_ord"), F.col("embedding").alias("vector"), "label")
 
 
-def probe(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows whose id is divisible by 20, as queries: their number grows with the table."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def dealt_vectors(spark: SparkSession, sf_dir: str, ids: DataFrame, key: str) -> DataFrame:
+    """A vector for every row: the embedding whose place is the row's number modulo their count."""
+    have = table(spark, sf_dir, "embeddings")
+    n = have.agg(F.count("*").alias("n"))  # one row
+    return ids.join(F.broadcast(n)).select(key, (F.col(key) % F.col("n")).alias("vec_id")).join(have.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select(key, "vector")
 
 
 DOT = "list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * q[i]))"
-_FLOAT = f"near AS (SELECT query_id, chunk_ord, label, round({DOT}, 6) AS score FROM (SELECT vec_id AS chunk_ord, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < %d))"
+_FLOAT = f"near AS (SELECT query_id, chunk_ord, label, round({DOT}, 6) AS score FROM (SELECT vec_id AS chunk_ord, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT vec_id AS query_id, label AS own, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0))"
 _CODES = "quant AS (SELECT vec_id, label, s, list_transform(v, lambda x: CAST(greatest(-127, least(127, floor(x / s + 0.5))) AS DOUBLE)) AS c FROM (SELECT vec_id, label, v, CASE WHEN m > 0 THEN m / 127 ELSE 1.0 END AS s FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS m FROM embeddings)))"
-_INT8 = _CODES + f", near AS (SELECT query_id, chunk_ord, label, round({DOT} * qs * CAST(CAST(vs AS FLOAT) AS DOUBLE), 6) AS score FROM (SELECT vec_id AS chunk_ord, label, c AS v, s AS vs FROM quant), (SELECT vec_id AS query_id, c AS q, s AS qs FROM quant WHERE vec_id < %d))"
+_INT8 = _CODES + f", near AS (SELECT query_id, chunk_ord, label, round({DOT} * qs * CAST(CAST(vs AS FLOAT) AS DOUBLE), 6) AS score FROM (SELECT vec_id AS chunk_ord, label, c AS v, s AS vs FROM quant), (SELECT vec_id AS query_id, c AS q, s AS qs FROM quant WHERE vec_id % 20 = 0))"
 
 
 def _near(found: DataFrame, k: int) -> DataFrame:
     return lexical.top_k(found.drop("rank").withColumn("score", F.round("score", 6)), k).select("query_id", "chunk_ord", "score", "rank")
 
 
-@register(f"WITH {_FLOAT % 20} SELECT query_id, chunk_ord, score, rank FROM ({ranked('near', 10)})")
+@register(f"WITH {_FLOAT} SELECT query_id, chunk_ord, score, rank FROM ({ranked('near', 10)})")
 def knn_float(spark, sf_dir):
-    return _near(vector.nearest(vectors_of(spark, sf_dir), probe(spark, sf_dir, 20), 40), 10)
+    return _near(vector.nearest(vectors_of(spark, sf_dir), probe(spark, sf_dir), 40), 10)
 
 
-@register(f"WITH {_INT8 % 20} SELECT query_id, chunk_ord, score, rank FROM ({ranked('near', 10)})")
+@register(f"WITH {_INT8} SELECT query_id, chunk_ord, score, rank FROM ({ranked('near', 10)})")
 def knn_int8(spark, sf_dir):
-    return _near(vector.nearest(vector.quantized(vectors_of(spark, sf_dir)), probe(spark, sf_dir, 20), 40), 10)
-
-
-def batch_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows whose id is divisible by 20, as queries: their number grows with the table."""
-    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _near(vector.nearest(vector.quantized(vectors_of(spark, sf_dir)), probe(spark, sf_dir), 40), 10)
 
 
-def _sql_batch(near: str) -> str:
-    return f"WITH {(near % 20).replace('vec_id < 20', 'vec_id % 20 = 0')} SELECT query_id, chunk_ord, score, rank FROM ({ranked('near', 10)})"
-
-
-@register(_sql_batch(_FLOAT))
-def knn_float_batch(spark, sf_dir):
-    return _near(vector.nearest(vectors_of(spark, sf_dir), batch_probes(spark, sf_dir), 40), 10)
-
-
-@register(_sql_batch(_INT8))
-def knn_int8_batch(spark, sf_dir):
-    return _near(vector.nearest(vector.quantized(vectors_of(spark, sf_dir)), batch_probes(spark, sf_dir), 40), 10)
-
-
-@register(f"WITH {_FLOAT % 1} SELECT query_id, chunk_ord, score, rank FROM ({ranked('(SELECT * FROM near WHERE label IN (2, 5))', 20)})")
+@register(f"WITH {_FLOAT} SELECT query_id, chunk_ord, score, rank FROM ({ranked('(SELECT * FROM near WHERE label IN (2, 5))', 20)})")
 def knn_label_filter(spark, sf_dir):
     vectors = vectors_of(spark, sf_dir)
     return _near(vector.nearest(vectors, probe(spark, sf_dir), 40, vectors.where(F.col("label").isin(2, 5)).select("chunk_ord")), 20)
 
 
-@register(f"WITH {_INT8 % 1} SELECT query_id, chunk_ord, score, rank FROM ({ranked('(SELECT * FROM near WHERE chunk_ord <> 0 AND label = (SELECT label FROM embeddings WHERE vec_id = 0))', 5)})")
+@register(f"WITH {_INT8}, kin AS (SELECT n.* FROM near n JOIN embeddings e ON e.vec_id = n.query_id WHERE n.chunk_ord <> n.query_id AND n.label = e.label) SELECT query_id, chunk_ord, score, rank FROM ({ranked('kin', 5)})")
 def find_related(spark, sf_dir):
-    vectors = vectors_of(spark, sf_dir)
-    same = vectors.join(vectors.where("chunk_ord = 0").select("label"), "label", "left_semi").select("chunk_ord")
-    found = vector.nearest(vector.quantized(vectors), probe(spark, sf_dir), 40, same).where("chunk_ord <> 0")
-    return _near(found, 5)
+    """The nearest of a vector's own label, without itself: each label's vectors are asked by that label's queries."""
+    vectors, parts = vectors_of(spark, sf_dir), []
+    asked = probe(spark, sf_dir).join(vectors.select(F.col("chunk_ord").alias("query_id"), F.col("label").alias("own")), "query_id")
+    for r in vectors.select("label").distinct().orderBy("label").collect():  # a dozen labels
+        same = vectors.where(F.col("label") == r.label).select("chunk_ord")
+        parts.append(vector.nearest(vector.quantized(vectors), asked.where(F.col("own") == r.label), 40, same))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    return _near(found.where("chunk_ord <> query_id"), 5)
 
 
-@register(f"WITH {_FLOAT % 1} SELECT chunk_ord, score FROM near")
+@register(f"WITH near AS (SELECT vec_id AS chunk_ord, round({DOT}, 6) AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)) SELECT chunk_ord, score FROM near")
 def dense_scan(spark, sf_dir):
-    q = list(probe(spark, sf_dir).first().vector)
+    """One query against all vectors by column expressions alone."""
+    q = list(probe(spark, sf_dir).where("query_id = 0").first().vector)
     return vector.dense_scores(vectors_of(spark, sf_dir), q).select("chunk_ord", F.round("score", 6).alias("score"))
 
 
@@ -274,47 +298,72 @@ def embed_windows(spark, sf_dir):
 @register("""WITH d AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL)
 SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS value FROM d""")
 def window_pool(spark, sf_dir):
-    parts = vectors_of(spark, sf_dir).select("label", F.posexplode("vector").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.select("label", "dim", F.round(F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label"))), 6).alias("value"))
+    """The vectors of a label as the windows of one text."""
+
+    def pooled(key, table):
+        v = pool([np.array(x, float) for x in table["vector"].to_pylist()])
+        return pa.table({"label": pa.array([key[0].as_py()] * len(v), pa.int32()), "dim": pa.array(range(len(v)), pa.int32()), "value": pa.array(v)})
+
+    parts = vectors_of(spark, sf_dir).select(F.col("label").cast("int").alias("label"), "vector").groupBy("label").applyInArrow(pooled, "label int, dim int, value double")
+    return parts.select(F.col("label").cast(vectors_of(spark, sf_dir).schema["label"].dataType).alias("label"), "dim", F.round("value", 6).alias("value"))
+
+
+@register(f"""WITH {_CODES}, b AS (SELECT vec_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x * CAST(CAST(s AS FLOAT) AS DOUBLE) * CAST(CAST(s AS FLOAT) AS DOUBLE)))) AS n, CAST(CAST(s AS FLOAT) AS DOUBLE) AS s FROM quant)
+SELECT vec_id AS chunk_ord, CAST(i - 1 AS INTEGER) AS dim, round(c[i] * s / n, 6) AS value FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM b)""")
+def vector_at(spark, sf_dir):
+    """The unit vectors that stored codes stand for."""
+    held = vector.quantized(vectors_of(spark, sf_dir))
+    return held.select("chunk_ord", F.posexplode(V.vector_at("codes", "scale")).alias("dim", "value")).select("chunk_ord", "dim", F.round("value", 6).alias("value"))
 
 
 # Fusion and ranking
 
 
-def _hits(spark: SparkSession, sf_dir: str, plans: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks with a vector, and both engines' ranked hits."""
-    have = vectors_of(spark, sf_dir)
-    chunks = corpus(spark, sf_dir).join(have.select("chunk_ord"), "chunk_ord", "left_semi")
-    words = lexical_scores(spark, sf_dir, plans).join(have.select("chunk_ord"), "chunk_ord", "left_semi")
-    near = _near(vector.nearest(have, probe(spark, sf_dir), 4 * k), k)
-    return chunks, near, lexical.top_k(words, k).select("query_id", "chunk_ord", "score", "rank")
+def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text: the benchmark's items whose id is divisible by 20."""
+    return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").selectExpr("item_id AS query_id", "text")
+
 
+_ASKED = f"SELECT item_id AS query_id, unnest({sql_split('t')}) AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '{T.TOKEN}')) AS t FROM benchmark WHERE item_id % 20 = 0)"
+_DEALT = f"""near AS (SELECT query_id, chunk_ord, round({DOT}, 6) AS score
+  FROM (SELECT doc_id AS chunk_ord, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+       (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id % (SELECT count(*) FROM embeddings) WHERE item_id % 20 = 0))"""
 
-def sql_fused(alpha: float, text: str = TEXT_QUERY) -> str:
-    """CTEs up to fused (chunk_ord, score) over chunks that have a vector."""
-    return f"""{sql_bm25(sql_terms(text), "chunk_ord IN (SELECT vec_id FROM embeddings)")}, {_FLOAT % 1},
+
+def sql_fused(alpha: float) -> str:
+    """CTEs up to fused (query_id, chunk_ord, score)."""
+    return f"""{sql_bm25(_ASKED)}, {_DEALT},
 lex AS ({ranked("bm25", 50)}), sem AS ({ranked("near", 50)}),
-fused AS (SELECT chunk_ord, round(coalesce({alpha}::DOUBLE / (60 + sem.rank), 0) + coalesce((1 - {alpha}::DOUBLE) / (60 + lex.rank), 0), 9) AS score FROM sem FULL JOIN lex USING (chunk_ord))"""
+fused AS (SELECT query_id, chunk_ord, round(coalesce({alpha}::DOUBLE / (60 + sem.rank), 0) + coalesce((1 - {alpha}::DOUBLE) / (60 + lex.rank), 0), 9) AS score FROM sem FULL JOIN lex USING (query_id, chunk_ord))"""
+
+
+def _fused(spark: SparkSession, sf_dir: str, alpha: float | None, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, plans, and both engines' hits fused."""
+    asked = hybrid_queries(spark, sf_dir)
+    plans = Q.analysed(asked, k, alpha).coalesce(1).persist()
+    chunks = corpus(spark, sf_dir)
+    words = lexical.top_k(lexical_scores(spark, sf_dir, plans), 50).select("query_id", "chunk_ord", "score", "rank")
+    near = vector.nearest(dealt_vectors(spark, sf_dir, chunks.select("chunk_ord"), "chunk_ord"), dealt_vectors(spark, sf_dir, asked, "query_id"), 200)
+    # Both hit lists have 50 rows a query at most; the steps after this read them several times.
+    return chunks, plans, _held(ranking.fuse(_near(near, 50), words, plans).withColumn("score", F.round("score", 9)))
 
 
-def _fused(spark: SparkSession, sf_dir: str, alpha: float | None, text: str = TEXT_QUERY, k: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    plans = Q.plans(spark, [(0, text)], k, alpha)
-    chunks, near, words = _hits(spark, sf_dir, plans)
-    # Both hit lists have 50 rows at most; the steps after this read them several times.
-    return chunks, plans, held(ranking.fuse(near, words, plans).withColumn("score", F.round("score", 9)), True)
+def _held(df: DataFrame) -> DataFrame:
+    """A few rows that several steps read, in one partition."""
+    return df.coalesce(1).persist()
 
 
-@register(f"WITH {sql_fused(0.5)} SELECT chunk_ord, score FROM fused")
+@register(f"WITH {sql_fused(0.5)} SELECT query_id, chunk_ord, score FROM fused")
 def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir, None)[2].select("chunk_ord", "score")
+    return _fused(spark, sf_dir, 0.5)[2].select("query_id", "chunk_ord", "score")
 
 
 def _plain(spark, sf_dir, alpha):
     chunks, plans, fused = _fused(spark, sf_dir, alpha)
-    return ranking.plain_top(fused, chunks, plans).select("chunk_ord", "score", "rank")
+    return ranking.plain_top(fused, chunks, plans).select("query_id", "chunk_ord", "score", "rank")
 
 
-_PLAIN = "SELECT chunk_ord, score, row_number() OVER (ORDER BY score DESC, start_line, chunk_ord) AS rank FROM fused JOIN corpus USING (chunk_ord) QUALIFY rank <= 10"
+_PLAIN = "SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, start_line, chunk_ord) AS rank FROM fused JOIN corpus USING (chunk_ord) QUALIFY rank <= 10"
 
 
 @register(f"WITH {sql_fused(0)} {_PLAIN}")
@@ -329,156 +378,225 @@ def hybrid_alpha1(spark, sf_dir):
 
 @register(f"WITH {sql_fused(0.5)} {_PLAIN}")
 def hybrid_norerank(spark, sf_dir):
-    return _plain(spark, sf_dir, None)
+    return _plain(spark, sf_dir, 0.5)
 
 
-_COHERENT = """f AS (SELECT *, sum(score) OVER (PARTITION BY file_path) AS file_sum, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, start_line, chunk_ord) AS nth FROM fused JOIN corpus USING (chunk_ord)),
-coherent AS (SELECT chunk_ord, file_path, start_line, round(score + CASE WHEN nth = 1 THEN 0.2::DOUBLE * max(score) OVER () * file_sum / max(file_sum) OVER () ELSE 0 END, 9) AS score FROM f)"""
+def sql_coherent(chunks: str = "corpus") -> str:
+    return f"""f AS (SELECT *, sum(score) OVER (PARTITION BY query_id, file_path) AS file_sum, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, start_line, chunk_ord) AS nth FROM fused JOIN {chunks} USING (chunk_ord)),
+coherent AS (SELECT query_id, chunk_ord, file_path, start_line, round(score + CASE WHEN nth = 1 THEN 0.2::DOUBLE * max(score) OVER (PARTITION BY query_id) * file_sum / max(file_sum) OVER (PARTITION BY query_id) ELSE 0 END, 9) AS score FROM f)"""
 
 
-@register(f"WITH {sql_fused(0.5)}, {_COHERENT} SELECT chunk_ord, score FROM coherent")
+@register(f"WITH {sql_fused(0.5)}, {sql_coherent()} SELECT query_id, chunk_ord, score FROM coherent")
 def file_coherence_boost(spark, sf_dir):
-    chunks, _, fused = _fused(spark, sf_dir, None)
-    return ranking.coherence(fused, chunks).select("chunk_ord", F.round("score", 9).alias("score"))
+    chunks, _, fused = _fused(spark, sf_dir, 0.5)
+    return ranking.coherence(fused, chunks).select("query_id", "chunk_ord", F.round("score", 9).alias("score"))
 
 
-_SATURATED = """p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, start_line, chunk_ord) AS n FROM coherent),
-s AS (SELECT chunk_ord, file_path, start_line, score AS pen, round(score * power(0.5::DOUBLE, n - 1), 9) AS score FROM p),
-top AS (SELECT chunk_ord, file_path, score, row_number() OVER (ORDER BY score DESC, pen DESC, start_line, chunk_ord) AS rank FROM s QUALIFY rank <= %d)"""
+_SATURATED = """p AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, start_line, chunk_ord) AS n FROM coherent),
+s AS (SELECT query_id, chunk_ord, file_path, start_line, score AS pen, round(score * power(0.5::DOUBLE, n - 1), 9) AS score FROM p),
+top AS (SELECT query_id, chunk_ord, file_path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pen DESC, start_line, chunk_ord) AS rank FROM s QUALIFY rank <= %d)"""
 
 
-def _saturated(spark, sf_dir, k, text=TEXT_QUERY):
-    chunks, plans, fused = _fused(spark, sf_dir, None, text, k)
+def _saturated(spark, sf_dir, k):
+    chunks, plans, fused = _fused(spark, sf_dir, 0.5, k)
     meta = ranking.chunk_meta(chunks)
     coherent = ranking.coherence(fused, meta).withColumn("score", F.round("score", 9))
     return meta, ranking.saturated(coherent, meta, plans)
 
 
-@register(f"WITH {sql_fused(0.5)}, {_COHERENT}, {_SATURATED % 10} SELECT chunk_ord, score, rank FROM top")
+@register(f"WITH {sql_fused(0.5)}, {sql_coherent()}, {_SATURATED % 10} SELECT query_id, chunk_ord, score, rank FROM top")
 def file_saturation_rerank(spark, sf_dir):
-    return _saturated(spark, sf_dir, 10)[1].select("chunk_ord", F.round("score", 9).alias("score"), "rank")
+    return _saturated(spark, sf_dir, 10)[1].select("query_id", "chunk_ord", F.round("score", 9).alias("score"), "rank")
 
 
-@register(f"WITH {sql_fused(0.5)}, {_COHERENT}, {_SATURATED % 40} SELECT file_path, chunk_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, rank) AS nth FROM top) WHERE nth = 1")
+@register(f"WITH {sql_fused(0.5)}, {sql_coherent()}, {_SATURATED % 40} SELECT query_id, file_path, chunk_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, rank) AS nth FROM top) WHERE nth = 1")
 def dedupe_by_file(spark, sf_dir):
     meta, top = _saturated(spark, sf_dir, 40)
     found = ranking.dedupe_by_file(top.join(meta.select("chunk_ord", "file_path"), "chunk_ord"))
-    return found.select("file_path", "chunk_ord", F.round("score", 9).alias("score"))
-
-
-# The whole re-ranker over a corpus: the query's only effective boost is a keyword that begins a path part.
-_PREFIXED = "document the and stion"
-
-
-@register(f"""WITH {sql_fused(0.5, _PREFIXED)}, {_COHERENT.replace("coherent AS", "boosted AS").replace("round(", "(").replace(", 9)", ")")},
-coherent AS (SELECT chunk_ord, file_path, start_line, round(score + (SELECT max(score) FROM boosted) * 0.5, 9) AS score FROM boosted),
-{_SATURATED % 10} SELECT chunk_ord, score, rank FROM top""")
-def hybrid_rerank(spark, sf_dir):
-    chunks, plans, fused = _fused(spark, sf_dir, None, _PREFIXED)
+    return found.select("query_id", "file_path", "chunk_ord", F.round("score", 9).alias("score"))
+
+
+# The whole re-ranker, over a code corpus made from `pages`: a page's host gives a name, its number one of eight kinds
+# of file that the boosts are about. The SQL writes out all constants and patterns.
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"([a-z]+)\.example", 1).alias("w"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    name = F.concat(F.initcap("w"), F.lit("Handler"))
+    kinds = [
+        (("src/", "_handler.py"), ("class ", name, "(Base):\n    def push(self): pass\n# ")),
+        (("src/", ".ts"), ("const x = new ", name, "();\n// ")),
+        (("lib/", "/util.ts"), ("export function run() {}\n// ", name, " ")),
+        (("tests/", "_test.py"), ("import ", F.col("w"), "\n# class of tests\n# ")),
+        (("src/installer/", ".ts"), ("#!/usr/bin/env node\nfunction main() {}\n// ", F.col("w"), " ")),
+        (("src/", "-cli.ts"), ("if (require.main === module) run(", F.col("w"), ");\n// ")),
+        (("pkg_", "/package.json"), ("[package entry]\nbin ", F.col("w"), ": src/cli.ts\n")),
+        (("types/", ".d.ts"), ("export interface ", name, " {\n}\n// ")),
+    ]
+    path = content = None
+    for k, (p, c) in enumerate(kinds):
+        is_kind = F.col("page_id") % 8 == k
+        one = F.concat(F.lit(p[0]), F.col("w"), F.lit(p[1]))
+        text = F.concat(F.lit(c[0]), c[1], F.lit(c[2]), F.col("title"))
+        path = F.when(is_kind, one) if path is None else path.when(is_kind, one)
+        content = F.when(is_kind, text) if content is None else content.when(is_kind, text)
+    rows = page.select(F.col("page_id").alias("chunk_ord"), content.alias("content"), path.alias("file_path"), "w")
+    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("chunk_ord"))
+    return rows.select("chunk_ord", "content", "file_path", ((nth - 1) * 10 + 1).alias("start_line"), (nth * 10).alias("end_line"), F.lit("code").alias("language"), "w")
+
+
+CODE_CORPUS = r"""page AS (SELECT page_id, regexp_extract(url, '([a-z]+)\.example', 1) AS w, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+named AS (SELECT *, upper(substr(w, 1, 1)) || substr(w, 2) || 'Handler' AS name, chr(10) AS nl FROM page),
+made AS (SELECT page_id AS chunk_ord, w,
+  CASE page_id % 8 WHEN 0 THEN 'src/' || w || '_handler.py' WHEN 1 THEN 'src/' || w || '.ts' WHEN 2 THEN 'lib/' || w || '/util.ts' WHEN 3 THEN 'tests/' || w || '_test.py'
+    WHEN 4 THEN 'src/installer/' || w || '.ts' WHEN 5 THEN 'src/' || w || '-cli.ts' WHEN 6 THEN 'pkg_' || w || '/package.json' ELSE 'types/' || w || '.d.ts' END AS file_path,
+  CASE page_id % 8 WHEN 0 THEN 'class ' || name || '(Base):' || nl || '    def push(self): pass' || nl || '# ' WHEN 1 THEN 'const x = new ' || name || '();' || nl || '// '
+    WHEN 2 THEN 'export function run() {}' || nl || '// ' || name || ' ' WHEN 3 THEN 'import ' || w || nl || '# class of tests' || nl || '# '
+    WHEN 4 THEN '#!/usr/bin/env node' || nl || 'function main() {}' || nl || '// ' || w || ' ' WHEN 5 THEN 'if (require.main === module) run(' || w || ');' || nl || '// '
+    WHEN 6 THEN '[package entry]' || nl || 'bin ' || w || ': src/cli.ts' || nl ELSE 'export interface ' || name || ' {' || nl || '}' || nl || '// ' END || title AS content FROM named),
+corpus AS (SELECT *, CAST((rn - 1) * 10 + 1 AS INTEGER) AS start_line, CAST(rn * 10 AS INTEGER) AS end_line, 'code' AS language FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY chunk_ord) AS rn FROM made))"""
+
+
+def code_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text: every page whose number is divisible by 20 asks about its name, in one of five ways."""
+    w, name = F.col("w"), F.concat(F.initcap("w"), F.lit("Handler"))
+    forms = [name, F.concat(F.lit("how does the "), name, F.lit(" push work")), F.concat(F.lit("where is the "), w, F.lit(" cli code")), F.concat(F.lit("entry point of "), w, F.lit(" command line")), F.concat(w, F.lit(" util handler run"))]
+    text = functools.reduce(lambda a, k: a.when(F.floor(F.col("chunk_ord") / 20) % 5 == k, forms[k]), range(1, 5), F.when(F.floor(F.col("chunk_ord") / 20) % 5 == 0, forms[0]))
+    return code_corpus(spark, sf_dir).where("chunk_ord % 20 = 0").select(F.col("chunk_ord").alias("query_id"), text.alias("text"))
+
+
+CODE_QUERIES = r"""asked AS (SELECT page_id AS query_id, CASE (page_id // 20) % 5 WHEN 0 THEN name WHEN 1 THEN 'how does the ' || name || ' push work' WHEN 2 THEN 'where is the ' || w || ' cli code'
+  WHEN 3 THEN 'entry point of ' || w || ' command line' ELSE w || ' util handler run' END AS text, CASE WHEN (page_id // 20) % 5 < 2 THEN name END AS name, (page_id // 20) % 5 = 0 AS symbol FROM named WHERE page_id % 20 = 0),
+plan AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN ('and', 'are', 'does', 'for', 'from', 'has', 'have', 'how', 'not', 'the', 'was', 'what', 'when', 'where', 'which', 'who', 'why', 'with'))) AS keywords,
+  list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_-]*'), lambda x: lower(x))) AS words,
+  regexp_matches(text, '(?i)\b(where(''s| is)?|entry\s*point|bootstrap|starts?|live[s]?|located|defined|wiring)\b') AS location, regexp_matches(text, '(?i)\b(entry\s*point|bootstrap|starts?|wiring|command\s*line)\b') AS entry_point,
+  regexp_matches(text, '(?i)\b(install|uninstall|hook|agent|configure|setup)\b') AS integration FROM asked)"""
+_GENERIC = "'route', 'routes', 'router', 'routing', 'handler', 'middleware', 'channel', 'model', 'models', 'request', 'response', 'utils', 'util', 'server', 'client', 'application', 'dispatch', 'core', 'lib', 'main', 'mod', 'test', 'tests', 'schema', 'config', 'helper', 'helpers', 'engine', 'pipeline', 'plug', 'plugs', 'command', 'commands', 'index'"
+_HINTS = "'command', 'handler', 'router', 'routing', 'middleware', 'model', 'channel', 'request', 'response', 'dispatch', 'pipeline'"
+_FORMS = "[stem, replace(stem, '_', ''), regexp_replace(stem, 's$', ''), regexp_replace(replace(stem, '_', ''), 's$', '')]"
+CODE_META = r"""parts AS (SELECT *, string_split(file_path, '/') AS segs, regexp_replace(string_split(file_path, '/')[-1], '\.[^.]+$', '') AS stem FROM corpus),
+pieces AS (SELECT *, CASE WHEN contains(stem, '_') THEN list_filter(string_split(stem, '_'), lambda x: x <> '') ELSE regexp_extract_all(stem, '[a-z]+|[0-9]+') END AS own, CASE WHEN contains(segs[-2], '_') THEN list_filter(string_split(segs[-2], '_'), lambda x: x <> '') ELSE regexp_extract_all(segs[-2], '[a-z]+|[0-9]+') END AS above FROM parts),
+meta AS (SELECT chunk_ord, content, file_path, start_line, stem, list_distinct(CASE WHEN len(own) >= 2 THEN list_prepend(stem, own) ELSE [stem] END || CASE WHEN len(above) >= 2 THEN list_prepend(segs[-2], above) ELSE [segs[-2]] END) AS path_parts,
+  (CASE WHEN regexp_matches(file_path, '(^|/)[^/]*_test\.py$') OR regexp_matches(file_path, '(^|/)tests/') THEN 0.3::DOUBLE ELSE 1 END) * (CASE WHEN ends_with(file_path, '.d.ts') THEN 0.7::DOUBLE ELSE 1 END) AS path_penalty,
+  starts_with(content, '[package entry]') AS package_entry, starts_with(content, '[package entry]') OR regexp_matches(content, '#!/usr/bin|(?:^|\n)\s*(?:async\s+)?function\s+main\s*\(|(?:^|\n)\s*if\s*\(\s*require\.main\s*===\s*module') AS entry_like,
+  regexp_matches(file_path, '(^|/)installer(/|$)') AS installer FROM pieces)"""
+
+_CODE_TERMS = f"SELECT query_id, unnest({sql_split('t')}) AS term FROM (SELECT query_id, unnest(regexp_extract_all(text, '{T.TOKEN}')) AS t FROM plan)"
+_CODE_BM25 = sql_bm25(_CODE_TERMS).replace(CORPUS, f"{CODE_CORPUS}, {CODE_QUERIES}").replace("asked AS (SELECT DISTINCT query_id, term", "wants AS (SELECT DISTINCT query_id, term").replace("FROM asked JOIN df", "FROM wants JOIN df")
+CODE_RANKED = rf"""WITH {_CODE_BM25},
+near AS (SELECT query_id, chunk_ord, round({DOT}, 6) AS score FROM (SELECT chunk_ord, CAST(embedding AS DOUBLE[]) AS v FROM corpus JOIN embeddings ON vec_id = chunk_ord % (SELECT count(*) FROM embeddings)),
+  (SELECT query_id, CAST(embedding AS DOUBLE[]) AS q FROM plan JOIN embeddings ON vec_id = query_id % (SELECT count(*) FROM embeddings))),
+lex AS (SELECT * FROM ({ranked("bm25", 60)}) JOIN plan USING (query_id) WHERE rank <= CASE WHEN location THEN 60 ELSE 30 END),
+sem AS (SELECT * FROM ({ranked("near", 60)}) JOIN plan USING (query_id) WHERE rank <= CASE WHEN location THEN 60 ELSE 30 END),
+weight AS (SELECT query_id, CASE WHEN symbol THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS alpha FROM plan),
+fused AS (SELECT query_id, chunk_ord, round(coalesce(alpha * (1.0::DOUBLE / (60 + sem.rank)), 0) + coalesce((1 - alpha) * (1.0::DOUBLE / (60 + lex.rank)), 0), 9) AS score FROM (SELECT query_id, chunk_ord, rank FROM sem) sem FULL JOIN (SELECT query_id, chunk_ord, rank FROM lex) lex USING (query_id, chunk_ord) JOIN weight USING (query_id)),
+{CODE_META},
+{sql_coherent("meta")},
+tops AS (SELECT query_id, max(score) AS top FROM coherent GROUP BY query_id),
+r2 AS (SELECT query_id, chunk_ord, top, c.score + CASE WHEN NOT symbol AND len(keywords) > 0 AND hits >= 0.1 * len(keywords) THEN top * 1.0 * (hits / len(keywords)::DOUBLE) ELSE 0 END AS score FROM (SELECT c.query_id, c.chunk_ord, c.score, p.symbol, p.keywords,
+  len(list_filter(p.keywords, lambda k: len(list_filter(m.path_parts, lambda x: x = k OR (length(k) <= length(x) AND length(k) >= 3 AND starts_with(x, k)) OR (length(x) < length(k) AND length(x) >= 3 AND starts_with(k, x)))) > 0)) AS hits FROM coherent c JOIN plan p USING (query_id) JOIN meta m USING (chunk_ord)) c JOIN tops USING (query_id)),
+tier AS (SELECT query_id, chunk_ord, CASE WHEN regexp_matches(content, '(?m)(?:^|\s)(?:class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract\s+class|data\s+class|fn|fun|package|namespace|protocol|record|typedef)\s+(?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*(?:' || name || ')(?:\s|[<({{:\[;]|$)')
+  THEN top * 3.0::DOUBLE * (CASE WHEN symbol THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * (CASE WHEN list_contains({_FORMS}, lower(name)) THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) ELSE 0 END AS gain,
+  CASE WHEN symbol THEN list_contains({_FORMS}, lower(name)) ELSE len(list_filter([stem, replace(stem, '_', '')], lambda x: x = lower(name) OR (length(x) >= 4 AND starts_with(lower(name), x)))) > 0 END AS fits
+  FROM plan JOIN tops USING (query_id), meta WHERE name IS NOT NULL),
+r1 AS (SELECT r2.query_id, r2.chunk_ord, top, r2.score + coalesce(gain, 0) AS score FROM r2 LEFT JOIN tier t ON t.query_id = r2.query_id AND t.chunk_ord = r2.chunk_ord
+  UNION ALL SELECT t.query_id, t.chunk_ord, tops.top, gain FROM tier t JOIN tops USING (query_id) LEFT JOIN r2 ON r2.query_id = t.query_id AND r2.chunk_ord = t.chunk_ord WHERE r2.chunk_ord IS NULL AND fits AND gain > 0),
+present AS (SELECT coalesce(list(DISTINCT stem), []) AS held FROM meta WHERE stem IN ({_HINTS})),
+r4 AS (SELECT query_id, chunk_ord, top, r.score + CASE WHEN NOT symbol AND len(list_filter(words, lambda w: length(w) > 2 AND w NOT IN ({_GENERIC}) AND NOT (prefer AND w = stem AND stem NOT IN ({_HINTS})) AND (w = stem OR regexp_replace(w, '[-_]', '', 'g') = regexp_replace(stem, '[-_]', '', 'g')))) > 0 THEN top * 0.75 ELSE 0 END AS score
+  FROM (SELECT r1.*, symbol, words, stem, len(list_filter([{_HINTS}], lambda h: contains(lower(text), h) AND list_contains(held, h))) > 0 AS prefer FROM r1 JOIN plan USING (query_id) JOIN meta USING (chunk_ord), present) r),
+gains AS (SELECT query_id, chunk_ord, top * CASE WHEN package_entry THEN CASE WHEN entry_point THEN 2.5::DOUBLE ELSE 0.75::DOUBLE END ELSE 2.5::DOUBLE END AS gain, top FROM plan JOIN tops USING (query_id), meta
+  WHERE location AND NOT symbol AND entry_like AND (package_entry OR entry_point OR list_contains(words, stem) OR (len(list_filter(words, lambda w: contains(w, '-') AND list_contains(string_split(w, '-'), stem))) = 0 AND len(list_filter(words, lambda w: regexp_replace(w, '[-_]', '', 'g') = regexp_replace(stem, '[-_]', '', 'g'))) > 0))),
+r5 AS (SELECT query_id, chunk_ord, coalesce(r4.score, 0) + coalesce(g.gain, 0) AS score FROM r4 FULL JOIN gains g USING (query_id, chunk_ord)),
+r6 AS (SELECT query_id, chunk_ord, file_path, start_line, path_penalty, round(score * CASE WHEN location AND NOT integration AND NOT symbol AND installer THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score FROM r5 JOIN plan USING (query_id) JOIN meta USING (chunk_ord)),
+r7 AS (SELECT *, score * path_penalty AS pen FROM r6),
+r8 AS (SELECT *, pen * power(0.5::DOUBLE, row_number() OVER (PARTITION BY query_id, file_path ORDER BY pen DESC, start_line, chunk_ord) - 1) AS final FROM r7)
+SELECT query_id, chunk_ord, round(final, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, pen DESC, start_line, chunk_ord) AS rank FROM r8 QUALIFY rank <= 6"""
+
+
+def code_search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, plans and boosted scores."""
+    chunks, asked = code_corpus(spark, sf_dir).drop("w"), code_queries(spark, sf_dir)
+    plans = Q.analysed(asked, 6).coalesce(1).persist()
+    counts = lexical.term_counts(chunks, enrich=False)
+    documents = lexical.document_stats(chunks, counts)
+    found = lexical.bm25(plans, lexical.postings(counts, documents), lexical.term_stats(counts), lexical.corpus_stats(documents))
+    own = lambda hits: hits.join(plans.select("query_id", "candidates"), "query_id").where("rank <= candidates").select("query_id", "chunk_ord", "score", "rank")
+    words = own(lexical.top_k(found.withColumn("score", F.round("score", 6)), 60))
+    near = own(_near(vector.nearest(dealt_vectors(spark, sf_dir, chunks.select("chunk_ord"), "chunk_ord"), dealt_vectors(spark, sf_dir, asked, "query_id"), 240), 60))
+    fused = ranking.fuse(near, words, plans).withColumn("score", F.round("score", 9))
     meta = ranking.chunk_meta(chunks)
-    seen = held(ranking.reachable(fused, meta, plans), True)
-    scores = ranking.boosted(fused, seen, plans, corpus=meta, hold=lambda df: held(df, True)).withColumn("score", F.round("score", 9))
-    return ranking.saturated(scores, seen, plans).select("chunk_ord", F.round("score", 9).alias("score"), "rank")
+    return meta, plans, ranking.boosted(fused, meta, plans, entries=ranking.entry_candidates(meta, plans, 60), digits=9)
 
 
-PATHS = [
-    "src/app.ts", "src/app.test.ts", "tests/unit/helper.py", "test_core.py", "pkg/core_test.go", "src/main/java/FooTest.java", "src/UserTests.java", "spec/a_spec.rb", "lib/__init__.py",
-    "com/package-info.java", "legacy/old.py", "docs_src/x.py", "examples/demo/a.ts", "_examples/b.go", "types/index.d.ts", "tests/__init__.py", "compat/tests/x.d.ts", "testing/y.c", "src\\tests\\z.py",
-    "latest/contest.py", "Dockerfile", "build.DOCKERFILE", "a/b.h", "a/b.H++", "noext", ".env", "x.tar.gz", "README.MD", "script.R", "a.b/c", "src/test_helpers_x.rb",
-]
-_PATHS = ", ".join("('" + p + "')" for p in PATHS)
-_re = lambda p: p.replace(r"\z", "$").replace("'", "''")
-_SLASHED = "replace(p, '\\', '/')"
+@register(CODE_RANKED)
+def hybrid_rerank(spark, sf_dir):
+    """All boosts, injections and penalties, over chunks that the pages make."""
+    meta, plans, scores = code_search(spark, sf_dir)
+    return ranking.saturated(scores, meta, plans).select("query_id", "chunk_ord", F.round("score", 7).alias("score"), "rank")
 
 
-@register(f"""SELECT p AS file_path, round((CASE WHEN regexp_matches({_SLASHED}, '{_re(P.TEST_FILE)}$') OR regexp_matches({_SLASHED}, '{_re(P.TEST_DIR)}') THEN 0.3 ELSE 1 END)
- * (CASE WHEN string_split(p, '/')[-1] IN ('__init__.py', 'package-info.java') THEN 0.5 ELSE 1 END) * (CASE WHEN regexp_matches({_SLASHED}, '{_re(P.COMPAT_DIR)}') THEN 0.3 ELSE 1 END)
- * (CASE WHEN regexp_matches({_SLASHED}, '{_re(P.EXAMPLE_DIR)}') THEN 0.3 ELSE 1 END) * (CASE WHEN regexp_matches({_SLASHED}, '\\.d\\.ts$') THEN 0.7 ELSE 1 END), 6)::DOUBLE AS penalty FROM (VALUES {_PATHS}) v(p)""")
-def path_penalty(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in PATHS], "file_path string")
-    return rows.select("file_path", F.round(P.penalty("file_path"), 6).alias("penalty"))
+_DIRS = ["src", "tests/unit", "compat", "_examples", "types", "docs_src", "legacy/x", "spec"]
+_NAMES = ["app.ts", "app.test.ts", "core_test.go", "__init__.py", "package-info.java", "ModelTest.php", "a_spec.rb", "index.d.ts", "test_core.py", "UserTests.java", "Dockerfile", "b.H", "x.tar.gz", ".env", "contest.py", "noext", "y.R"]
 
 
-_LANGS = ", ".join(f"('{e.lower()}', '{lang}')" for e, lang in P.EXTENSION_LANGUAGE.items() if e == e.lower())
+def made_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_path of a file for each page: one of the folders, its host's name, one of the file names."""
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs)).cast("int") + 1)
+    page = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"([a-z]+)\.example", 1).alias("w"))
+    path = F.concat_ws("/", pick(_DIRS, F.col("page_id")), "w", pick(_NAMES, F.floor(F.col("page_id") / 2)))
+    return page.select("page_id", F.when(F.col("page_id") % 7 == 3, F.replace(path, F.lit("/"), F.lit("\\"))).otherwise(path).alias("file_path"))
 
 
-@register(f"""SELECT p AS file_path, CASE WHEN lower(string_split(p, '/')[-1]) = 'dockerfile' THEN 'dockerfile' ELSE lang END AS language
-FROM (VALUES {_PATHS}) v(p) LEFT JOIN (VALUES {_LANGS}) l(ext, lang) ON lower(regexp_extract(string_split(p, '/')[-1], '^.+?(\\.[^.]*)$', 1)) = ext""")
-def language_detect(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in PATHS], "file_path string")
-    return rows.select("file_path", P.language("file_path").alias("language"))
+_MADE = rf"""made AS (SELECT page_id, CASE WHEN page_id % 7 = 3 THEN replace(p, '/', '\') ELSE p END AS file_path FROM (SELECT page_id, {_DIRS}[1 + page_id % 8] || '/' || regexp_extract(url, '([a-z]+)\.example', 1) || '/' || {_NAMES}[1 + (page_id // 2) % 17] AS p FROM pages))"""
 
 
-CODE = [
-    (0, "src/handler_stack.py", "class HandlerStack(Base):\n    def push(self): pass\n"), (1, "src/util.py", "x = HandlerStack()\n# class of things\n"), (2, "lib/stack.ts", "export class Stack {\n}\n"),
-    (3, "db/schema.sql", "create table Stack (\n id int)\n"), (4, "src/handlerstacks.ts", "  class ns.HandlerStack {\n"), (5, "a/handlerstack.go", "type HandlerStack struct {\n}"),
-    (6, "src/main.ts", "#!/usr/bin/env node\nfunction main() {}\n"), (7, "src/installer/cli.ts", "async function main (argv) {\n}\n"), (8, "package.json", "[package entry]\nbin cli: src/cli.ts\n"),
-    (9, "src/cli.ts", "export function run() {}\nif (require.main === module) run();\n"), (10, "src/cli-ui.ts", "export const ui = 1;\n"), (11, "src/router.ts", "class Router {}\n"),
-]
-ASKED = [(0, "HandlerStack"), (1, "where is the cli code"), (2, "how does the HandlerStack push work"), (3, "ns::Stack"), (4, "CLI entry point main command line interface"), (5, "install the router agent where"), (6, "_x"), (7, "cli-ui terminal")]
+@register(rf"""WITH {_MADE}, s AS (SELECT *, replace(file_path, '\', '/') AS p FROM made)
+SELECT page_id, round((CASE WHEN regexp_matches(p, '(^|/)(test_[^/]*\.py|[^/]*_test\.go|[^/]*Tests?\.java|[^/]*Test\.php|[^/]*_spec\.rb|[^/]*\.test\.[jt]sx?)$') OR regexp_matches(p, '(^|/)(tests?|__tests__|spec|testing)(/|$)') THEN 0.3::DOUBLE ELSE 1 END)
+ * (CASE WHEN string_split(p, '/')[-1] IN ('__init__.py', 'package-info.java') THEN 0.5::DOUBLE ELSE 1 END) * (CASE WHEN regexp_matches(p, '(^|/)(compat|_compat|legacy)(/|$)') THEN 0.3::DOUBLE ELSE 1 END)
+ * (CASE WHEN regexp_matches(p, '(^|/)(_?examples?|docs?_src)(/|$)') THEN 0.3::DOUBLE ELSE 1 END) * (CASE WHEN ends_with(p, '.d.ts') THEN 0.7::DOUBLE ELSE 1 END), 6) AS penalty FROM s""")
+def path_penalty(spark, sf_dir):
+    return made_paths(spark, sf_dir).select("page_id", F.round(P.penalty("file_path"), 6).alias("penalty"))
 
 
-def code_chunks(spark: SparkSession) -> DataFrame:
-    rows = [(i, text, path, 1, text.count("\n") + 1, "code") for i, path, text in CODE]
-    return spark.createDataFrame(rows, "chunk_ord long, content string, file_path string, start_line int, end_line int, language string")
+@register(rf"""WITH {_MADE}, s AS (SELECT page_id, string_split(file_path, '/')[-1] AS name FROM made)
+SELECT page_id, CASE WHEN name = 'Dockerfile' THEN 'dockerfile' WHEN ends_with(name, '.ts') THEN 'typescript' WHEN ends_with(name, '.go') THEN 'go' WHEN ends_with(name, '.py') THEN 'python' WHEN ends_with(name, '.java') THEN 'java' WHEN ends_with(name, '.php') THEN 'php'
+  WHEN ends_with(name, '.rb') THEN 'ruby' WHEN ends_with(name, '.H') THEN 'cpp' WHEN ends_with(name, '.R') THEN 'r' END AS language FROM s""")
+def language_detect(spark, sf_dir):
+    return made_paths(spark, sf_dir).select("page_id", P.language("file_path").alias("language"))
 
 
-def _literal(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+def code_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, plans, and the pairs (query_id, chunk_ord) that are about one name."""
+    chunks, asked = code_corpus(spark, sf_dir), code_queries(spark, sf_dir)
+    names = chunks.select(F.col("chunk_ord").alias("query_id"), "w")
+    pairs = asked.join(names, "query_id").select("query_id", "w").join(chunks.select("chunk_ord", "w"), "w").select("query_id", "chunk_ord")
+    return ranking.chunk_meta(chunks.drop("w")), Q.analysed(asked, 6), pairs
 
 
-_DEFINED = [(i, n, g, s) for i, t in ASKED for p in [Q.analyse(i, t)] for n in ["|".join(p["names_low"])] for g, s in [(p["def_pattern"], p["sql_pattern"])] if n]
+_PAIRS = f"{CODE_CORPUS}, {CODE_QUERIES}, {CODE_META}, pair AS (SELECT q.page_id AS query_id, c.chunk_ord FROM named q JOIN made c ON c.w = q.w WHERE q.page_id % 20 = 0)"
 
 
-@register(f"""SELECT q AS query_id, id AS chunk_ord, round(CASE WHEN regexp_matches(body, general) OR regexp_matches(body, ddl) THEN CASE WHEN list_contains(names, stem) OR list_contains(names, replace(stem, '_', ''))
-  OR list_contains(names, regexp_replace(stem, 's$', '')) OR list_contains(names, regexp_replace(replace(stem, '_', ''), 's$', '')) THEN 1.5 ELSE 1.0 END ELSE 0 END, 6)::DOUBLE AS tier
-FROM (SELECT id, body, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')) AS stem FROM (VALUES {_literal(CODE)}) c(id, path, body)),
-     (SELECT q, string_split(n, '|') AS names, general, ddl FROM (VALUES {_literal(_DEFINED)}) d(q, n, general, ddl))""")
+@register(rf"""WITH {_PAIRS} SELECT query_id, chunk_ord, CASE WHEN regexp_matches(content, '(?m)(?:^|\s)(?:class|interface|struct|enum|type|func|function|def)\s+(?:' || name || ')(?:\s|[<({{:\[;]|$)')
+  THEN CASE WHEN list_contains({_FORMS}, lower(name)) THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.0::DOUBLE END AS tier FROM pair JOIN plan USING (query_id) JOIN meta USING (chunk_ord) WHERE name IS NOT NULL""")
 def definition_tier(spark, sf_dir):
-    plans = Q.plans(spark, ASKED).where(F.size("names") > 0)
-    meta = ranking.chunk_meta(code_chunks(spark))
-    both = meta.crossJoin(plans)  # literal rows
+    meta, plans, pairs = code_pairs(spark, sf_dir)
+    both = pairs.join(plans.where(F.size("names") > 0), "query_id").join(meta, "chunk_ord")
     return both.select("query_id", "chunk_ord", F.round(ranking._tier(F.lit(1.0)), 6).alias("tier"))
 
 
-@register(f"""SELECT CAST(query_id AS BIGINT) AS query_id, regexp_full_match(trim(text), '(?:(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\\\|->|\\.)[A-Za-z_][A-Za-z0-9_]*)+)|_(?:[A-Za-z0-9_]*)|(?:[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*)|(?:[A-Z][A-Za-z0-9]*))') AS symbol,
- regexp_matches(text, '(?i)\\b(where(?:''s| is)?|entry\\s*point|bootstrap|starts?|live[s]?|located|defined|wiring)\\b') AS location,
- regexp_matches(text, '(?i)\\b(entry\\s*point|bootstrap|starts?|wiring|command\\s*line)\\b') AS entry_point, regexp_matches(text, '(?i)\\b(install|uninstall|hook|agent|configure|setup)\\b') AS integration FROM (VALUES {_literal(ASKED)}) v(query_id, text)""")
-def query_classify(spark, sf_dir):
-    asked = spark.createDataFrame(ASKED, "query_id long, text string")
-    return Q.analysed(asked).select("query_id", "symbol", "location", "entry_point", "integration")
-
-
-_PREFER = "len(list_filter(hints, lambda h: list_contains(present, h))) > 0"
-_BARE = "regexp_replace({}, '[-_]', '', 'g')"
-
-
-def _stem_rows() -> list[tuple]:
-    return [(i, "|".join(p["exact_words"]), "|".join(p["hints"])) for i, t in ASKED for p in [Q.analyse(i, t)] if not p["symbol"]]
-
-
-@register(f"""WITH c AS (SELECT id, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')) AS stem FROM (VALUES {_literal(CODE)}) c(id, path, body)),
-a AS (SELECT q, string_split(w, '|') AS words, string_split(h, '|') AS hints FROM (VALUES {_literal(_stem_rows())}) d(q, w, h)), hint AS (SELECT list(stem) AS present FROM c WHERE stem IN ({", ".join(f"'{h}'" for h in Q.HINTS)})),
-m AS (SELECT q, id, stem, unnest(words) AS w, {_PREFER} AS prefer FROM c, a, hint)
-SELECT CAST(q AS BIGINT) AS query_id, CAST(id AS BIGINT) AS chunk_ord, round(1.0 + max(CASE WHEN NOT (prefer AND w = stem AND stem NOT IN ({", ".join(f"'{h}'" for h in Q.HINTS)})) AND (w = stem OR {_BARE.format("w")} = {_BARE.format("stem")}) THEN 0.75 ELSE 0 END), 6)::DOUBLE AS score
-FROM m GROUP BY q, id""")
+@register(rf"""WITH {_PAIRS}, present AS (SELECT coalesce(list(DISTINCT stem), []) AS held FROM meta WHERE stem IN ({_HINTS})),
+r AS (SELECT query_id, chunk_ord, symbol, words, stem, len(list_filter([{_HINTS}], lambda h: contains(lower(text), h) AND list_contains(held, h))) > 0 AS prefer FROM pair JOIN plan USING (query_id) JOIN meta USING (chunk_ord), present)
+SELECT query_id, chunk_ord, 1 + CASE WHEN NOT symbol AND len(list_filter(words, lambda w: length(w) > 2 AND w NOT IN ({_GENERIC}) AND NOT (prefer AND w = stem AND stem NOT IN ({_HINTS})) AND (w = stem OR regexp_replace(w, '[-_]', '', 'g') = regexp_replace(stem, '[-_]', '', 'g')))) > 0 THEN 0.75::DOUBLE ELSE 0 END AS score FROM r""")
 def exact_stem_boost(spark, sf_dir):
-    plans = Q.plans(spark, ASKED).where("NOT symbol")
-    meta = ranking.chunk_meta(code_chunks(spark))
-    ones = plans.select("query_id").crossJoin(meta.select("chunk_ord")).withColumns({"score": F.lit(1.0), "top": F.lit(1.0)})  # literal rows
+    meta, plans, pairs = code_pairs(spark, sf_dir)
+    ones = pairs.withColumns({"score": F.lit(1.0), "top": F.lit(1.0)})
     return ranking.exact_stems(ones, meta, plans).select("query_id", "chunk_ord", F.round("score", 6).alias("score"))
 
 
-@register()
-def boosted_code_search(spark, sf_dir):
-    """All boosts, injections and penalties on source code; checked against plain Python in the tests."""
-    plans = Q.plans(spark, ASKED, top_k=6)
-    meta = ranking.chunk_meta(code_chunks(spark))
-    counts = lexical.term_counts(meta)
-    documents = lexical.document_stats(meta, counts)
-    found = lexical.top_k(lexical.bm25(plans, lexical.postings(counts, documents), lexical.term_stats(counts), lexical.corpus_stats(documents)), 5)
-    scores = ranking.boosted(ranking.rrf(found), meta, plans)
-    return ranking.saturated(scores, meta, plans).select("query_id", "chunk_ord", F.round("score", 9).alias("score"), "rank")
+@register(f"WITH {CODE_CORPUS}, {CODE_QUERIES} SELECT query_id, symbol, coalesce(name, '') AS names, location, entry_point, integration, CAST(len(keywords) AS INTEGER) AS n_keywords, CAST(len(words) AS INTEGER) AS n_words, CASE WHEN location THEN 60 ELSE 30 END AS candidates FROM plan")
+def query_classify(spark, sf_dir):
+    plans = Q.analysed(code_queries(spark, sf_dir), 6)
+    return plans.select("query_id", "symbol", F.array_join("names", ",").alias("names"), "location", "entry_point", "integration", F.size("keywords").alias("n_keywords"), F.size("words").alias("n_words"), "candidates")
 
 
 # Results
@@ -526,18 +644,32 @@ def expand_neighbors(spark, sf_dir):
     return results.expand(chunks, _wanted(chunks), 1, 2).select("request_id", "chunk_ord", "offset")
 
 
-@register(f"WITH {sql_fused(0.5)} SELECT chunk_ord, CAST(floor(score / max(score) OVER () * 100 + 0.5) AS BIGINT) || '%' AS relevance FROM fused")
+@register(f"WITH {sql_fused(0.5)} SELECT query_id, chunk_ord, CAST(floor(score / max(score) OVER (PARTITION BY query_id) * 100 + 0.5) AS BIGINT) || '%' AS relevance FROM fused")
 def relevance_percent(spark, sf_dir):
-    fused = _fused(spark, sf_dir, None)[2]
-    return fused.select("chunk_ord", T.relevance_percent(F.col("score"), F.max("score").over(Window.partitionBy("query_id"))).alias("relevance"))
+    fused = _fused(spark, sf_dir, 0.5)[2]
+    return fused.select("query_id", "chunk_ord", T.relevance_percent(F.col("score"), F.max("score").over(Window.partitionBy("query_id"))).alias("relevance"))
 
 
-@register()
+@register(f"""WITH {sql_fused(0.5)}, top AS ({_PLAIN}) SELECT query_id, rank, text AS query, file_path || ':' || start_line || '-' || end_line AS location, language, md5(content) AS digest, CAST(floor(score / max(score) OVER (PARTITION BY query_id) * 100 + 0.5) AS BIGINT) || '%' AS score
+FROM top JOIN corpus USING (chunk_ord) JOIN benchmark ON item_id = query_id""")
 def search_payload(spark, sf_dir):
-    """The JSON answer to one hybrid search; its parts have SQL of their own."""
-    chunks, plans, fused = _fused(spark, sf_dir, None)
+    """The JSON answers to hybrid searches, read again."""
+    chunks, plans, fused = _fused(spark, sf_dir, 0.5)
     top = ranking.plain_top(fused, chunks, plans).join(chunks, "chunk_ord").join(plans.select("query_id", "text", "match_terms"), "query_id")
-    return results.payload(top)
+    read = results.payload(top, snippet=False).withColumn("j", F.from_json("json", "query string, results array<struct<chunk:struct<content:string,location:string,language:string>,score:string>>"))
+    rows = read.select("query_id", F.col("j.query").alias("query"), F.posexplode("j.results").alias("i", "r"))
+    return rows.select("query_id", (F.col("i") + 1).alias("rank"), "query", F.col("r.chunk.location").alias("location"), F.col("r.chunk.language").alias("language"), F.md5(F.col("r.chunk.content").cast("binary")).alias("digest"), F.col("r.score").alias("score"))
+
+
+@register(f"""WITH {CORPUS}, {_WANTED}, placed AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line) AS nth, file_path || ':' || start_line || '-' || end_line AS location FROM corpus),
+spots AS (SELECT request_id, file_path, nth AS spot, location AS anchor FROM wanted JOIN placed USING (file_path) WHERE line BETWEEN start_line AND end_line)
+SELECT request_id, CAST(count(*) AS INTEGER) AS chunk_count, min(anchor) AS anchor, string_agg(location, ' ' ORDER BY nth) AS locations FROM spots JOIN placed USING (file_path) WHERE nth BETWEEN spot - 1 AND spot + 2 GROUP BY request_id""")
+def expand_payload(spark, sf_dir):
+    """The JSON answers to requests for a chunk and its neighbours, read again."""
+    chunks = corpus(spark, sf_dir)
+    read = results.expand_payload(results.expand(chunks, _wanted(chunks), 1, 2))
+    j = F.from_json("json", "chunk_count int, anchor struct<location:string>, chunks array<struct<location:string>>")
+    return read.select("request_id", j.alias("j")).select("request_id", "j.chunk_count", F.col("j.anchor.location").alias("anchor"), F.array_join(F.transform("j.chunks", lambda c: c["location"]), " ").alias("locations"))
 
 
 # Chunking
@@ -559,13 +691,36 @@ def line_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", first.alias("first_line"), last.alias("last_line"))
 
 
-@register()
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each page, Python or TypeScript: up to four functions with the page's title as comment."""
+    page = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    body = F.repeat(F.regexp_replace("title", "[{}]", ""), (F.col("page_id") % 5 * 4 + 1).cast("int"))
+    py = lambda i: F.concat(F.lit("def f_"), i.cast("string"), F.lit("(x):\n    # "), body, F.lit("\n    return x\n"))
+    ts = lambda i: F.concat(F.lit("export function f_"), i.cast("string"), F.lit("(x) {\n  // "), body, F.lit("\n  return x;\n}\n"))
+    each = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")), lambda i: F.when(F.col("page_id") % 2 == 0, py(i)).otherwise(ts(i)))
+    name = F.concat(F.lit("src/p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".py").otherwise(".ts"))
+    return page.select(F.col("page_id").alias("file_seq"), name.alias("file_path"), F.array_join(each, "").alias("content"))
+
+
+@register(r"""WITH RECURSIVE page AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
+size AS (SELECT page_id, page_id % 2 = 0 AS py, length(regexp_replace(title, '[{}]', '', 'g')) * (page_id % 5 * 4 + 1) + CASE WHEN page_id % 2 = 0 THEN length('def f_0(x):') + 1 + length('    # ') + 1 + length('    return x') + 1 ELSE length('export function f_0(x) {') + 1 + length('  // ') + 1 + length('  return x;') + 1 + 2 END AS n FROM page),
+u AS (SELECT page_id, py, CAST(n AS BIGINT) AS n, i FROM (SELECT *, unnest(range(0, page_id % 4 + 1)) AS i FROM size)),
+f AS (SELECT page_id, py, i, n AS held, 0::BIGINT AS start FROM u WHERE i = 0 UNION ALL SELECT u.page_id, u.py, u.i, CASE WHEN f.held + u.n <= 1500 THEN f.held + u.n ELSE u.n END, CASE WHEN f.held + u.n <= 1500 THEN f.start ELSE u.i END FROM f JOIN u ON u.page_id = f.page_id AND u.i = f.i + 1)
+SELECT page_id AS file_seq, CAST(start * n AS INTEGER) AS span_start, CAST(start * k + 1 AS INTEGER) AS start_line, CAST((last + 1) * k AS INTEGER) AS end_line, CASE WHEN py THEN 'python' ELSE 'typescript' END AS language
+FROM (SELECT page_id, py, start, max(i) AS last, CASE WHEN py THEN 3 ELSE 4 END AS k FROM f GROUP BY ALL) JOIN size USING (page_id, py)""")
 def chunk_structural(spark, sf_dir):
-    """Structural chunks of the literal sources; the tests hold them against fixed boundaries."""
-    files = code_chunks(spark).select(F.col("chunk_ord").alias("file_seq"), "file_path", P.language("file_path").alias("language"), "content")
+    """Structural chunks of sources that the pages make: functions, joined while they fit."""
+    made = sources(spark, sf_dir)
+    files = made.select("file_seq", "file_path", P.language("file_path").alias("language"), "content")
     return chunking.chunk_files(files).select("file_seq", "span_start", "start_line", "end_line", "language")
 
 
+@register("SELECT doc_id, CASE WHEN octet_length(encode(coalesce(text, ''))) > 20000 THEN 'too_large' WHEN octet_length(encode(coalesce(text, ''))) < 128 AND regexp_full_match(coalesce(text, ''), '\\s*') THEN 'empty' ELSE 'valid' END AS status FROM documents")
+def file_status(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", P.file_status(F.octet_length(text), text, 20_000).alias("status"))
+
+
 # Updates
 
 
@@ -594,7 +749,7 @@ SELECT chunk_ord, file_path, md5(content) AS digest FROM (SELECT * FROM kept UNI
 def incremental_apply(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     changed = incremental.changes(*_states(chunks))
-    fresh = chunks.where("chunk_ord % 50 IN (7, 9)").withColumn("chunk_ord", (F.row_number().over(Window.orderBy("file_path", "start_line")) - 1).cast("long"))
+    fresh = numbered_by(chunks.where("chunk_ord % 50 IN (7, 9)"), F.col("file_path"), ["start_line"])
     after = incremental.apply_changes(chunks.where("chunk_ord % 50 <> 7"), changed, fresh)
     return after.select("chunk_ord", "file_path", F.md5(F.col("content").cast("binary")).alias("digest"))
 
@@ -636,37 +791,82 @@ def latency_percentiles(spark, sf_dir):
     return p.select("event_type", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "n")
 
 
-_GREP = {0: "the|and|stion", 1: "queux|mente", 2: "license"}
+_STOP = ", ".join(f"'{w}'" for w in "a an and are as at be by do does for from has have how if in is it not of on or the to was what when where which who why with".split())
 
 
-@register(f"WITH {CORPUS}, q AS (SELECT * FROM (VALUES {_literal(list(_GREP.items()))}) v(query_id, pattern)) SELECT CAST(query_id AS BIGINT) AS query_id, file_path, CAST(sum(len(regexp_extract_all(content, '(?i)' || pattern))) AS BIGINT) AS matches FROM corpus, q GROUP BY query_id, file_path HAVING matches > 0")
+@register(f"""WITH {CORPUS}, w AS (SELECT item_id, i, lower(ws[i]) AS word FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_-]*') AS ws FROM benchmark WHERE item_id % 20 = 0))),
+d AS (SELECT item_id, word, min(i) AS i FROM w WHERE length(word) >= 3 AND word NOT IN ({_STOP}) GROUP BY ALL),
+k AS (SELECT item_id AS query_id, string_agg(word, '|' ORDER BY length(word) DESC, i) AS pattern FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, i) <= 6) GROUP BY item_id),
+m AS (SELECT query_id, file_path, CAST(sum(len(regexp_extract_all(content, '(?i)' || pattern))) AS BIGINT) AS matches FROM corpus, k GROUP BY ALL HAVING matches > 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, file_path) AS rank, file_path, matches FROM m QUALIFY rank <= 10""")
 def grep_baseline(spark, sf_dir):
-    asked = spark.createDataFrame(list(_GREP.items()), "query_id long, pattern string")
-    return evaluation.grep_rank(corpus(spark, sf_dir), asked)
+    return evaluation.grep_rank(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir)).select("query_id", "rank", "file_path", "matches")
 
 
-_TARGETS = [(0, 0, "en/doc_1.md", 1, 10), (0, 1, "doc_2.md", -1, -1), (1, 0, "src0/en/doc_0.md", 5, 15), (1, 1, "x/src1/en/doc_21.md", 1, 99), (2, 0, "c_1.md", 1, 10)]
+@register(f"""WITH {_JUDGED}, h AS (SELECT query_id, file_path, content FROM hits JOIN corpus USING (chunk_ord)), s AS (SELECT item_id AS query_id, 'src' || (item_id % 3) || '/en/doc_' || (item_id % 50) || '.md' AS reject, CASE WHEN item_id % 2 = 0 THEN 'tion' END AS needle FROM benchmark)
+SELECT query_id, coalesce(bool_or(file_path = reject), FALSE) AS false_positive, coalesce(bool_or(needle IS NULL OR contains(content, needle)), FALSE) AS content_match FROM s LEFT JOIN h USING (query_id) GROUP BY query_id""")
+def rejected_and_matched(spark, sf_dir):
+    hits = _judged(spark, sf_dir)[0].join(corpus(spark, sf_dir).select("chunk_ord", "file_path", "content"), "chunk_ord")
+    item = F.col("item_id")
+    path = F.concat(F.lit("src"), (item % 3).cast("string"), F.lit("/en/doc_"), (item % 50).cast("string"), F.lit(".md"))
+    specs = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.array(path).alias("reject"), F.when(item % 2 == 0, "tion").alias("needle"))
+    return evaluation.quality(hits, specs)
 
 
-@register(f"""WITH {CORPUS}, hits AS (SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY chunk_ord) AS rank, file_path, start_line, end_line FROM corpus, (SELECT unnest(range(0, 3)) AS q) WHERE chunk_ord % 3 = q OR q = 2),
-t AS (SELECT * FROM (VALUES {_literal(_TARGETS)}) v(query_id, target_id, path, lo, hi))
-SELECT CAST(t.query_id AS BIGINT) AS query_id, CAST(target_id AS BIGINT) AS target_id, min(rank) AS rank FROM t LEFT JOIN hits h ON h.query_id = t.query_id AND (file_path = path OR ends_with(file_path, '/' || path) OR ends_with(path, '/' || file_path)) AND (lo < 0 OR NOT (end_line < lo OR start_line > hi)) GROUP BY ALL""")
-def target_ranks(spark, sf_dir):
-    chunks = corpus(spark, sf_dir)
-    queries = spark.range(3).select(F.col("id").alias("query_id"))
-    hits = chunks.join(queries, (F.col("chunk_ord") % 3 == F.col("query_id")) | (F.col("query_id") == 2))
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_ord")))
-    targets = spark.createDataFrame([(q, t, p, None if lo < 0 else lo, None if hi < 0 else hi) for q, t, p, lo, hi in _TARGETS], "query_id long, target_id long, path string, start_line int, end_line int")
-    return evaluation.target_ranks(hits, targets).select("query_id", "target_id", "rank")
+def _two_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two numbers for each document, in place of two engines' scores."""
+    return table(spark, sf_dir, "documents").select("lang", "source", (F.length("text") % 97 / 97).alias("a"), (F.length("text") % 89 / 89).alias("b"))
+
+
+_METRICS = "(SELECT lang, source, (length(text) % 97)::DOUBLE / 97 AS a, (length(text) % 89)::DOUBLE / 89 AS b FROM documents)"
+
+
+@register(f"SELECT lang, source, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM {_METRICS} GROUP BY ALL")
+def metric_means(spark, sf_dir):
+    return evaluation.summary(_two_metrics(spark, sf_dir), ["lang", "source"], ["a", "b"]).select("lang", "source", "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@register(f"SELECT lang, count(*) FILTER (WHERE a > b + 0.0005::DOUBLE) AS a_wins, count(*) FILTER (WHERE b > a + 0.0005::DOUBLE) AS b_wins, count(*) FILTER (WHERE NOT a > b + 0.0005::DOUBLE AND NOT b > a + 0.0005::DOUBLE) AS ties FROM {_METRICS} GROUP BY lang")
+def metric_wins(spark, sf_dir):
+    return evaluation.wins(_two_metrics(spark, sf_dir), "a", "b", ["lang"])
+
 
+_CUTS = "SELECT doc_id AS file_path, i * {0} AS s, least((i + 1) * {0}, length(text)) AS e FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / {0}.0) AS BIGINT))) AS i FROM documents)"
 
-_DUELS = [(i, a, b) for i, (a, b) in enumerate([(1, 0), (0, 2), (0, 0), (1, 2), (3, 1), (2, 2)])]
 
+@register(f"""WITH x AS ({_CUTS.format(1500)}), y AS ({_CUTS.format(1100)}), b AS (SELECT x.file_path, x.s, max(CASE WHEN greatest(x.e, y.e) > least(x.s, y.s) THEN greatest(0, least(x.e, y.e) - greatest(x.s, y.s))::DOUBLE / (greatest(x.e, y.e) - least(x.s, y.s)) ELSE 0 END) AS best FROM x JOIN y USING (file_path) GROUP BY ALL)
+SELECT file_path, round(avg(best), 6) AS overlap FROM b GROUP BY file_path""")
+def span_overlap(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
 
-@register(f"SELECT CAST(id AS BIGINT) AS query_id, CASE WHEN a > 0 AND b = 0 THEN 'a' WHEN a = 0 AND b > 0 THEN 'b' WHEN a = 0 AND b = 0 THEN 'none' WHEN a < b THEN 'a' WHEN b < a THEN 'b' ELSE 'tie' END AS winner FROM (VALUES {_literal(_DUELS)}) v(id, a, b)")
+    def cuts(n: int) -> DataFrame:
+        i = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / n).cast("int") - 1)).alias("i")
+        return docs.select(F.col("doc_id").alias("file_path"), F.length("text").alias("n"), i).select("file_path", (F.col("i") * n).alias("start"), F.least((F.col("i") + 1) * n, "n").alias("end"))
+
+    return evaluation.span_overlap(cuts(1500), cuts(1100)).select("file_path", F.round("overlap", 6).alias("overlap"))
+
+
+@register(f"""WITH {_JUDGED}, h AS (SELECT query_id, rank, file_path, start_line, end_line FROM hits JOIN corpus USING (chunk_ord)),
+t AS (SELECT item_id AS query_id, 0::BIGINT AS target_id, 'en/doc_' || (item_id % 50) || '.md' AS path, 1 AS lo, 15 AS hi FROM benchmark UNION ALL SELECT item_id, 1, 'doc_' || (item_id * 7 % 50) || '.md', NULL, NULL FROM benchmark UNION ALL SELECT item_id, 2, 'x/src' || (item_id % 4) || '/fr/doc_' || (item_id * 3 % 50) || '.md', 1, 99 FROM benchmark)
+SELECT t.query_id, target_id, min(rank) AS rank FROM t LEFT JOIN h ON h.query_id = t.query_id AND (file_path = path OR ends_with(file_path, '/' || path) OR ends_with(path, '/' || file_path)) AND (lo IS NULL OR NOT (end_line < lo OR start_line > hi)) GROUP BY ALL""")
+def target_ranks(spark, sf_dir):
+    hits = _judged(spark, sf_dir)[0].join(corpus(spark, sf_dir).select("chunk_ord", "file_path", "start_line", "end_line"), "chunk_ord")
+    item, text = F.col("item_id"), lambda n: (n % 50).cast("string")
+    end = F.lit(".md")
+    kinds = F.array(
+        F.struct(F.lit(0).cast("long").alias("target_id"), F.concat(F.lit("en/doc_"), text(item), end).alias("path"), F.lit(1).alias("start_line"), F.lit(15).alias("end_line")),
+        F.struct(F.lit(1).cast("long").alias("target_id"), F.concat(F.lit("doc_"), text(item * 7), end).alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line")),
+        F.struct(F.lit(2).cast("long").alias("target_id"), F.concat(F.lit("x/src"), (item % 4).cast("string"), F.lit("/fr/doc_"), text(item * 3), end).alias("path"), F.lit(1).alias("start_line"), F.lit(99).alias("end_line")),
+    )
+    targets = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.explode(kinds).alias("t")).select("query_id", "t.*")
+    return evaluation.target_ranks(hits, targets).select("query_id", "target_id", "rank")
+
+
+@register("SELECT doc_id AS query_id, CASE WHEN a > 0 AND b = 0 THEN 'a' WHEN a = 0 AND b > 0 THEN 'b' WHEN a = 0 AND b = 0 THEN 'none' WHEN a < b THEN 'a' WHEN b < a THEN 'b' ELSE 'tie' END AS winner FROM (SELECT doc_id, doc_id % 4 AS a, doc_id // 4 % 3 AS b FROM labels)")
 def head_to_head(spark, sf_dir):
-    rows = spark.createDataFrame(_DUELS, "query_id long, a int, b int")
-    return rows.select("query_id", evaluation.winner(F.col("a") > 0, F.col("a"), F.col("b") > 0, F.col("b")).alias("winner"))
+    """First ranks of two engines, 0 for none, as the labelled documents' numbers give them."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 4).alias("a"), (F.floor(F.col("doc_id") / 4) % 3).alias("b"))
+    return rows.select(F.col("doc_id").alias("query_id"), evaluation.winner(F.col("a") > 0, F.col("a"), F.col("b") > 0, F.col("b")).alias("winner"))
 
 
 @register("SELECT item_id, CASE WHEN NOT contains(trim(text), ' ') THEN 'symbol' WHEN starts_with(lower(text), 'how ') THEN 'architecture' ELSE 'semantic' END AS category FROM benchmark")
@@ -679,6 +879,10 @@ CALLS = [
     {"tool_name": "glob", "tool_input": {"pattern": "src/**/*.ts"}}, {"tool_name": "SemanticSearch", "tool_input": {"query": "x"}}, {"tool_name": "Bash", "tool_input": {"command": "rg foo src"}, "hook_event_name": "PreToolUse"},
     {"tool_name": "Shell", "tool_input": {"command": "git grep foo"}}, {"tool_name": "shell", "tool_input": {"cmd": "ls -la"}}, {"tool_name": "tesserae_search", "tool_input": {}}, {"tool_input": {}}, {"tool_name": "Grep", "tool_input": {"pattern": "'exact text'"}}, {"tool_name": "Read", "tool_input": {"path": "a"}, "hook_event_name": "BeforeTool"},
 ]
+def _literal(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
 _CALLS = _literal([(i, json.dumps(c)) for i, c in enumerate(CALLS)])
 _json = lambda *names: "coalesce(" + ", ".join(f"json_extract_string(p, '$.tool_input.{n}')" for n in names) + ", '')"
 _q = lambda s: s.replace("'", "''")
@@ -700,7 +904,8 @@ def guard_decision(spark, sf_dir):
 
 @register()
 def search_batch(spark, sf_dir):
-    """The benchmark's texts as one batch of hybrid searches with re-ranking; its stages have SQL of their own."""
+    """The benchmark's texts as one batch of hybrid searches with re-ranking, over hashed embeddings that SQL cannot make:
+    tests/test_engine.py holds batches against single searches, and the stages have SQL of their own."""
     index = SearchIndex.from_chunks(corpus(spark, sf_dir), content=["code"])
     queries = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "text")
     return index.batch_search(queries, top_k=5).select("query_id", "chunk_ord", F.round("score", 9).alias("score"), "rank", "file_path")

@@ -121,20 +121,43 @@ def test_exact_stems(spark):
     assert boost(spark, ranking.exact_stems, "cli-ui terminal", f("cli-ui.ts", "cli.ts")) == {0: 1.75, 1: 1.0}
 
 
+def boosted(spark, query, rows, start, config=DEFAULT):
+    """Final scores of chunks of which the first were found; each in a file of its own, so coherence raises the best by a fifth."""
+    meta = ranking.chunk_meta(chunks(spark, rows))
+    found = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(start) if x is not None], "query_id long, chunk_ord long, score double")
+    return {r.chunk_ord: round(r.score, 6) for r in ranking.boosted(found, meta, Q.plans(spark, [(0, query)]), config).collect()}
+
+
 def test_installer_penalty_and_entry_points(spark):
     rows = [("x", "src/installer/a.ts", "t"), ("[package entry]\nbin: x\n", "package.json", "json"), ("function main() {}", "src/run.ts", "t"), ("x", "src/b.ts", "t")]
-    got = boost(spark, ranking.locations, "where is the output", rows, [2, 0, 0, 1])
-    assert got == {0: 0.7, 1: 0.75, 2: 0.0, 3: 1.0}
-    got = boost(spark, ranking.locations, "entry point", rows, [2, 0, 0, 1])
-    assert got == {0: 0.7, 1: 2.5, 2: 2.5, 3: 1.0}
+    # Coherence: 2 + 0.2 * 2 * 2 / 2 = 2.4 and 1 + 0.2 * 2 * 1 / 2 = 1.2; the best of all is 2.4.
+    got = boosted(spark, "where is the output", rows, [2, None, None, 1])
+    assert got == {0: 0.84, 1: 1.8, 3: 1.2}
+    got = boosted(spark, "entry point", rows, [2, None, None, 1])
+    assert got == {0: 0.84, 1: 6.0, 2: 6.0, 3: 1.2}
+    got = boosted(spark, "where is run located", rows, [2, None, 1, None])
+    assert got == {0: 0.84, 1: 1.8, 2: round(1.2 + 2.4 * 0.5 + 2.4 * 0.75 + 2.4 * 2.5, 6)}
+    assert boosted(spark, "entry point", rows, [2, None, None, 1], EngineConfig(improvements=False)) == {0: 2.4, 3: 1.2}
 
 
 def test_definitions_gain_and_come_in(spark):
     rows = [("class HandlerStack {", "a/handler_stack.py", "t"), ("use HandlerStack", "b.py", "t"), ("def HandlerStack(", "c.py", "t")]
-    meta, plans = ranking.chunk_meta(chunks(spark, rows)), Q.plans(spark, [(0, "HandlerStack")])
-    found = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, 0.5, 1.0)], "query_id long, chunk_ord long, score double, top double")
-    got = {r.chunk_ord: r.score for r in ranking.definitions(found, meta, plans).collect()}
-    assert got == {0: 4.5, 1: 1.0, 2: 3.5}
+    got = boosted(spark, "HandlerStack", rows, [None, 1, 0.5])
+    assert got == {0: 5.4, 1: 1.2, 2: 4.2}
+
+
+def test_entry_candidates_lose_no_answer(spark):
+    """The first few entry points of a kind give the same top as all of them, found files among them or not."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["function main() {}", "[package entry]\nbin: x\n", "plain text"]), rng.choice(["src/installer/", "tests/", "src/", "lib/x/"]) + rng.choice("abcdef") + ".ts", "t") for _ in range(150)]
+    meta = ranking.chunk_meta(chunks(spark, rows))
+    asked = [(0, "where is it located"), (1, "entry point of d"), (2, "where is the install hook"), (3, "where is a"), (4, "what else")]
+    plans = Q.plans(spark, asked, 5)
+    found = spark.createDataFrame([(q, i, 0.02 / (1 + k)) for q in range(5) for k, i in enumerate(rng.sample(range(150), 12))], "query_id long, chunk_ord long, score double")
+    few, every = (ranking.saturated(ranking.boosted(found, meta, plans, entries=ranking.entry_candidates(meta, plans, n)), meta, plans) for n in (5, 1 << 20))
+    rows_of = lambda df: sorted((r.query_id, r["rank"], r.chunk_ord, round(r.score, 9)) for r in df.collect())
+    assert rows_of(few) == rows_of(every)
+    assert ranking.entry_candidates(meta, plans, 5).count() < ranking.entry_candidates(meta, plans, 1 << 20).count()
 
 
 def test_improvements_end_to_end(spark):

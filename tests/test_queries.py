@@ -73,5 +73,5 @@ def test_batch_neighbours_ask_every_twentieth_row(spark, kind):
         assert [r.score for r in found] == pytest.approx(want[q], abs=2e-6)
     have = queries.vectors_of(spark, folder)
     have = vector.quantized(have) if kind == "int8" else have
-    blocks = queries._near(vector.nearest(have, queries.batch_probes(spark, folder), 40, config=EngineConfig(broadcast_rows=30)), 10)
+    blocks = queries._near(vector.nearest(have, queries.batch_probes(spark, folder), 40, config=EngineConfig(query_block=30)), 10)
     assert sorted(map(tuple, blocks.collect())) == sorted(tuple(r) for x in got.values() for r in x)
