@@ -96,7 +96,7 @@ def span_overlap(expected: DataFrame, actual: DataFrame) -> DataFrame:
     e, a = expected.alias("e"), actual.alias("a")
     shared = F.greatest(F.lit(0), F.least("e.end", "a.end") - F.greatest("e.start", "a.start"))
     union = F.greatest("e.end", "a.end") - F.least("e.start", "a.start")
-    ratio = F.coalesce(F.when(union > 0, shared / union), F.lit(0.0))
+    ratio = F.coalesce(F.when(F.col("a.file_path").isNotNull() & (union > 0), shared / union), F.lit(0.0))
     best = e.join(a, F.col("e.file_path") == F.col("a.file_path"), "left").groupBy("e.file_path", "e.start", "e.end").agg(F.max(ratio).alias("best"))
     return best.groupBy("file_path").agg(F.avg("best").alias("overlap"))
 

@@ -15,9 +15,14 @@ from ..functions import text as T
 
 
 def term_counts(chunks: DataFrame, enrich: bool = True) -> DataFrame:
-    """chunk_ord, term, tf. One shuffle, after counts within each task."""
+    """chunk_ord, term, tf.
+
+    Texts are dealt by chunk before they are cut, which moves less than their terms would, and spreads inputs of
+    few files; counts, lengths and their join are by chunk too, so nothing is dealt again."""
     body = T.enriched("content", "file_path") if enrich else F.col("content")
-    raw = chunks.select("chunk_ord", F.explode(T.raw_tokens(body)).alias("raw"))
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.select("chunk_ord", body.alias("body")).repartition(parts, "chunk_ord")
+    raw = dealt.select("chunk_ord", F.explode(T.raw_tokens("body")).alias("raw"))
     return raw.select("chunk_ord", F.explode(T.split_identifier("raw")).alias("term")).groupBy("chunk_ord", "term").agg(F.count("*").alias("tf"))
 
 
