@@ -9,7 +9,8 @@ cover. One array gives both the runs of three words of the base rule and the lon
 verdict.
 
 A null or empty text has no words and fails the base rule. Every row is judged on its own, so
-ids may be null or repeated. Texts of any length are judged whole.
+ids may be null or repeated. Texts of any length are judged whole. `quality` reads doc_id and text
+only, `filter_quality` carries all columns, whatever their names. Empty tables stay empty.
 """
 
 from __future__ import annotations

@@ -9,13 +9,16 @@ manifest has the files of the attempts that succeeded, so a lost executor leaves
 Read: tasks stream the files of the manifest member by member, check every stored payload against
 its digest, and give each file's captures as a run sorted by URL key, time and id.
 
-Merge: runs are cut into ranges of (URL key, time, id); in each range a loser tree merges what the
-runs have there, so the table is one globally ordered capture history. A URL with very many
-captures spans several ranges.
+Merge: runs are cut into ranges of (URL key, time, id) of about `ROWS_A_RANGE` rows; in each range a
+loser tree merges what the runs have there, which is held packed and read through one cursor a run,
+so the table is one globally ordered capture history. A URL with very many captures spans several
+ranges.
 
 Null html: an empty payload. Null url: no target header and an empty key. Null ids are larger than
 all others, and rows that repeat an id keep its fate: all rows of the smallest id are responses.
-Control characters of a URL are percent-encoded in the archive. An empty table makes no archive.
+Control characters of a URL are percent-encoded in the archive. Payloads of any length are stored
+whole. Only page_id, url and html are read, so other columns may have any name. An empty table
+makes no archive.
 """
 
 from __future__ import annotations
@@ -250,31 +253,37 @@ def merge_index(runs: DataFrame) -> DataFrame:
     by_range = runs.repartitionByRange(ranges, "url_key", "captured", _id()).sortWithinPartitions("run", "seq")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for x in batch.to_pylist():
-                held.setdefault(x["run"], []).append((_order(x), x["seq"], x))
-        out = []
-        for _, _, x in LoserTree([_Keyed.of(v) for v in held.values()]):
-            out.append(x)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        names = rows["run"].combine_chunks().dictionary_encode()
+        names = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names).indices.to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(rows)]
+        out: list[int] = []
+        for x in LoserTree([_cursor(rows, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]):
+            out.append(x[1])
             if len(out) == 2000:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                yield from rows.take(pa.array(out)).combine_chunks().to_batches()
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield from rows.take(pa.array(out)).combine_chunks().to_batches()
 
     return by_range.mapInArrow(merge, _RUN)
 
 
+def _cursor(rows: pa.Table, a: int, b: int) -> Iterator[_Keyed]:
+    """A run's rows as (order, place), a thousand keys at a time; the rows themselves stay packed."""
+    for i in range(a, b, 1000):
+        part = rows.slice(i, min(1000, b - i))
+        keys = zip(*(part[c].to_pylist() for c in ("url_key", "captured", "page_id", "offset")), strict=True)
+        for j, (key, captured, page, offset) in enumerate(keys, i):
+            yield _Keyed(((key, captured, _LAST if page is None else page, offset), j))
+
+
 class _Keyed(tuple):
     """A row that compares by its order alone."""
 
-    @classmethod
-    def of(cls, rows: list[tuple]) -> Iterator[_Keyed]:
-        return map(cls, rows)
-
     def __lt__(self, other) -> bool:
         return self[0] < other[0]
 

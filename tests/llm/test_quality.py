@@ -38,7 +38,10 @@ def expected(doc_id, text):
         if windows.count(w) > 1:
             inside |= {i, i + 1, i + 2}
     base = n < 50 or 100 * len(inside) > 50 * n
-    return [doc_id, n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), base]
+    runs = repeats(words)
+    under = {j for i, k in enumerate(runs) if k >= 8 for j in range(i, i + k)}
+    kept = not base and len(under) <= 0.2 * n and (max(runs) <= 0.1 * n or max(runs) < 8)
+    return [doc_id, n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), base, kept]
 
 
 def test_longest_repeats_brute_force():
@@ -62,12 +65,13 @@ def test_covered_is_union_of_repeated_runs():
 def test_rules_against_brute_force(spark, source):
     if source == "fixture":
         data = [r for r in cases.rows() if r[0] not in (1007, 1008)]
-        docs = cases.frame(spark, [*data, (None, "a b", "a")])
-        data = [*data, (None, "a b")]
+        say = lambda n, k: " ".join(f"{k}{x}" for x in range(n))
+        data = [*data, (None, "a b"), (3000, f"{say(30, 'p')} {say(70, 'a')} {say(30, 'p')} {say(70, 'b')}"), (3001, f"{say(9, 'p')} {say(100, 'a')} {say(9, 'p')} {say(100, 'b')}")]
+        docs = cases.frame(spark, data)
     else:
         docs = cases.table(spark, "sf0.001", "documents").limit(60)
         data = [(r.doc_id, r.text) for r in docs.collect()]
-    got = sorted(([r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed] for r in quality.quality(docs).collect()), key=repr)
+    got = sorted(([r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept] for r in quality.quality(docs).collect()), key=repr)
     assert got == sorted((expected(*r[:2]) for r in data), key=repr)
 
 
@@ -101,6 +105,14 @@ def test_limits_reject_what_the_base_rule_passes(spark):
     assert sorted(r.doc_id for r in quality.filter_quality(cases.frame(spark, docs)).collect()) == [4, 5, 6]
 
 
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(1)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 300_000)]
+    copied = words + words[1000:101_000]
+    rows = {r.doc_id: r for r in quality.quality(cases.frame(spark, [(1, " ".join(words)), (2, " ".join(copied))])).collect()}
+    assert rows[1].kept and rows[2].longest == 100_000 and rows[2].n_covered == 200_000 and not rows[2].kept
+
+
 def test_empty_table(spark):
     assert quality.quality(cases.frame(spark, [])).count() == 0
     assert quality.filter_quality(cases.frame(spark, [])).count() == 0

@@ -112,5 +112,13 @@ def test_table_and_sql(spark):
     cases.same(got, con.execute(f"SELECT {', '.join(FIELDS)} FROM ({oracle_sql()['op9_warc']})").fetchall())
 
 
+def test_a_very_long_page_and_odd_columns(spark):
+    long = "<p>é</p>" * 1_500_000
+    pages = spark.createDataFrame([(5, "http://a.org/", long, "x"), (3, "http://a.org/", long, "y"), (None, None, None, "z")], "page_id long, url string, html string, digest string")
+    rows = {r.page_id: r for r in warc.archive(pages).collect()}
+    assert rows[3].record_type == "response" and rows[5].record_type == "revisit" and rows[5].refers_to == 3
+    assert rows[5].payload_bytes == len(long.encode()) and rows[None].payload_bytes == 0
+
+
 def test_empty(spark):
     assert warc.archive(frame(spark, [])).count() == 0
