@@ -8,55 +8,76 @@ from pyspark.sql import functions as F
 from .text import _col, basename
 
 # Languages and their file extensions.
-LANGUAGES = {
-    "python": ".py .pyi",
-    "javascript": ".js .mjs .cjs .jsx",
-    "typescript": ".ts .tsx .mts .cts",
-    "go": ".go",
-    "rust": ".rs",
-    "java": ".java",
-    "kotlin": ".kt .kts",
-    "c": ".c",
-    "cpp": ".h .cpp .cc .cxx .hpp .hh .hxx .h++",
-    "csharp": ".cs",
-    "ruby": ".rb",
-    "php": ".php",
-    "swift": ".swift",
-    "scala": ".scala",
-    "clojure": ".clj .cljs",
-    "elixir": ".ex .exs",
-    "erlang": ".erl",
-    "haskell": ".hs",
-    "lua": ".lua",
-    "bash": ".sh .bash .zsh",
-    "fish": ".fish",
-    "sql": ".sql",
-    "r": ".r .R",
-    "dart": ".dart",
-    "zig": ".zig",
-    "vue": ".vue",
-    "svelte": ".svelte",
-    "markdown": ".md .mdx",
-    "rst": ".rst",
-    "text": ".txt",
-    "json": ".json",
-    "yaml": ".yaml .yml",
-    "toml": ".toml",
-    "ini": ".ini .cfg",
-    "xml": ".xml",
-    "html": ".html",
-    "css": ".css",
-    "scss": ".scss",
-    "less": ".less",
-    "dockerfile": ".dockerfile",
+EXTENSION_LANGUAGE = {
+    ".py": "python",
+    ".pyi": "python",
+    ".js": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".mts": "typescript",
+    ".cts": "typescript",
+    ".go": "go",
+    ".rs": "rust",
+    ".java": "java",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".c": "c",
+    ".h": "cpp",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".h++": "cpp",
+    ".cs": "csharp",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".scala": "scala",
+    ".clj": "clojure",
+    ".cljs": "clojure",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".erl": "erlang",
+    ".hs": "haskell",
+    ".lua": "lua",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".zsh": "bash",
+    ".fish": "fish",
+    ".sql": "sql",
+    ".r": "r",
+    ".R": "r",
+    ".dart": "dart",
+    ".zig": "zig",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".rst": "rst",
+    ".txt": "text",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".ini": "ini",
+    ".cfg": "ini",
+    ".xml": "xml",
+    ".html": "html",
+    ".css": "css",
+    ".scss": "scss",
+    ".less": "less",
+    ".dockerfile": "dockerfile",
 }
 DOC_EXTENSIONS = {".md", ".mdx", ".rst", ".txt"}
 CONFIG_EXTENSIONS = {".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".xml"}
 NOT_CODE = {"markdown", "rst", "text", "json", "yaml", "toml", "ini", "xml", "html"}
 CONTENT_TYPES = ("code", "docs", "config")
 
-EXTENSION_LANGUAGE = {ext: lang for lang, exts in LANGUAGES.items() for ext in exts.split()}
-
 # Paths that count less, with their factors.
 TEST_FILE = (
     r"(?:^|/)(?:test_[^/]*\.py|[^/]*_test\.py|[^/]*_test\.go|[^/]*Tests?\.java|[^/]*Test\.php|[^/]*_spec\.rb|[^/]*_test\.rb|[^/]*\.test\.[jt]sx?|[^/]*\.spec\.[jt]sx?"

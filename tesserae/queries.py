@@ -8,7 +8,6 @@ table (source code, tool calls) are literal rows.
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Callable
 
 import numpy as np
@@ -874,29 +873,28 @@ def query_category(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", evaluation.category(F.col("text")).alias("category"))
 
 
-CALLS = [
-    {"tool_name": "Grep", "tool_input": {"pattern": "MAX_SIZE"}}, {"tool_name": "grep_search", "tool_input": {"query": "how does auth work"}}, {"tool_name": "Glob", "tool_input": {"glob_pattern": "**/mcps/x/tools/a.json"}},
-    {"tool_name": "glob", "tool_input": {"pattern": "src/**/*.ts"}}, {"tool_name": "SemanticSearch", "tool_input": {"query": "x"}}, {"tool_name": "Bash", "tool_input": {"command": "rg foo src"}, "hook_event_name": "PreToolUse"},
-    {"tool_name": "Shell", "tool_input": {"command": "git grep foo"}}, {"tool_name": "shell", "tool_input": {"cmd": "ls -la"}}, {"tool_name": "tesserae_search", "tool_input": {}}, {"tool_input": {}}, {"tool_name": "Grep", "tool_input": {"pattern": "'exact text'"}}, {"tool_name": "Read", "tool_input": {"path": "a"}, "hook_event_name": "BeforeTool"},
-]
-def _literal(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-
-
-_CALLS = _literal([(i, json.dumps(c)) for i, c in enumerate(CALLS)])
-_json = lambda *names: "coalesce(" + ", ".join(f"json_extract_string(p, '$.tool_input.{n}')" for n in names) + ", '')"
-_q = lambda s: s.replace("'", "''")
-
-
-@register(f"""SELECT CAST(id AS BIGINT) AS call_id, CASE WHEN tool = '' OR contains(tool, 'tesserae') THEN FALSE
- WHEN regexp_full_match(tool, '{guard.GREP}') THEN NOT ({" OR ".join(f"regexp_matches(trim(g), '{_q(x)}')" for x in guard.LITERALS)} OR (regexp_matches(trim(g), '{guard.NAME}') AND length(trim(g)) <= 48))
- WHEN regexp_full_match(tool, '{guard.GLOB}') THEN NOT (contains(lower(b), '/mcps/') OR contains(lower(b), 'mcps/**/tools')) WHEN regexp_full_match(tool, '{guard.SEMANTIC}') THEN TRUE
- WHEN regexp_full_match(tool, '{guard.SHELL}') THEN NOT regexp_matches(c, '{guard.word(guard.BUILD_WORDS)}') AND regexp_matches(c, '{guard.word(guard.SEARCH_WORDS)}') ELSE FALSE END AS blocked,
- CASE ev WHEN 'PreToolUse' THEN 'claude' WHEN 'BeforeTool' THEN 'gemini' WHEN 'preToolUse' THEN 'stderr' WHEN 'windsurf_pre_run_command' THEN 'stderr' ELSE 'cursor' END AS format
-FROM (SELECT id, lower(coalesce(json_extract_string(p, '$.tool_name'), '')) AS tool, {_json(*guard.GREP_FIELDS)} AS g, {_json(*guard.GLOB_FIELDS)} AS b, {_json("command", "cmd")} AS c, coalesce(json_extract_string(p, '$.hook_event_name'), '') AS ev FROM (VALUES {_CALLS}) v(id, p))""")
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """call_id, payload: a tool call as JSON for each turn of a conversation, its tool by number, its argument from the text."""
+    turn = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"), "text")
+    words = F.split(F.regexp_replace("text", r"[^A-Za-z ]", ""), " ")
+    one, three = F.get(words, F.lit(0)), F.array_join(F.slice(words, 1, 3), " ")
+    kind = F.col("call_id") % 11
+    tool = F.element_at(F.array(*[F.lit(t) for t in ("Grep", "grep_search", "Glob", "glob", "SemanticSearch", "Bash", "Shell", "shell", "tesserae_search", "Read", "Grep")]), kind.cast("int") + 1)
+    name = F.element_at(F.array(*[F.lit(t) for t in ("pattern", "query", "glob_pattern", "pattern", "query", "command", "command", "cmd", "query", "path", "regex")]), kind.cast("int") + 1)
+    argument = F.when(kind == 0, one).when(kind == 2, F.concat(F.lit("**/mcps/"), one, F.lit("/tools/a.json"))).when(kind == 3, F.concat(F.lit("src/"), one, F.lit("/*.ts")))
+    argument = argument.when(kind == 5, F.concat(F.lit("rg "), one, F.lit(" src"))).when(kind == 6, F.concat(F.lit("git grep "), one)).when(kind == 7, F.concat(F.lit("ls "), one)).when(kind == 10, F.concat(F.lit("'"), three, F.lit("'"))).otherwise(three)
+    event = F.when(F.col("call_id") % 4 == 0, "PreToolUse").when(F.col("call_id") % 4 == 1, "BeforeTool").when(F.col("call_id") % 4 == 2, "preToolUse").otherwise("x")
+    return turn.select("call_id", F.to_json(F.struct(tool.alias("tool_name"), F.map_from_arrays(F.array(name), F.array(argument)).alias("tool_input"), event.alias("hook_event_name"))).alias("payload"))
+
+
+@register("""WITH t AS (SELECT conv_id * 1000 + turn AS call_id, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM conversations),
+a AS (SELECT call_id, call_id % 11 AS kind, coalesce(w[1], '') AS one, array_to_string(w[1:3], ' ') AS three FROM t)
+SELECT call_id, CASE WHEN kind = 8 OR kind = 9 THEN FALSE WHEN kind = 4 THEN TRUE WHEN kind IN (0, 1) THEN NOT (regexp_matches(trim(p), '^[A-Z][A-Z0-9_]{2,}$') OR regexp_matches(trim(p), '^[A-Fa-f0-9-]{36}$') OR (regexp_matches(trim(p), '^[a-zA-Z_][a-zA-Z0-9_.]*$') AND length(trim(p)) <= 48))
+  WHEN kind = 10 THEN length(three) = 0 WHEN kind = 2 THEN FALSE WHEN kind = 3 THEN TRUE WHEN kind = 5 THEN NOT regexp_matches(one, '^(git|npm|bun|pnpm|yarn|cargo|go|make|cmake|docker|kubectl|pytest|jest|vitest)$') WHEN kind = 6 THEN FALSE
+  ELSE regexp_matches(one, '^(rg|ripgrep|grep|find|ag|ack|fd|locate)$') END AS blocked,
+  CASE call_id % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'gemini' WHEN 2 THEN 'stderr' ELSE 'cursor' END AS format FROM (SELECT *, CASE WHEN kind = 0 THEN one ELSE three END AS p FROM a)""")
 def guard_decision(spark, sf_dir):
-    rows = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(CALLS)], "call_id long, payload string")
-    return rows.select("call_id", guard.blocked(F.col("payload")).alias("blocked"), guard.response_format(F.col("payload")).alias("format"))
+    return tool_calls(spark, sf_dir).select("call_id", guard.blocked(F.col("payload")).alias("blocked"), guard.response_format(F.col("payload")).alias("format"))
 
 
 # End to end
