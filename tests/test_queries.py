@@ -66,12 +66,12 @@ def test_batch_neighbours_ask_every_twentieth_row(spark, kind):
         want[int(ids[q])] = np.sort(score)[::-1][:10]
     assert len(want) == 100
     got = {}
-    for r in queries.QUERIES[f"knn_{kind}_batch"](spark, folder).orderBy("query_id", "rank").collect():
+    for r in queries.QUERIES[f"knn_{kind}"](spark, folder).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r)
     assert set(got) == set(want)
     for q, found in got.items():
         assert [r.score for r in found] == pytest.approx(want[q], abs=2e-6)
     have = queries.vectors_of(spark, folder)
     have = vector.quantized(have) if kind == "int8" else have
-    blocks = queries._near(vector.nearest(have, queries.batch_probes(spark, folder), 40, config=EngineConfig(query_block=30)), 10)
+    blocks = queries._near(vector.nearest(have, queries.probe(spark, folder), 40, config=EngineConfig(query_block=30)), 10)
     assert sorted(map(tuple, blocks.collect())) == sorted(tuple(r) for x in got.values() for r in x)
