@@ -154,6 +154,14 @@ def test_table_held_out_texts_score_above_unigrams(spark):
     assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-6) for r in rows)
 
 
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, n))) for i, n in enumerate([250_000, 5, 40, 700, 9])]
+    rows = hmm.score(cases.frame(spark, data), rounds=2).collect()
+    check(rows, data)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
 def test_empty_and_untrained(spark):
     assert hmm.score(cases.frame(spark, [])).count() == 0
     lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

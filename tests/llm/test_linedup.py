@@ -178,6 +178,12 @@ def test_strip_lines_keeps_columns(spark):
     assert {(r.doc_id, r.text, r.n_chars) for r in got.collect()} == {(1, data[0][1], 20), (2, "y", 1), (3, None, None), (4, "", 0)}
 
 
+def test_very_long_texts(spark):
+    long = "\n".join(f"line number {i} of many" for i in range(60_000))
+    data = [(1, long), (2, "own line of text\n" + long), (3, "y" * 2_000_000), (4, "Y" * 2_000_000 + " \nz")]
+    cases.same(linedup.dedup_lines(cases.frame(spark, data)), expected(data))
+
+
 def test_empty(spark):
     assert linedup.dedup_lines(cases.frame(spark, [])).count() == 0
     assert linedup.strip_lines(cases.frame(spark, [])).count() == 0

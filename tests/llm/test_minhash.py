@@ -114,6 +114,13 @@ def test_five_word_shingles_table(spark):
     cases.same(minhash.near_duplicates(docs), expected(data, n=5))
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    data = [(1, " ".join(words)), (2, " ".join(words[:190_000])), (3, " ".join(words[::-1])), (4, " ".join(words[100_000:])), (5, "x" * 3_000_000 + " a b c d")]
+    cases.same(minhash.near_duplicates(cases.frame(spark, data), shingle=4), expected(data))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000).astype(U64)
