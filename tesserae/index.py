@@ -29,6 +29,7 @@ class SearchIndex:
         self.spark, self.tables, self.backend, self.content, self.root, self.config = spark, tables, backend, list(content), root, config
         self.loaded, self.folder = False, None
         self.listed: DataFrame | None = None
+        self.counts: DataFrame | None = None
 
     # Building
 
@@ -47,7 +48,9 @@ class SearchIndex:
             "chunks": ranking.chunk_meta(chunks), "postings": lexical.postings(counts, documents), "terms": lexical.term_stats(counts), "documents": documents,
             "corpus": lexical.corpus_stats(documents), "vectors": held, "files": listed if listed is not None else spark.createDataFrame([], "file_path string, mtime_ms long"),
         }
-        return cls(spark, tables, backend, content or ["code"], root, config)
+        index = cls(spark, tables, backend, content or ["code"], root, config)
+        index.counts = counts
+        return index
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, content: list[str] | None = None, backend=None, cache: str | None = None, config: EngineConfig = DEFAULT) -> SearchIndex:
@@ -96,6 +99,9 @@ class SearchIndex:
         meta = store.Meta(EPOCH, self.root, int(time.time()), self.backend.model, dims.n if dims else 0, tuple(self.content), _storage(self.config))
         store.save(self.spark, folder, self.tables, meta)
         self.tables, self.folder = store.load(self.spark, folder)[0], folder
+        if self.counts is not None:  # nothing reads them any more
+            self.counts.unpersist()
+            self.counts = None
 
     def save_to_cache(self, cache: str, force: bool = False) -> bool:
         """Stores the index under its source's key, unless it was loaded from there and has not changed."""
