@@ -14,6 +14,11 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
 
 
+#: Query terms up to which they are broadcast, and different ones up to which they are listed in a filter.
+MOST_TERMS = 20_000
+LISTED_TERMS = 300
+
+
 def term_counts(chunks: DataFrame, enrich: bool = True) -> DataFrame:
     """chunk_ord, term, tf.
 
@@ -48,12 +53,22 @@ def term_stats(counts: DataFrame) -> DataFrame:
 def bm25(plans: DataFrame, held: DataFrame, terms: DataFrame, corpus: DataFrame, selector: DataFrame | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """query_id, chunk_ord, score > 0, for every chunk that has a term of the query.
 
-    `held`: postings, `terms`: term_stats, `corpus`: corpus_stats; `selector`: chunk_ord allowed."""
-    asked = plans.select("query_id", F.explode("terms").alias("term")).join(terms, "term")
-    asked = asked.join(F.broadcast(corpus))  # one row
+    `held`: postings, `terms`: term_stats, `corpus`: corpus_stats; `selector`: chunk_ord allowed.
+
+    The queries' terms are counted first. Up to `MOST_TERMS` of them are sent to the postings, which then stay
+    where they are; and up to `LISTED_TERMS` different ones are filters that reach the scan, where stored postings,
+    which are sorted by term, skip all other files and row groups. A larger batch meets the postings by a join."""
+    pairs = plans.select("query_id", F.explode("terms").alias("term"))
+    told = pairs.select("term").limit(MOST_TERMS + 1).collect()
+    few = len(told) <= MOST_TERMS
+    names = {r.term for r in told}
+    if few and len(names) <= LISTED_TERMS:
+        held, terms = (df.where(F.col("term").isin(*sorted(names))) for df in (held, terms))
+    sent = F.broadcast if few else (lambda df: df)
+    asked = terms.join(sent(pairs), "term").join(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = asked.select("query_id", "term", idf.alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
-    hits = held.join(asked, "term")
+    hits = held.join(sent(asked), "term")
     if selector is not None:
         hits = hits.join(selector, "chunk_ord", "left_semi")
     part = F.col("idf") * (F.col("tf") * (config.k1 + 1)) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
