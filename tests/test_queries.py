@@ -75,3 +75,24 @@ def test_batch_neighbours_ask_every_twentieth_row(spark, kind):
     have = vector.quantized(have) if kind == "int8" else have
     blocks = queries._near(vector.nearest(have, queries.probe(spark, folder), 40, config=EngineConfig(query_block=30)), 10)
     assert sorted(map(tuple, blocks.collect())) == sorted(tuple(r) for x in got.values() for r in x)
+
+
+def small_code_corpus(spark, tmp_path):
+    """Pages whose hosts give names of one letter and more, every query form among them, and a connection to them."""
+    hosts = ["m.adult-x", "tionsh", "y", "ab"]
+    rows = [(i, f"https://{hosts[(i // 4) % 4]}.example.net/en/{i}", f"<title>class of {i}</title>") for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    return con
+
+
+def assert_same_rows(spark, con, name, folder):
+    got = queries.QUERIES[name](spark, str(folder))
+    want = con.execute("SELECT " + ", ".join(f'"{c}"' for c in got.columns) + f" FROM ({queries.SQL[name]})").fetchall()
+    rows = sorted((tuple(map(plain, r)) for r in got.collect()), key=repr)
+    assert rows and rows == sorted((tuple(map(plain, r)) for r in want), key=repr)
+
+
+def test_definition_tier_of_names_whose_first_word_is_one_letter(spark, tmp_path):
+    assert_same_rows(spark, small_code_corpus(spark, tmp_path), "definition_tier", tmp_path)
