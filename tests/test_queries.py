@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tesserae import queries
+from tesserae.plans import query as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -96,3 +97,9 @@ def assert_same_rows(spark, con, name, folder):
 
 def test_definition_tier_of_names_whose_first_word_is_one_letter(spark, tmp_path):
     assert_same_rows(spark, small_code_corpus(spark, tmp_path), "definition_tier", tmp_path)
+
+
+def test_query_classify_of_names_whose_first_word_is_one_letter(spark, tmp_path):
+    assert_same_rows(spark, small_code_corpus(spark, tmp_path), "query_classify", tmp_path)
+    assert Q.analyse(0, "how does the XHandler push work")["names"] == ["XHandler"]
+    assert Q.analyse(0, "which IDs and APIs have URLs")["names"] == []
