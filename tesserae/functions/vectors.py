@@ -12,6 +12,13 @@ def _doubles(v: Column | str) -> Column:
     return _col(v).cast("array<double>")
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """To so many digits in doubles, as C and DuckDB do it: scaled, halves away from zero, scaled back.
+
+    `F.round` goes by the shortest decimal instead, which may stand on the other side of a half."""
+    return F.round(_col(c) * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(_doubles(v), F.lit(0.0), lambda a, x: a + x * x))
 

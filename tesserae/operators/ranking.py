@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import paths as P
 from ..functions import text as T
+from ..functions import vectors as V
 from ..plans.query import HINTS
 
 def _per_query():
@@ -180,7 +181,7 @@ def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: Engine
     One pass: candidates meet their query's plan and their chunk once, and every boost is a column. Chunks that no
     search found come in if they define a queried name, or as entry points of `entries`. `digits`: to round coherent
     and final scores to, so that any engine orders them alike. Keeps what `saturated` reads."""
-    cut = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    cut = (lambda c: c) if digits is None else (lambda c: V.rounded(c, digits))
     if entries is None and config.improvements:
         entries = entry_candidates(meta, plans, 1 << 30, config)
     s = candidates(scores, meta, plans, config, entries if config.improvements else None)

@@ -103,3 +103,29 @@ def test_query_classify_of_names_whose_first_word_is_one_letter(spark, tmp_path)
     assert_same_rows(spark, small_code_corpus(spark, tmp_path), "query_classify", tmp_path)
     assert Q.analyse(0, "how does the XHandler push work")["names"] == ["XHandler"]
     assert Q.analyse(0, "which IDs and APIs have URLs")["names"] == []
+
+
+def test_scores_round_as_in_sql(spark):
+    """Scores of nine digits, halved as in a file's later chunks: halves of the seventh and ninth digit are common."""
+    import random
+
+    from tesserae.functions import vectors as V
+
+    rng = random.Random(5)
+    scores = [round(rng.random() / 5, 9) * 0.5**k * f for _ in range(4000) for k in range(4) for f in (1.0, 2.5)] + [-0.5, 0.5, 1.5, 0.0]
+    con = duckdb.connect()
+    for digits in (7, 9):
+        want = [r[0] for r in con.execute(f"SELECT round(x, {digits}) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchall()]
+        df = spark.createDataFrame(list(enumerate(scores)), "i long, x double")
+        assert [r.y for r in df.select("i", V.rounded("x", digits).alias("y")).orderBy("i").collect()] == want
+
+
+def test_hybrid_rerank_of_scores_at_a_half(spark, monkeypatch):
+    halves = [float(f"{k * 5}e-8") for k in range(1, 100_000, 2)]
+    scores = [x for x in halves if x * 1e7 % 1 < 0.5][:6]  # as decimals they are a half, as scaled doubles less
+    rows = [(1, i, x, f"f{i}", 1, 1.0, 0.5, 6) for i, x in enumerate(scores)]
+    frame = spark.createDataFrame(rows, "query_id long, chunk_ord long, score double, file_path string, start_line int, path_penalty double, alpha double, top_k int")
+    monkeypatch.setattr(queries, "code_search", lambda *_: (None, None, frame))
+    want = duckdb.execute("SELECT round(x, 7) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchall()
+    got = {r.chunk_ord: r.score for r in queries.hybrid_rerank(spark, "").collect()}
+    assert len(got) == 6 and [got[i] for i in range(6)] == [x for (x,) in want]
