@@ -64,18 +64,24 @@ def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[N
     return setting(spark, _CLEANUP, "true")
 
 
-def write(df: DataFrame, path: str) -> None:
+#: In a local folder Hadoop starts a `chmod` for each new file and each checksum file beside it, from the executor's JVM.
+#: Scratch tables have no such files: Parquet's own page checksums, which any store keeps, are verified instead.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+_VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+
+
+def write(df: DataFrame, path: str, options: dict[str, str] | None = None) -> None:
     """Writes `df` as Parquet; its shuffle files go as soon as it is written, as nothing reads them again."""
     with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: later stages neither repeat it nor depend on its executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    write(df, path)
-    return spark.read.schema(df.schema).parquet(path)
+    write(df, path, _PLAIN)
+    return spark.read.schema(df.schema).options(**_VERIFIED).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,7 +1,10 @@
 import inspect
+import pathlib
+
+import pytest
 
 import corpus_pipeline
-from tesserae.llm import quality
+from tesserae.llm import common, quality
 
 from . import cases
 from .test_decontam import expected as contaminated
@@ -74,3 +77,16 @@ def test_stages_keep_columns(spark):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_scratch_tables_have_no_checksum_files_and_damage_is_found(spark):
+    table = common.keep(spark.range(0, 5000, 1, 3), "plain")
+    folder = pathlib.Path(table.inputFiles()[0].split(":", 1)[1].replace("///", "/")).parent
+    assert table.count() == 5000 and not list(folder.glob(".*.crc"))  # each would be a process more that a task starts
+    part = next(folder.glob("part-*"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2] ^= 1
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum"):
+        table.agg({"id": "sum"}).collect()
+    common.forget(table)
