@@ -97,30 +97,57 @@ def _injected(plans: DataFrame, meta: DataFrame, config: EngineConfig) -> DataFr
     return symbols.unionByName(embedded).distinct()
 
 
+def _first_of_alike(rows: DataFrame, *, most: str | int) -> DataFrame:
+    """(query_id, chunk_ord): of a query's chunks that no search found, the first `most` of each file and gain.
+
+    The rows (query_id, chunk_ord, file_path, start_line, package_entry, entry_like) of a query, a file and one pair of
+    these marks gain the same unfound, and no less if a search finds them, so each stands behind all before it, whatever
+    was found: one that `most` others precede is not among the query's best `most`, nor lifts or lowers one that is."""
+    nth = F.row_number().over(Window.partitionBy("query_id", "file_path", "package_entry", "entry_like").orderBy("start_line", "chunk_ord"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= (F.col(most) if isinstance(most, str) else most)).select("query_id", "chunk_ord")
+
+
+def named_candidates(meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(query_id, chunk_ord): chunks of files named like a queried symbol that can come into its query's top k unfound.
+
+    Only those that define the symbol come in at all, and of a file and gain only the first `top_k`."""
+    named = _injected(plans, meta, config).join(plans.select("query_id", "top_k", "names", "def_pattern", "sql_pattern"), "query_id")
+    named = named.join(meta.select("chunk_ord", "content", "file_path", "start_line", "package_entry", "entry_like"), "chunk_ord")
+    return _first_of_alike(named.where(_defines(F.col("content"))), most="top_k")
+
+
 def _definition_gain(config: EngineConfig) -> Column:
-    return _tier(F.col("top") * config.definition_boost * F.when(F.col("symbol"), 1.0).otherwise(config.embedded_scale))
+    unit = F.col("top") * config.definition_boost * F.when(F.col("symbol"), 1.0).otherwise(config.embedded_scale)
+    return F.when(F.col("defines"), unit * F.when(F.col("stem_named"), 1.5).otherwise(1.0)).otherwise(0.0)
+
+
+def _share() -> Column:
+    """Of a sentence's keywords, the share found in the file's name or folder."""
+    return F.when(~F.col("symbol") & (F.size("keywords") > 0), _keyword_matches() / F.size("keywords"))
 
 
 def _stem_gain(config: EngineConfig) -> Column:
-    """A sentence's keywords found in the file's name or folder: gain by the share found."""
-    share = _keyword_matches() / F.size("keywords")
-    return F.when(~F.col("symbol") & (F.size("keywords") > 0) & (share >= 0.1), F.col("top") * config.stem_boost * share).otherwise(0.0)
+    return F.when(F.col("share") >= 0.1, F.col("top") * config.stem_boost * F.col("share")).otherwise(0.0)
 
 
-def _exact_gain(config: EngineConfig) -> Column:
+def _exact_hit() -> Column:
     """A word of a sentence that is the file's name. Generic words are out; if the sentence hints at an
     implementation file that exists in the corpus (`present`), other exact names gain nothing."""
     prefer = F.arrays_overlap("hints", "present")
     bare = lambda x: F.regexp_replace(x, "[-_]", "")
     hit = F.exists("exact_words", lambda w: ~(prefer & (w == F.col("stem")) & ~F.col("stem").isin(*HINTS)) & ((w == F.col("stem")) | (bare(w) == bare(F.col("stem")))))
-    return F.when(~F.col("symbol") & hit, F.col("top") * config.exact_stem_boost).otherwise(0.0)
+    return ~F.col("symbol") & hit
+
+
+def _exact_gain(hit: Column, config: EngineConfig) -> Column:
+    return F.when(hit, F.col("top") * config.exact_stem_boost).otherwise(0.0)
 
 
-def _location_gain(config: EngineConfig) -> Column:
-    """An entry point, for a sentence that asks where something is."""
+def _location_worth(config: EngineConfig) -> Column:
+    """An entry point, for a sentence that asks where something is: the share of `top` it gains."""
     worth = F.when(F.col("package_entry"), F.when(F.col("entry_point"), config.location_boost).otherwise(config.package_entry_boost))
     worth = worth.when(F.col("entry_point") | _named_by(F.col("stem")), config.location_boost).otherwise(0.0)
-    return F.when(F.col("location") & ~F.col("symbol") & F.col("entry_like"), F.col("top") * worth).otherwise(0.0)
+    return F.when(F.col("location") & ~F.col("symbol") & F.col("entry_like"), worth).otherwise(0.0)
 
 
 def _installer_factor(config: EngineConfig) -> Column:
@@ -157,16 +184,18 @@ def entry_candidates(meta: DataFrame, plans: DataFrame, top: int, config: Engine
     first = pool.withColumn("place", place).where(F.col("place") <= top).select(*kind, "chunk_ord")
     bare = lambda x: F.regexp_replace(x, "[-_]", "")
     words = asked.select("query_id", "words", F.explode("words").alias("word")).withColumn("form", bare("word"))
-    named = entries.withColumn("form", bare("stem")).join(words, "form").where(_named_by(F.col("stem")))
-    return asked.join(first, kind).select("query_id", "chunk_ord").unionByName(named.select("query_id", "chunk_ord")).distinct()
+    named = entries.withColumn("form", bare("stem")).join(words, "form").where(_named_by(F.col("stem"))).withColumn("entry_like", F.lit(True))
+    named = named.dropDuplicates(["query_id", "chunk_ord"])  # words of one form
+    return asked.join(first, kind).select("query_id", "chunk_ord").unionByName(_first_of_alike(named, most=top)).distinct()
 
 
-def candidates(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, entries: DataFrame | None = None) -> DataFrame:
+def candidates(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, entries: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_ord, score (null if no search found it), named, entry: all that may be in a query's answer.
 
-    Beside what was found these are files named like a queried symbol and `entries`, entry points that may come in."""
+    Beside what was found these are files named like a queried symbol (`named`, or all of them) and `entries`, entry points
+    that may come in."""
     flag = lambda df, named, entry: df.select("query_id", "chunk_ord", F.lit(None).cast("double").alias("score"), F.lit(named).alias("named"), F.lit(entry).alias("entry"))
-    both = scores.select("query_id", "chunk_ord", "score", F.lit(False).alias("named"), F.lit(False).alias("entry")).unionByName(flag(_injected(plans, meta, config), True, False))
+    both = scores.select("query_id", "chunk_ord", "score", F.lit(False).alias("named"), F.lit(False).alias("entry")).unionByName(flag(_injected(plans, meta, config) if named is None else named, True, False))
     if entries is not None:
         both = both.unionByName(flag(entries, False, True))
     return both.groupBy("query_id", "chunk_ord").agg(F.max("score").alias("score"), F.max("named").alias("named"), F.max("entry").alias("entry"))
@@ -175,19 +204,23 @@ def candidates(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: Eng
 _PLAN = ["query_id", "top_k", "alpha", "symbol", "names", "names_low", "def_pattern", "sql_pattern", "keywords", "exact_words", "words", "location", "entry_point", "integration", "hints"]
 
 
-def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, entries: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT, entries: DataFrame | None = None, digits: int | None = None, named: DataFrame | None = None) -> DataFrame:
     """Coherence, then all query boosts, in their order; each reads the best score from before the first of them.
 
-    One pass: candidates meet their query's plan and their chunk once, and every boost is a column. Chunks that no
-    search found come in if they define a queried name, or as entry points of `entries`. `digits`: to round coherent
+    One pass: candidates meet their query's plan and their chunk once, and every boost is a column. What texts and
+    patterns decide is decided once a row, before the windows, which sort and hold no text. Chunks that no
+    search found come in if they define a queried name (all such, or of `named`), or as entry points of `entries`. `digits`: to round coherent
     and final scores to, so that any engine orders them alike. Keeps what `saturated` reads."""
     cut = (lambda c: c) if digits is None else (lambda c: V.rounded(c, digits))
     if entries is None and config.improvements:
         entries = entry_candidates(meta, plans, 1 << 30, config)
-    s = candidates(scores, meta, plans, config, entries if config.improvements else None)
-    s = s.join(plans.select(*_PLAN), "query_id").join(meta.select("chunk_ord", "content", "file_path", "start_line", "stem", "path_parts", "path_penalty", "package_entry", "entry_like", "installer"), "chunk_ord")
+    s = candidates(scores, meta, plans, config, entries if config.improvements else None, named)
+    s = s.join(meta.select("chunk_ord", "content", "file_path", "start_line", "stem", "path_parts", "path_penalty", "package_entry", "entry_like", "installer"), "chunk_ord").join(plans.select(*_PLAN), "query_id")
+    marks = {"defines": _defines(F.col("content")), "stem_named": _stem_is(F.col("stem"), F.col("names_low")), "share": _share()}
     if config.improvements:
         s = s.join(F.broadcast(_present(meta)))
+        marks |= {"exact": _exact_hit(), "location_worth": _location_worth(config), "factor": _installer_factor(config)}
+    s = s.select("query_id", "chunk_ord", "score", "named", "entry", "file_path", "start_line", "path_penalty", "alpha", "top_k", "symbol", *(c.alias(k) for k, c in marks.items()))
     found = F.col("score").isNotNull()
     in_file = Window.partitionBy("query_id", "file_path")
     nth = F.row_number().over(in_file.orderBy(F.desc_nulls_last("score"), "start_line", "chunk_ord"))
@@ -199,17 +232,17 @@ def boosted(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: Engine
     defines = _definition_gain(config)
     s = s.withColumn("score", F.when(F.col("found"), F.col("score") + _stem_gain(config) + defines).when(F.col("named") & (defines > 0), defines))
     if config.improvements:
-        s = s.withColumn("score", F.col("score") + _exact_gain(config))
-        there = _location_gain(config)
+        s = s.withColumn("score", F.col("score") + _exact_gain(F.col("exact"), config))
+        there = F.col("top") * F.col("location_worth")
         s = s.withColumn("score", F.when(F.col("score").isNotNull(), F.col("score") + there).when(F.col("entry") & (there > 0), there))
-        s = s.withColumn("score", F.col("score") * _installer_factor(config))
+        s = s.withColumn("score", F.col("score") * F.col("factor"))
     return s.where(F.col("score").isNotNull()).select("query_id", "chunk_ord", cut(F.col("score")).alias("score"), "file_path", "start_line", "path_penalty", "alpha", "top_k")
 
 
 def exact_stems(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """The gain of exact names alone, for scores with `top`, the query's best score before any boost."""
     joined = scores.join(plans.select("query_id", "symbol", "exact_words", "hints"), "query_id").join(meta.select("chunk_ord", "stem"), "chunk_ord").join(F.broadcast(_present(meta)))
-    return joined.select("query_id", "chunk_ord", (F.col("score") + _exact_gain(config)).alias("score"), "top")
+    return joined.select("query_id", "chunk_ord", (F.col("score") + _exact_gain(_exact_hit(), config)).alias("score"), "top")
 
 
 def saturated(scores: DataFrame, meta: DataFrame, plans: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

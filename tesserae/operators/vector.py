@@ -77,7 +77,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, selector: DataFrame
         raise ValueError(f"k must be at least 1: {k}")
     int8 = "codes" in vectors.columns
     held = vectors if selector is None else vectors.join(selector, "chunk_ord", "left_semi")
-    held = held.select("chunk_ord", *(["codes", "scale"] if int8 else ["vector"]))
+    # Every task puts out k rows a query: no more tasks than run at once, or what they put out grows with the square of the table.
+    held = held.select("chunk_ord", *(["codes", "scale"] if int8 else ["vector"])).coalesce(vectors.sparkSession.sparkContext.defaultParallelism)
     schema = pa.schema([("query_id", pa.int64()), ("chunk_ord", pa.int64()), ("score", pa.float64())])
     spark, found = vectors.sparkSession, None
     for ids, rows in _blocks(queries, config.query_block):

@@ -152,3 +152,44 @@ def test_hybrid_rerank_of_scores_at_a_half(spark, monkeypatch):
     want = duckdb.execute("SELECT round(x, 7) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [scores]).fetchall()
     got = {r.chunk_ord: r.score for r in queries.hybrid_rerank(spark, "").collect()}
     assert len(got) == 6 and [got[i] for i in range(6)] == [x for (x,) in want]
+
+
+def many_of_a_name(spark, tmp_path):
+    """960 pages of two hosts: every query's text comes several times, and its name's file has 60 chunks."""
+    rows = [(i, f"https://{'shop' if i % 3 else 'tionsh'}.example.net/{i}", f"<title>part {i % 7} of the code</title>") for i in range(960)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [(i, [math.sin(i * 1.7 + 1), math.cos(i * 0.3), math.sin(i * i * 0.01), 0.5]) for i in range(320)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    return con
+
+
+def test_hybrid_rerank_takes_no_more_of_a_name_than_can_be_among_the_best(spark, tmp_path, monkeypatch):
+    from tesserae.operators import lexical, ranking
+
+    con, taken, asked = many_of_a_name(spark, tmp_path), [], []
+    candidates, bm25 = ranking.candidates, lexical.bm25
+    monkeypatch.setattr(ranking, "candidates", lambda *a, **k: taken.append(candidates(*a, **k)) or taken[-1])
+    monkeypatch.setattr(lexical, "bm25", lambda plans, *a, **k: asked.append(plans) or bm25(plans, *a, **k))
+    assert_same_rows(spark, con, "hybrid_rerank", tmp_path)
+    assert asked[0].count() == asked[0].select("text").distinct().count() < 48  # each text is searched for once
+    unfound = taken[0].where("named AND score IS NULL").groupBy("query_id").count().collect()
+    assert unfound and max(r["count"] for r in unfound) <= 6
+
+
+def test_named_candidates_keep_the_best(spark):
+    """Whatever is found, the bound leaves each query's top k as they are with all files of the name."""
+    from tesserae.operators import ranking
+
+    kinds = ["class PushHandler:", "PushHandler()", "#!/usr/bin/env x\nclass PushHandler {", "[package entry]\nclass PushHandler "]
+    rows = [(i, kinds[i % 4], f"{['src', 'tests', 'installer'][i % 3]}/push_handler.py", 1 + i % 5, 9, "python") for i in range(90)]
+    meta = ranking.chunk_meta(spark.createDataFrame(rows, "chunk_ord long, content string, file_path string, start_line int, end_line int, language string"))
+    plans = Q.analysed(spark.createDataFrame([(0, "PushHandler"), (1, "where is PushHandler"), (2, "entry point of PushHandler")], "query_id long, text string"), 4).persist()
+    found = spark.createDataFrame([(q, i, 0.01 + 0.001 * (i % 3)) for q in range(3) for i in range(q, 90, 7)], "query_id long, chunk_ord long, score double")
+    entries, named = ranking.entry_candidates(meta, plans, 4), ranking.named_candidates(meta, plans)
+    top = lambda **k: sorted(map(tuple, ranking.saturated(ranking.boosted(found, meta, plans, **k), meta, plans).collect()))
+    want = top(entries=ranking.entry_candidates(meta, plans, 1 << 20))
+    assert len(want) == 12 and top(entries=entries, named=named) == want
+    assert named.count() < ranking._injected(plans, meta, ranking.DEFAULT).count()
